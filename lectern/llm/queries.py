@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..cluster import load
-from . import packing, tokens
+from . import lookalike, packing, tokens
+
+
+def _p2_records(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, str]]:
+    rows = lookalike.records(load(spark, d, "annotations"), load(spark, d, "search_hits"), load(spark, d, "page_ocr_cache"))
+    return rows, lookalike.rules(lookalike.count_characters(rows, ["text"]))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_alike_pairs(*_p2_records(spark, d))
+
+
+def p2_forms(spark: SparkSession, d: str) -> DataFrame:
+    rows, to = _p2_records(spark, d)
+    return lookalike.unify(rows, "text", "form", to).drop("text")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -17,7 +31,7 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_ids": p6_ids, "p7_pack": p7_pack}
+    return {"p2_found": p2_found, "p2_forms": p2_forms, "p6_ids": p6_ids, "p7_pack": p7_pack}
 
 
 def oracle_sql() -> dict[str, str]:
