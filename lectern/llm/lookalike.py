@@ -78,19 +78,24 @@ def rules(counts: dict[str, int]) -> dict[str, str]:
     The representative is the most frequent member; a sequence is taken to be as frequent as its rarest character, ties go to the
     shorter and then the smaller one.  The class of invisible characters is represented by the empty string.
     """
-    classes = UnionFind()
     pairs = {a: b for others, latin in LOOK_ALIKE_LETTERS for a, b in zip(others, latin)}
-    for c in counts:
-        for other in _links(c):
-            classes.union(c, other)
-        if c in pairs:
-            classes.union(c, pairs[c])
     weight = lambda s: min((counts.get(c, 0) for c in s), default=1 << 62)
-    out: dict[str, str] = {}
-    for members in classes.classes():
-        best = min(members, key=lambda s: (-weight(s), len(s), s))
-        out |= {m: best for m in members if m != best}
-    return out
+
+    def represent(classes: UnionFind) -> dict[str, str]:
+        best = [(members, min(members, key=lambda s: (-weight(s), len(s), s))) for members in classes.classes()]
+        return {m: b for members, b in best for m in members if m != b}
+
+    classes, sequences = UnionFind(), []
+    for c in counts:
+        for other in [*_links(c), *([pairs[c]] if c in pairs else [])]:
+            if len(other) < 2:
+                classes.union(c, other)
+            else:
+                sequences.append((c, other))
+    single = represent(classes)
+    for c, other in sequences:  # a sequence of characters that have a representative themselves is linked as it will be read
+        classes.union(c, "".join(single.get(x, x) for x in other))
+    return represent(classes)
 
 
 class Rewriter:
@@ -132,7 +137,8 @@ def count_characters(df: DataFrame, cols: list[str]) -> dict[str, int]:
         for batch in batches:
             for column in batch.columns:
                 text = "".join(t for t in column.to_pylist() if t)
-                total += np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), minlength=len(total))
+                if text:
+                    total += np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["c", "n"])
 
@@ -148,7 +154,7 @@ def unify(df: DataFrame, text_col: str, out_col: str, to: dict[str, str]) -> Dat
     empty or blank text gives an empty form, rows are kept with their repetitions, and other columns are left alone; if one
     is named ``out_col`` it is replaced.
     """
-    schema = df.drop(out_col).withColumn(out_col, F.lit("").cast("string")).schema
+    schema = df.drop(out_col).withColumn(out_col, F.lit(None).cast("string")).schema
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,18 +178,19 @@ def records(annotations: DataFrame, search_hits: DataFrame, page_ocr_cache: Data
 def look_alike_pairs(rows: DataFrame, to: dict[str, str]) -> DataFrame:
     """(key_a, key_b), key_a < key_b: records of one book and page whose forms are equal and whose texts are not.
 
-    ``rows`` has (key, book_id, page, text).  Repeated rows count once; a null book or page pairs with nothing.  Groups in which all
-    texts are equal are left out after a map-side aggregate, whatever their size; of the rest, differing texts are paired
-    first and their keys put in after, so that only pairs of the result are ever made.
+    ``rows`` has (key, book_id, page, text).  Repeated rows count once; a null book or page pairs with nothing.  Forms are compared by
+    fingerprints of 128 bits, texts of one form by 64.  Groups in which all texts are equal are left out by a map-side aggregate,
+    whatever their size; of the rest, differing texts are paired first and their keys put in after, so that only pairs of the
+    result are ever made.
     """
-    formed = unify(rows, "text", "form", to).where("book_id IS NOT NULL AND page IS NOT NULL")
-    formed = formed.withColumn("_g", F.xxhash64("book_id", "page", "form"))
-    mixed = formed.groupBy("_g").agg(F.min("text").alias("_lo"), F.max("text").alias("_hi")).where("_lo <> _hi").select("_g")
-    some = formed.join(mixed, "_g", "left_semi").select("book_id", "page", "form", "text", "key").distinct()
-    group = ["book_id", "page", "form"]
-    texts = some.select(*group, "text").distinct()
-    pairs = texts.withColumnRenamed("text", "text_a").join(texts.withColumnRenamed("text", "text_b"), group).where("text_a < text_b")
-    a = some.select(*group, F.col("text").alias("text_a"), F.col("key").alias("_a"))
-    b = some.select(*group, F.col("text").alias("text_b"), F.col("key").alias("_b"))
-    both = pairs.join(a, [*group, "text_a"]).join(b, [*group, "text_b"]).where("_a <> _b")
+    group = ["_g", "_h"]
+    prints = [F.xxhash64("book_id", "page", "form").alias("_g"), F.xxhash64("form", "page", F.lit(1)).alias("_h"), F.xxhash64("text").alias("_t")]
+    formed = unify(rows, "text", "form", to).where("book_id IS NOT NULL AND page IS NOT NULL").select(*prints, "key")
+    mixed = formed.groupBy(*group).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi")).where("_lo <> _hi").select(*group)
+    some = formed.join(mixed, group, "left_semi").distinct()
+    texts = some.select(*group, "_t").distinct()
+    pairs = texts.withColumnRenamed("_t", "_ta").join(texts.withColumnRenamed("_t", "_tb"), group).where("_ta < _tb")
+    a = some.select(*group, F.col("_t").alias("_ta"), F.col("key").alias("_a"))
+    b = some.select(*group, F.col("_t").alias("_tb"), F.col("key").alias("_b"))
+    both = pairs.join(a, [*group, "_ta"]).join(b, [*group, "_tb"]).where("_a <> _b")
     return both.select(F.least("_a", "_b").alias("key_a"), F.greatest("_a", "_b").alias("key_b")).distinct()

@@ -56,7 +56,7 @@ def test_pairs_equal_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == brute(data, to)
 
 
-def test_group_of_copies_makes_no_pairs(spark):
+def test_group_of_copies_pairs_only_with_other_characters(spark):
     data = [(f"k{i:05d}", 1, 1, "the same words") for i in range(20000)] + [("z", 1, 1, "the same words")]
     got = L.look_alike_pairs(rows(spark, data), to_for(["the same words" * 9, " "])).count()
     assert got == 20000
