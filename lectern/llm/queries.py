@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..cluster import load
-from . import lookalike, packing, tokens
+from . import conversations, lookalike, packing, tokens
 
 
 def _p2_records(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, str]]:
@@ -22,6 +22,14 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify(rows, "text", "form", to).drop("text")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.judge(load(spark, d, "ai_threads"), load(spark, d, "ai_messages")).where("NOT ok").select("thread_id")
+
+
+def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.rebuild(load(spark, d, "ai_threads"), load(spark, d, "ai_messages"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(load(spark, d, "documents"))
 
@@ -31,7 +39,7 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_forms": p2_forms, "p6_ids": p6_ids, "p7_pack": p7_pack}
+    return {"p2_found": p2_found, "p2_forms": p2_forms, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_ids": p6_ids, "p7_pack": p7_pack}
 
 
 def oracle_sql() -> dict[str, str]:
