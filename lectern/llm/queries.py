@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..cluster import load
-from . import conversations, lookalike, packing, tokens
+from . import conversations, language, lookalike, messages, packing, replies, tokens
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return replies.defects(load(spark, d, "ai_messages"), language.fit(load(spark, d, "documents")))
 
 
 def _p2_records(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, str]]:
@@ -22,6 +26,18 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify(rows, "text", "form", to).drop("text")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return replies.truncated_messages(load(spark, d, "ai_messages"))
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    """For each action_type, spelled one way, null as its own: messages, those cut off, and their share."""
+    rows = messages.heads(load(spark, d, "ai_messages")).select("id", "action_type")
+    cut_off = p4_found(spark, d).withColumn("cut_off", F.lit(1))
+    sums = rows.join(cut_off, "id", "left").groupBy("action_type").agg(F.count("*").alias("messages"), F.sum(F.coalesce("cut_off", F.lit(0))).alias("truncated"))
+    return sums.withColumn("share", F.round(F.col("truncated") / F.col("messages"), 6))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.judge(load(spark, d, "ai_threads"), load(spark, d, "ai_messages")).where("NOT ok").select("thread_id")
 
@@ -39,7 +55,7 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_forms": p2_forms, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_ids": p6_ids, "p7_pack": p7_pack}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p4_shares": p4_shares, "p2_found": p2_found, "p2_forms": p2_forms, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_ids": p6_ids, "p7_pack": p7_pack}
 
 
 def oracle_sql() -> dict[str, str]:
