@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..cluster import load
-from . import conversations, language, lookalike, messages, packing, replies, tokens
+from . import conversations, language, lookalike, messages, packing, personal, replies, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -54,8 +54,16 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(load(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.pieces(load(spark, d, "documents")).select("doc_id", "kind", "found_text").distinct()
+
+
+def p8_masked(spark: SparkSession, d: str) -> DataFrame:
+    return personal.mask(load(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_shares": p4_shares, "p2_found": p2_found, "p2_forms": p2_forms, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_ids": p6_ids, "p7_pack": p7_pack}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p4_shares": p4_shares, "p2_found": p2_found, "p2_forms": p2_forms, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_masked": p8_masked}
 
 
 def oracle_sql() -> dict[str, str]:
