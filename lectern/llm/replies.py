@@ -61,8 +61,14 @@ ECHO_SHARE, RUN = 0.85, 3
 
 def refuses(reply: str) -> bool:
     """Some sentence declines, and no other gives anything but regret, reasons or another offer; what is quoted is not said."""
-    said = [s for s in re.split(r"(?<=[.!?。！？])\s*|\n+", _QUOTED.sub(" ", reply)) if _TOKEN.search(s)]
-    return any(_DECLINES.search(s) for s in said) and all(_DECLINES.search(s) or _GOES_WITH.search(s) for s in said)
+    declined = False
+    for s in re.split(r"(?<=[.!?。！？])\s*|\n+", _QUOTED.sub(" ", reply)):
+        if _TOKEN.search(s):
+            if _DECLINES.search(s):
+                declined = True
+            elif not _GOES_WITH.search(s):
+                return False
+    return declined
 
 
 def _tokens(text: str) -> list[str]:
@@ -74,6 +80,9 @@ def echoes(prompt: str, reply: str) -> bool:
     asked, said = _tokens(prompt), _tokens(reply)
     if not asked or not said:
         return False
+    common = set(asked)
+    if sum(w not in common for w in said) > max(2, (1 - ECHO_SHARE) * len(said)):
+        return False
     run = min(RUN, len(said))
     runs = {tuple(asked[i : i + run]) for i in range(len(asked) - run + 1)}
     if len(said) < RUN:

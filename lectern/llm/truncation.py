@@ -9,6 +9,7 @@ neighbour, a longer copy elsewhere, was cut off, as was one whose last word is n
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,8 @@ from ..ordering import with_neighbour
 COMPLETE, CUT, OPEN, ITEM = "complete", "cut", "open", "item"
 #: Characters of a prefix by which runs of words are looked up before they are sorted.
 KEY = 4
+#: Prefixes are first sifted by this many slots, of which at most all are sent to the tasks; the join after them is exact.
+SLOTS = 1 << 18
 #: Words (ideographs) of an end that are compared; runs elsewhere have one word (several ideographs) more.
 END_WORDS, END_HAN = 4, 6
 
@@ -84,8 +87,8 @@ def judge_end(text: str | None, asked: bool = False) -> tuple[str, str]:
     if last.count("$$") % 2 or last.count("**") % 2:
         return CUT, ""
     items = [m.group(1) for m in map(_ITEM.match, lines) if m]
-    said = _ANNOUNCED.search(lines[0])
-    if said and lines[0].rstrip().endswith((":", "：")):
+    said = _ANNOUNCED.search(lines[0]) if lines[0].rstrip().endswith((":", "：")) else None
+    if said:
         word = (said.group(1) or said.group(2)).lower()
         if len(items) < (_BY_WORD.get(word) or (int(word) if word.isdigit() else 0)):
             return CUT, ""
@@ -133,17 +136,25 @@ def end_of(tail: str) -> str:
     return " ".join(_WORDS.findall(tail)[-END_WORDS:])
 
 
-def runs(text: str) -> set[str]:
-    """All runs of words that may hold an end and go on after it."""
+def slot(run: str) -> int:
+    """One of SLOTS numbers by the first KEY characters of a run."""
+    return zlib.crc32(run[:KEY].encode()) % SLOTS
+
+
+def runs(text: str, wanted: frozenset[int]) -> set[str]:
+    """All runs of words that may hold an end and go on after it, and whose slot is wanted."""
     out = set()
     for piece in _PIECES.split(text):
         if not piece:
             continue
         if _HAN.search(piece):
-            out.update(piece[i : i + END_HAN + 2] for i in range(max(1, len(piece) - 2)))
+            out.update(piece[i : i + END_HAN + 2] for i in range(max(1, len(piece) - 2)) if slot(piece[i : i + KEY]) in wanted)
         else:
             words = _WORDS.findall(piece)
-            out.update(" ".join(words[i : i + END_WORDS + 1]) for i in range(max(1, len(words) - 1)))
+            for i in range(max(1, len(words) - 1)):
+                first = words[i] if i < len(words) else ""
+                if slot(first if len(first) >= KEY else " ".join(words[i : i + KEY])) in wanted:
+                    out.add(" ".join(words[i : i + END_WORDS + 1]))
     return out
 
 
@@ -166,9 +177,15 @@ def truncated(messages: DataFrame, text_col: str = "content", role_col: str = "r
     undecided = judged.where(f"state IN ('{OPEN}', '{ITEM}')").where(F.length("tail") >= KEY)
     tails = undecided.select("tail").distinct()
 
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({slot(t) for t in batch.column(0).to_pylist()}), type=pa.int32())], names=["slot"])
+
+    wanted = frozenset(r.slot for r in tails.mapInArrow(slots, "slot int").distinct().collect())  # at most SLOTS
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {r for t in batch.column(0).to_pylist() for r in runs(t)}
+            found = {r for t in batch.column(0).to_pylist() for r in runs(t, wanted)}
             yield pa.RecordBatch.from_arrays([pa.array(list(found), type=pa.string())], names=["value"])
 
     keys = tails.select(F.substring("tail", 1, KEY).alias("_key")).distinct()
