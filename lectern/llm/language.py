@@ -90,4 +90,6 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled rows (text, lang, doc_id) of ``documents``; lang in any spelling that begins with the code."""
     code = F.lower(F.substring(F.trim("lang"), 1, 2))
     rows = documents.select("text", code.alias("lang"), F.xxhash64("doc_id").alias("_h")).where("text IS NOT NULL").where(F.col("lang").isin(*LATIN))
-    return Model([(r.text, r.lang) for r in rows.orderBy("_h", "text").limit(sample).collect()])
+    hashes = rows.select("_h").orderBy("_h").limit(sample).collect()  # the texts of the sample alone reach the driver
+    chosen = rows.where(F.col("_h") <= hashes[-1]._h).collect() if hashes else []
+    return Model([(r.text, r.lang) for r in sorted(chosen, key=lambda r: (r._h, r.text))[:sample]])
