@@ -84,3 +84,28 @@ def rank_in_groups(df: DataFrame, groups: list[str], order: list, out: str = "ra
     same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
     joined = laid.join(spans, [F.col("_part") == F.col("_p"), *same])
     return joined.withColumn(out, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_p", "_shift", *(f"_g_{g}" for g in groups))
+
+
+def fill_forward(df: DataFrame, group: str, order: list, col: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the last value of ``col`` that is not null, up to each row in the order of its group; null where there is none.
+
+    Within a partition a window finds it; the driver carries over one value of each partition.
+    """
+    laid = total_order(df, order)
+    at = F.monotonically_increasing_id()
+    laid = laid.select("*", F.shiftright(at, 33).cast("int").alias("_part"), at.alias("_at"))
+    local = F.last(col, ignorenulls=True).over(W.partitionBy("_part", group).orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
+    near = laid.withColumn("_near", local)
+    edges = laid.groupBy("_part").agg(F.min_by(group, "_at").alias("head"), F.max_by(group, "_at").alias("tail"), F.max(F.struct(F.when(F.col(col).isNotNull(), F.col("_at")).alias("at"), F.col(group).alias("g"), F.col(col).alias("v"))).alias("last"))
+    carried, group_now, value = [], None, None
+    for e in sorted(edges.collect(), key=lambda e: e._part):
+        carried.append((e._part, group_now, value if group_now == e.head else None))
+        if e.tail != e.head or group_now != e.head:
+            value = None
+        if e.last.at is not None and e.last.g == e.tail:
+            value = e.last.v
+        group_now = e.tail
+    schema = T.StructType([T.StructField("_p", T.IntegerType()), T.StructField("_g", laid.schema[group].dataType), T.StructField("_carried", laid.schema[col].dataType)])
+    carry = F.broadcast(df.sparkSession.createDataFrame([c for c in carried if c[2] is not None], schema))  # one row of each partition at most
+    joined = near.join(carry, (F.col("_part") == F.col("_p")) & (F.col(group) == F.col("_g")), "left")
+    return joined.withColumn(out, F.coalesce("_near", "_carried")).drop("_part", "_at", "_near", "_p", "_g", "_carried")

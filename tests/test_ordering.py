@@ -1,6 +1,6 @@
 import random
 
-from lectern.ordering import rank_in_groups, with_neighbour
+from lectern.ordering import fill_forward, rank_in_groups, with_neighbour
 
 
 def data(n=400, seed=1):
@@ -34,3 +34,15 @@ def test_empty(spark):
     df = spark.createDataFrame([], "g string, t int, id int")
     assert rank_in_groups(df, ["g"], ["t", "id"]).collect() == []
     assert with_neighbour(df, ["g", "t"], ["id"], True).collect() == []
+    assert fill_forward(df, "g", ["g", "t", "id"], "t", "last").collect() == []
+
+
+def test_fill_forward(spark):
+    r = random.Random(7)
+    rows = [(g, i, r.randint(0, 9) if r.random() < 0.03 else None) for i, g in enumerate(["hot"] * 300 + ["a", "b"] * 20)]
+    got = {(x.g, x.id): x["last"] for x in fill_forward(spark.createDataFrame(rows, "g string, id int, v int"), "g", ["g", "id"], "v", "last").collect()}
+    last = {}
+    for g, i, v in sorted(rows, key=lambda x: (x[0], x[1])):
+        if v is not None:
+            last[g] = v
+        assert got[(g, i)] == last.get(g)
