@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..cluster import load
-from . import conversations, language, lookalike, messages, packing, personal, replies, tokens
+from . import conversations, language, lookalike, messages, packing, personal, replies, scans, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +26,14 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify(rows, "text", "form", to).drop("text")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noisy_lines(load(spark, d, "page_ocr_cache"), load(spark, d, "books"))
+
+
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(load(spark, d, "page_ocr_cache"), load(spark, d, "books"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return replies.truncated_messages(load(spark, d, "ai_messages"))
 
@@ -63,7 +71,7 @@ def p8_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_shares": p4_shares, "p2_found": p2_found, "p2_forms": p2_forms, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_masked": p8_masked}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_shares": p4_shares, "p2_found": p2_found, "p2_forms": p2_forms, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_masked": p8_masked}
 
 
 def oracle_sql() -> dict[str, str]:
