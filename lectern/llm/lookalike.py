@@ -109,16 +109,17 @@ class Rewriter:
             self.automaton.add_word(a, (len(a), b))
         if several:
             self.automaton.make_automaton()
-        odd = "".join(regex.escape(chr(c)) for c in self.single)
-        self.odd = regex.compile(f"[{odd}]") if odd else None
-        starts = "".join(regex.escape(a) + "|" for a in several)[:-1]
-        self.sequences = regex.compile(starts) if starts else None
+        self.odd = frozenset(map(chr, self.single))
+        self.ascii = all(c > 127 for c in self.single) and all(not a.isascii() for a in several)
+        self.lasts = frozenset(a[-1] for a in several)
         self.marked = regex.compile(r"\p{M}")
 
     def __call__(self, text: str) -> str:
-        if self.odd is not None and self.odd.search(text):
+        if self.ascii and text.isascii():
+            return text.strip()
+        if not self.odd.isdisjoint(text):
             text = text.translate(self.single)
-        if self.automaton is not None and self.sequences.search(text):
+        if not self.lasts.isdisjoint(text):
             out, done = [], 0
             for end, (size, new) in self.automaton.iter_long(text):
                 out += text[done : end + 1 - size], new
