@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import library, pages, search, streams, talk
+
+_ALL = library.QUERIES | search.QUERIES | talk.QUERIES | pages.QUERIES | streams.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Queries without SQL are left out; they are tested against brute force."""
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
