@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 LANGUAGES = ("en", "de", "fr", "es", "zh")
 LATIN = LANGUAGES[:4]
 SAMPLE = 2000
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[一-鿿㐀-䶿]")
-_HAN = re.compile(r"[一-鿿㐀-䶿]")
+_WORD = re.compile(r"[㐀-鿿]+|[^\W\d_㐀-鿿]+(?:['’][^\W\d_㐀-鿿]+)*")
 
 
 def _grams(word: str) -> set[str]:
@@ -25,14 +24,12 @@ def _grams(word: str) -> set[str]:
 
 
 def words(text: str) -> list[str]:
-    """Words, an ideograph being a word of its own."""
-    out = []
-    for w in _WORD.findall(text):
-        if _HAN.search(w):
-            out += _HAN.findall(w)
-        else:
-            out.append(w)
-    return out
+    """Words; ideographs in a row make one."""
+    return _WORD.findall(text)
+
+
+def ideographs(word: str) -> bool:
+    return "㐀" <= word[0] <= "鿿"
 
 
 class Model:
@@ -43,7 +40,7 @@ class Model:
         for text, lang in labelled:
             if lang in counts:
                 for w, n in Counter(words(text)).items():
-                    if not _HAN.match(w):
+                    if not ideographs(w):
                         for g in _grams(w):
                             counts[lang][g] += min(n, 3)
         kept = {g for c in counts.values() for g, n in c.items() if n >= least}
@@ -71,14 +68,15 @@ class Model:
         return got
 
     def shares(self, text: str) -> dict[str, float]:
-        total = dict.fromkeys(LANGUAGES, 0.0)
-        for w in words(text):
-            if _HAN.match(w):
-                total["zh"] += 0.5
+        en = de = fr = es = zh = 0.0
+        vote = self.cache.get
+        for w in _WORD.findall(text):
+            if ideographs(w):
+                zh += 0.5 * len(w)
             else:
-                for lang, v in zip(LATIN, self.vote(w)):
-                    total[lang] += v
-        return total
+                v = vote(w) or self.vote(w)
+                en, de, fr, es = en + v[0], de + v[1], fr + v[2], es + v[3]
+        return dict(zip(LANGUAGES, (en, de, fr, es, zh)))
 
     def of(self, text: str) -> str | None:
         total = self.shares(text)

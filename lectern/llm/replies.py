@@ -48,8 +48,9 @@ LANGUAGE_NAMES = {
 }
 
 _DECLINES = re.compile("|".join(DECLINES), re.I)
-_GOES_WITH = re.compile("|".join(GOES_WITH), re.I)
+_EITHER = re.compile("|".join(DECLINES + GOES_WITH), re.I)
 _ASKING = {lang: re.compile(p, re.I) for lang, p in ASKING.items()}
+_ANY_ASKING = re.compile("|".join(ASKING.values()), re.I)
 _NAMES = {lang: re.compile(p, re.I) for lang, p in LANGUAGE_NAMES.items()}
 _QUOTED = re.compile(r"“[^”“]*[”“]|„[^“”]*[“”]|«[^»]*»|「[^」]*」|\"[^\"]*\"", re.S)
 _OPEN_QUOTE = re.compile(r"[“„«「].*$", re.S)
@@ -64,10 +65,9 @@ def refuses(reply: str) -> bool:
     declined = False
     for s in re.split(r"(?<=[.!?。！？])\s*|\n+", _QUOTED.sub(" ", reply)):
         if _TOKEN.search(s):
-            if _DECLINES.search(s):
-                declined = True
-            elif not _GOES_WITH.search(s):
+            if not _EITHER.search(s):
                 return False
+            declined = declined or bool(_DECLINES.search(s))
     return declined
 
 
@@ -101,7 +101,7 @@ def language_due(prompt: str, action: str | None, model: Model) -> str | None:
     parts = [p for p in _PARTS.split(own) if _TOKEN.search(p)]
     if not parts:
         return None
-    hits = [sum(len(p.findall(part)) for p in _ASKING.values()) for part in parts]
+    hits = [sum(1 for _ in _ANY_ASKING.finditer(part)) for part in parts]
     best = max(range(len(parts)), key=lambda i: (hits[i] > 0, i in (0, len(parts) - 1), hits[i], -i))
     part = parts[best]
     if action in ("translate", None):
