@@ -74,5 +74,17 @@ def queries() -> dict:
     return {"p1_found": p1_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_shares": p4_shares, "p2_found": p2_found, "p2_forms": p2_forms, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_masked": p8_masked}
 
 
+# Each message once, its earliest row, with what the rule of whole conversations asks of it.
+_MESSAGES = r"""WITH m AS (SELECT * FROM (SELECT id, thread_id, lower(regexp_replace(role, '^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$', '', 'g')) AS role, lower(regexp_replace(action_type, '^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$', '', 'g')) AS action_type, content, created_at, coalesce(trim(image_path) <> '', false) AS image,
+lower(regexp_replace(content, '(?s)<!--.*?-->|<[^<>]*>|&[a-z]+;|[\s\p{Z}\p{C}\p{P}\p{M}\p{Sm}\p{Sk}\p{Sc}\x{3164}\x{115F}\x{1160}]', '', 'g')) AS rest, row_number() OVER (PARTITION BY id ORDER BY created_at NULLS LAST, thread_id) AS rn FROM ai_messages WHERE id IS NOT NULL) WHERE rn = 1 AND thread_id IS NOT NULL),
+k AS (SELECT *, coalesce(rest <> '' AND rest NOT IN ({words}), false) AS readable, row_number() OVER (PARTITION BY thread_id, role = 'system' ORDER BY created_at, id) AS turn FROM m),
+t AS (SELECT thread_id, bool_and(created_at IS NOT NULL AND coalesce(role, '') IN ('user', 'assistant', 'system')) AND count(*) FILTER (WHERE role <> 'system') > 0 AND count(*) FILTER (WHERE role <> 'system') % 2 = 0
+AND coalesce(bool_and(CASE WHEN turn % 2 = 1 THEN role = 'user' AND (readable OR image) ELSE role = 'assistant' AND readable END) FILTER (WHERE coalesce(role, '') <> 'system'), false) AND thread_id IN (SELECT id FROM ai_threads) AS ok FROM k GROUP BY 1)""".replace("{words}", ", ".join(f"'{w}'" for w in messages.NO_VALUE_WORDS))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what it can express: the rule of problem 5.  The other operators are tested against brute force, round trips or held-out cases."""
+    return {
+        "p5_found": _MESSAGES + " SELECT thread_id FROM t WHERE NOT ok UNION SELECT id FROM ai_threads WHERE id NOT IN (SELECT thread_id FROM t)",
+        "p5_conversations": _MESSAGES + " SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY created_at, id) - 1 AS turn, id, role, nullif(action_type, '') AS action_type, created_at, content FROM m WHERE thread_id IN (SELECT thread_id FROM t WHERE ok)",
+    }
