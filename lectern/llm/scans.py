@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -37,6 +38,7 @@ MUCH, LONG_MUCH, SHORT, HAN_MUCH, FEW, RARE = 20, 7, 4, 3, 2, 3
 INDENT = 0.015
 
 _MISREAD_IN_WORD = re.compile(r"(?<=[A-Za-zÀ-ÿ])[0-9!@{}|$#%&*+=<>^~\\\[\]`´°(]+(?=[A-Za-zÀ-ÿ])|(?<![\w])[0-9@{|$(!]+(?=[a-zà-ÿ]{2})|(?<=[A-Za-zÀ-ÿ]{2})[0-9@{|$]+(?![\w])|(?<!\w)[lIO|]\d+|\d[lIO|](?=\d|(?!\w))")
+_SIGN_IN_WORD = re.compile(r"[a-zà-ÿ][!{@|]")
 _SPLIT_ACCENT = re.compile(r"[a-zà-ÿ][:`´¨][a-zà-ÿ]")
 _TOKEN = re.compile(r"[^\s,.;:，。；：、“”\"()«»„？?…—/]+(?:\([^\s,.;:()]+)?")
 _ELIDED = re.compile(r"^[A-Za-z]{1,2}['’](?=\w{2})")
@@ -51,6 +53,14 @@ _WORD_START = re.compile(r"^\s*([A-Za-zÀ-ÖØ-öø-ÿœŒ0-9!@{}|$#'’`´°(]+
 _READ = None
 
 
+#: Slots by which words are sifted before they are joined.
+SLOTS = 1 << 20
+
+
+def slot(word: str) -> int:
+    return zlib.crc32(word.encode()) % SLOTS
+
+
 def _reader() -> Rewriter:
     global _READ
     if _READ is None:
@@ -173,6 +183,16 @@ def _count(labels: list[str], seen: list[tuple[str, str, str]], counts: Counter)
         counts[(f"{s}/all", "/".join(o))] += 1
 
 
+def line_dicts(column: pa.Array) -> list[list[dict] | None]:
+    """A column of lists of structs as Python values, field by field, which is faster than value by value."""
+    values = column.values
+    fields = [(f.name, values.field(f.name).to_pylist()) for f in values.type]
+    names = [n for n, _ in fields]
+    rows = [dict(zip(names, v)) for v in zip(*(v for _, v in fields))]
+    ends = column.offsets.to_pylist()
+    return [rows[a:b] if ok else None for a, b, ok in zip(ends, ends[1:], column.is_valid().to_pylist())]
+
+
 def _pages(scans: DataFrame, books: DataFrame) -> DataFrame:
     titles = books.where("id IS NOT NULL").groupBy("id").agg(F.min("title").alias("_title"))
     lines = F.transform("result.lines", lambda x: F.struct(x["text"].alias("text"), x["x"].alias("x"), x["y"].alias("y"), x["w"].alias("w")))
@@ -187,14 +207,14 @@ def fit(pages: DataFrame) -> Layout:
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([layout(v)["top"] for v in batch.column(0).to_pylist() if v], type=pa.float64())], names=["top"])
+            yield pa.RecordBatch.from_arrays([pa.array([layout(v)["top"] for v in line_dicts(batch.column(0)) if v], type=pa.float64())], names=["top"])
 
     usual = pages.select(places).mapInArrow(tops, "top double").agg(F.percentile_approx("top", 0.5, 1000)).first()[0] or 0.1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for lines, title in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for lines, title in zip(line_dicts(batch.column(0)), batch.column(1).to_pylist()):
                 if lines:
                     page, name = layout(lines, usual), _clean_title(title)
                     seen = [observe(x, page, name) for x in lines]
@@ -218,7 +238,7 @@ def label(pages: DataFrame, model: Layout) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for book, page_no, mode, lines, title in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for book, page_no, mode, lines, title in zip(*(batch.column(i).to_pylist() for i in range(3)), line_dicts(batch.column(3)), batch.column(4).to_pylist()):
                 if not lines:
                     continue
                 page, name = layout(lines, model.usual_top), _clean_title(title)
@@ -428,12 +448,27 @@ class Scans:
         self.broken = cut(hit)
 
     def own_words(self) -> DataFrame:
-        """(book_id, page, ocr_mode, line_no, word, odd): the whole words of running text; odd: characters that no word has."""
+        """(book_id, page, ocr_mode, line_no, word, odd): whole words of running text that may be misread; odd: characters that no word has.
+
+        Words are sifted by slots of which the misread ones fill at most SLOTS; what is left is to be joined with them.
+        """
         key = ["book_id", "page", "ocr_mode", "line_no"]
 
+        def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(sorted({slot(w) for w in batch.column(0).to_pylist()}), type=pa.int32())], names=["slot"])
+
+        taken = bytearray(SLOTS)
+        for r in self.wrong.select("word").mapInArrow(slots, "slot int").distinct().collect():  # at most SLOTS
+            taken[r.slot] = 1
+        taken = bytes(taken)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[str, tuple[bool, bool]] = {}
             for batch in batches:
                 rows, found, odd = [], [], []
+                if len(known) > 300_000:
+                    known.clear()
                 for i, (text, first, broken) in enumerate(zip(*(batch.column(k).to_pylist() for k in (4, 5, 6)))):
                     own = tokens_of(text)
                     own = own[1 if first else 0 : -1 if broken else None]
@@ -443,10 +478,14 @@ class Scans:
                         rows.append(i)
                         found.append(text)
                         odd.append(True)
-                    for w in set(own):
-                        rows.append(i)
-                        found.append(w)
-                        odd.append(bool(_MISREAD_IN_WORD.search(w)) or bool(re.search(r"[a-zà-ÿ][!{@|]", w)))
+                    for w in own:
+                        says = known.get(w)
+                        if says is None:
+                            says = known[w] = (bool(taken[slot(w)]), bool(_MISREAD_IN_WORD.search(w) or _SIGN_IN_WORD.search(w)))
+                        if says[0] or says[1]:
+                            rows.append(i)
+                            found.append(w)
+                            odd.append(says[1])
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(rows, type=pa.int32())) for k in range(4)), pa.array(found, type=pa.string()), pa.array(odd, type=pa.bool_())], names=[*key, "word", "odd"])
 
         begun = self.broken.where("next_no IS NOT NULL").select("book_id", F.col("next_page").alias("page"), F.col("next_mode").alias("ocr_mode"), F.col("next_no").alias("line_no"), F.lit(True).alias("begun")).distinct()
@@ -461,8 +500,7 @@ class Scans:
         furniture = self.lines.where(f"state IN ('{HEAD}', '{NUMBER}')").select(*key, F.when(F.col("state") == HEAD, "running_head").otherwise("page_number").alias("kind"))
         hyphens = self.broken.select(*key, F.lit("hyphen").alias("kind"))
 
-        own = self.own_words()
-        whole = own.join(self.wrong.select("word"), "word", "left_semi").select(*key).unionByName(own.where("odd").select(*key))
+        whole = self.own_words().join(self.wrong.select("word", F.lit(True).alias("hit")), "word", "left").where("odd OR hit").select(*key)
 
         joined = self.broken.where("next IS NOT NULL").withColumn("word", F.concat("tail", "next")).join(self.wrong, "word")
         left = joined.where(~F.expr("startswith(right, tail)")).select(*key)
