@@ -33,6 +33,8 @@ HYPHENS = "-‐‑­¬"
 #: A word is misread if another of its skeleton is this many times as frequent (LONG_MUCH for words of more than SHORT letters, HAN_MUCH for ideographs in their context); a rare
 #: one, seen at most RARE times, if FEW times.
 MUCH, LONG_MUCH, SHORT, HAN_MUCH, FEW, RARE = 20, 7, 4, 3, 2, 3
+#: Words are first compared with so many of the most frequent ones of their skeleton; what these don't explain, with all others.
+FIRST = 12
 
 #: How far an indented line begins behind the margin, as a share of the page's width.
 INDENT = 0.015
@@ -396,17 +398,24 @@ def misread_words(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([skeleton(w) for w in batch.column(0).to_pylist()], type=pa.string())], names=["word", "n", "skeleton"])
 
     shaped = words.where(F.length("word") > 1).mapInArrow(run, "word string, n long, skeleton string")
-    frequent = shaped.groupBy("skeleton").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "word")), False), 1, 12).alias("top"))
-    both = shaped.join(frequent.where(F.size("top") > 1), "skeleton").select("word", "n", F.explode("top").alias("t")).where("t.word <> word AND t.n > n")
-    both = both.where(f"t.n >= {MUCH} * n OR length(word) > {SHORT} AND t.n >= {LONG_MUCH} * n OR word RLIKE '^[012].?.?[\\u4e00-\\u9fff]' AND t.n >= {HAN_MUCH} * n OR n <= {RARE} AND t.n >= {FEW} * n OR word RLIKE '^[^0-9].*[0-9!@{{|`$(]|^[0-9][a-zA-Z]'").select("word", F.col("t.word").alias("right"), F.col("t.n").alias("m"))
+    place = F.row_number().over(W.partitionBy("skeleton").orderBy(F.desc("n"), "word"))
+    ranked = shaped.withColumn("_place", place).select("skeleton", F.col("word").alias("right"), F.col("n").alias("m"), "_place")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [explains(w, r) for w, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
-    ok = both.mapInArrow(check, "word string, right string, m long")
-    return ok.groupBy("word").agg(F.max_by("right", F.struct("m", "right")).alias("right"))
+    def explained(some: DataFrame, candidates: DataFrame) -> DataFrame:
+        both = some.join(candidates, "skeleton").where("right <> word AND m > n")
+        both = both.where(
+            f"m >= {MUCH} * n OR length(word) > {SHORT} AND m >= {LONG_MUCH} * n OR word RLIKE '^[012].?.?[\\u4e00-\\u9fff]' AND m >= {HAN_MUCH} * n OR n <= {RARE} AND m >= {FEW} * n OR word RLIKE '^[^0-9].*[0-9!@{{|`$(]|^[0-9][a-zA-Z]'"
+        ).select("word", "right", "m")
+        return both.mapInArrow(check, "word string, right string, m long").groupBy("word").agg(F.max_by("right", F.struct("m", "right")).alias("right"))
+
+    near = cut(explained(shaped, ranked.where(f"_place <= {FIRST}").drop("_place")))
+    far = explained(shaped.join(near, "word", "left_anti"), ranked.where(f"_place > {FIRST}").drop("_place"))
+    return near.unionByName(far)
 
 
 def broken_words(joins: DataFrame, words: DataFrame) -> DataFrame:
