@@ -39,9 +39,9 @@ FIRST = 12
 #: How far an indented line begins behind the margin, as a share of the page's width.
 INDENT = 0.015
 
-_MISREAD_IN_WORD = re.compile(r"(?<=[A-Za-zÀ-ÿ])[0-9!@{}|$#%&*+=<>^~\\\[\]`´°(]+(?=[A-Za-zÀ-ÿ])|(?<![\w])[0-9@{|$(!]+(?=[a-zà-ÿ]{2})|(?<=[A-Za-zÀ-ÿ]{2})[0-9@{|$]+(?![\w])|(?<!\w)[lIO|]\d+|\d[lIO|](?=\d|(?!\w))")
+_MISREAD_IN_WORD = re.compile(r"(?<=[A-Za-zÀ-ÿ])[0-9!@{}|$#%&*+=<>^~\\\[\]`´°(]+(?=[A-Za-zÀ-ÿ])|(?<![\w])[0-9@{|$(!]+(?=[a-zà-ÿ]{2})|(?<=[A-Za-zÀ-ÿ]{2})[0-9@{|$]+(?![\w])|(?<!\w)[lIOSBZ|]\d{2,}(?!\w)|(?<!\w)\d+[lIOSBZ|](?=\d)|(?<!\w)\d{2,}[lIOSBZ|](?!\w)")
 _SIGN_IN_WORD = re.compile(r"[a-zà-ÿ][!{@|]")
-_SPLIT_ACCENT = re.compile(r"[a-zà-ÿ][:`´¨][a-zà-ÿ]")
+_SPLIT_ACCENT = re.compile(r"[a-zà-ÿ][:`´¨][a-zà-ÿ]|\d\?[,;.]")
 _TOKEN = re.compile(r"[^\s,.;:，。；：、“”\"()«»„？?…—/]+(?:\([^\s,.;:()]+)?")
 _ELIDED = re.compile(r"^[A-Za-z]{1,2}['’](?=\w{2})")
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿœŒ]")
@@ -66,7 +66,8 @@ def slot(word: str) -> int:
 def _reader() -> Rewriter:
     global _READ
     if _READ is None:
-        _READ = Rewriter(rules({chr(i): 1000 if i < 128 else 2 if 192 <= i < 0x250 else 1 for i in [*range(32, 0x590), *range(0x1D00, 0x2600), *range(0x2E80, 0x3000), 0x3000, *range(0x4E00, 0xA000), *range(0xFB00, 0xFB07), *range(0xFE00, 0xFE10), *range(0xFEFF, 0xFFEF)]}))
+        blocks = ((32, 127, 1000), (0xA0, 0x250, 20), (0x3001, 0x3040, 20), (0x4E00, 0xA000, 20), (0x250, 0x590, 1), (0x1D00, 0x2600, 1), (0x2E80, 0x3001, 1), (0xFB00, 0xFB07, 1), (0xFE00, 0xFE10, 1), (0xFEFF, 0xFFEF, 1))
+        _READ = Rewriter(rules({chr(i): weight for first, end, weight in blocks for i in range(first, end)}))
     return _READ
 
 
@@ -308,8 +309,14 @@ def split_line(text: str, tail: str | None) -> list[str]:
     return found[1 : -1 if tail is not None else None] + (han_tokens(text) if _HAN.search(text) else [])
 
 
+def edge_words(text: str, tail: str | None) -> list[str]:
+    """The other words of a line: they are words to be judged, but don't count, as they may be fragments."""
+    found = tokens_of(text)
+    return found[:1] + (found[-1:] if tail is not None else [])
+
+
 def words_of(lines: DataFrame, joins: DataFrame) -> DataFrame:
-    """(word, n): whole words within lines of running text and, of broken ones, the joined; compounds also by their parts."""
+    """(word, n), n 0 for words seen at the edges of lines alone: whole words within lines of running text and, of broken ones, the joined; compounds also by their parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -319,6 +326,8 @@ def words_of(lines: DataFrame, joins: DataFrame) -> DataFrame:
                     counts[w] += 1
                     if "-" in w and not _HAN.search(w):
                         counts.update(p for p in w.split("-") if p)
+                for w in edge_words(text, tail):
+                    counts[w] += 0
             if len(counts) > 500_000:
                 yield out(counts)
                 counts = Counter()
@@ -397,7 +406,7 @@ def misread_words(words: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([skeleton(w) for w in batch.column(0).to_pylist()], type=pa.string())], names=["word", "n", "skeleton"])
 
-    shaped = words.where(F.length("word") > 1).mapInArrow(run, "word string, n long, skeleton string")
+    shaped = words.where(F.length("word") > 1).select("word", F.greatest("n", F.lit(1).cast("long")).alias("n")).mapInArrow(run, "word string, n long, skeleton string")
     place = F.row_number().over(W.partitionBy("skeleton").orderBy(F.desc("n"), "word"))
     ranked = shaped.withColumn("_place", place).select("skeleton", F.col("word").alias("right"), F.col("n").alias("m"), "_place")
 
