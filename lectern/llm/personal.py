@@ -7,6 +7,7 @@ are then detected in the plain result, and their spans are mapped back to the ch
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -87,7 +88,10 @@ PHONE = [
 _PHONE_END = r"(?![\d]|[.,/-]\d|/\p{L}|-\p{L})"
 
 _EMAIL = regex.compile(rf"(?<![{_A}.+%@-])" + r"[A-Za-z0-9_](?:[A-Za-z0-9._%+-]{0,63})[ \n]?@[ \n]?[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9][A-Za-z0-9-]{0,62}){0,8}\.(?!(?i:png|jpe?g|gif|svg|webp|pdf|txt|csv|bmp|tiff?)(?![A-Za-z]))[A-Za-z]{2,}(?![A-Za-z0-9])")
-_FOUND = [(kind, regex.compile(p)) for kind, ps in (("address", ADDRESS), ("identity", IDENTITY)) for p in ps] + [("phone", regex.compile(p + _PHONE_END + _EXT)) for p in PHONE]
+#: What a text must have for a pattern to match, which is seen faster than the pattern.
+_FIVE, _CODED, _SIX, _THREE_FOUR = (re.compile(p) for p in (r"\d{5}", r"\d[A-Z]{2}|\d{5}", r"\d(?:\D{0,3}\d){5}", r"\d{3}\)?[ \n.-]?\d{3}[ \n.-]\d{4}"))
+_NEEDS = {ADDRESS[0]: _CODED, ADDRESS[1]: _CODED, ADDRESS[2]: _FIVE, ADDRESS[3]: _FIVE, ADDRESS[4]: _FIVE, ADDRESS[5]: re.compile("[路街道巷弄同]\\d"), PHONE[2]: _THREE_FOUR, IDENTITY[6]: re.compile("000")}
+_FOUND = [(kind, regex.compile(p), _NEEDS.get(p, _SIX)) for kind, ps in (("address", ADDRESS), ("identity", IDENTITY)) for p in ps] + [("phone", regex.compile(p + _PHONE_END + _EXT), _NEEDS.get(p, _SIX)) for p in PHONE]
 
 _W = r"\p{Latin}[\p{Latin}'’]{1,40}"
 _LAST = rf"{_W}(?:-{_W})?"
@@ -117,6 +121,8 @@ _EDITS = [
     (regex.compile(rf"(?<=@[A-Za-z0-9.-]{{1,40}})[ \n](?i:{_POINT})[ \n](?=[A-Za-z0-9])"), "."),
     (regex.compile(r"(?<=[A-Za-z0-9_])@[ \n](?=[A-Za-z0-9-]{1,63}\.)"), "@"),
 ]
+_SHORT_WORDS = re.compile(r"(?:(?:[^\W\d_]{2,6}|\d)[ \n-]){6}(?:[^\W\d_]{2,6}|\d)|[零〇一二三四五六七八九]{7}")
+_HAN = re.compile(r"[一-鿿]")
 _DIGIT_RUN = regex.compile(rf"(?<!\p{{L}})(?i:{_SPELLED}|\d)(?:[ \n-](?i:{_SPELLED}|\d)){{6,}}(?!\p{{L}})|[零〇一二三四五六七八九]{{7,}}")
 _DIGIT_WORD = regex.compile(rf"(?i:{_SPELLED})|[零〇一二三四五六七八九]")
 
@@ -201,19 +207,23 @@ def normalise(source: str) -> Traced:
     if _ODD.search(source):
         traced = traced.rewrite([(m.start(), m.end(), new) for m in _ODD.finditer(source) if (new := _plain(m.group())) is not None])
     runs = []
-    for m in _DIGIT_RUN.finditer(traced.text):
+    for m in _DIGIT_RUN.finditer(traced.text) if _SHORT_WORDS.search(traced.text) else ():
         last = m.start()
         for w in regex.finditer(rf"{_DIGIT_WORD.pattern}|\d", m.group()):
             runs.append((last, m.start() + w.end(), _DIGIT_OF.get(w.group().lower(), w.group())))
             last = m.start() + w.end()
     traced = traced.rewrite(runs)
-    for pattern, sign in _EDITS:
+    low = traced.text.lower()
+    bracket, spoken = any(c in low for c in "[({<"), any(f" {w}" in low or f"\n{w}" in low for w in DOT_WORDS) or any(f"{w} " in low for w in AT_WORDS[1:]) or "@" in low or "." in low and " at " in low
+    for needed, (pattern, sign) in zip((bracket, bracket, spoken, "@" in low or bracket or spoken, "@" in low), _EDITS):
+        if not needed:
+            continue
         traced = traced.rewrite([(m.start(), m.end(), sign) for m in pattern.finditer(traced.text)])
     return traced
 
 
 def _names(text: str) -> Iterator[tuple[int, int]]:
-    for pattern in (_NAMED, _C_NAMED, _C_CLOSED):
+    for pattern in (_NAMED, _C_NAMED, _C_CLOSED) if _HAN.search(text) else (_NAMED,):
         for m in pattern.finditer(text, overlapped=pattern is _NAMED):
             a, b = m.span("name")
             first = regex.split(r"[ \n,]+", m.group("name"))
@@ -223,6 +233,9 @@ def _names(text: str) -> Iterator[tuple[int, int]]:
                 yield a, b
 
 
+_ALL_NEEDS = list(dict.fromkeys(need for _, _, need in _FOUND))
+
+
 def find(source: str, given: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     """(begin, end, kind) of every piece in the source text, in order, none within another.
 
@@ -239,13 +252,14 @@ def find(source: str, given: frozenset[str] = frozenset()) -> list[tuple[int, in
 
     for m in _EMAIL.finditer(text):
         add(*m.span(), "email")
-    for kind, pattern in _FOUND:
-        for m in pattern.finditer(text):
+    has = {need: bool(need.search(text)) for need in _ALL_NEEDS}
+    for kind, pattern, need in _FOUND:
+        for m in pattern.finditer(text) if has[need] else ():
             if kind != "phone" or 7 <= sum(c.isdigit() for c in m.group()) <= 21:
                 add(*m.span(), kind)
     for a, b in _names(text):
         add(a, b, "name")
-    for m in _C_OPEN.finditer(text):
+    for m in _C_OPEN.finditer(text) if "名" in text else ():
         a, b = m.span("name")
         surname = 2 if text[a : a + 2] in _DOUBLE else 1
         b = min(b, a + surname + 2)
