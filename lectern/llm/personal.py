@@ -98,11 +98,12 @@ _LAST = rf"{_W}(?:-{_W})?"
 _INITIAL = r"\p{Lu}\."
 _S = r"[ \n]{1,2}"
 LATIN_NAME = rf"(?<![\p{{Latin}}'’-])(?:{_INITIAL}(?:{_S}?{_INITIAL})*{_S}{_LAST}|{_LAST},{_S}(?:{_INITIAL}(?:{_S}{_INITIAL})*|{_W}(?:{_S}{_INITIAL})*)|{_W}(?:{_S}{_INITIAL})*{_S}{_LAST})(?![\p{{Latin}}'’-])"
-_COLON = r"[ \n]?[:：][ \n]?"
+#: What stands before a name, in lower case, up to the name's first letter.
 _BEFORE = "|".join(
-    [rf"(?i:{'|'.join(TITLES)}|M(?=\.))\.?{_S}", rf"(?i:{'|'.join(LABELS)}){_COLON}", rf"(?i:{'|'.join(x for x in LABELS if x not in ONLY_WITH_COLON)}){_S}", r"(?i:kontakt|contact|contacto)[ \n]", r"(?i:signed|gezeichnet|signé|firmado)[ \n][“\"«„][ \n]?", r"(?i:form|formular|formulaire|formulario)[ \n]\d+[ \n]?\|[ \n]?"]
+    [rf"(?:{'|'.join(TITLES)})\.?[ \n]{{1,2}}".lower(), r"m\.[ \n]{1,2}", rf"(?:{'|'.join(LABELS)})[ \n]?[:：][ \n]?", rf"(?:{'|'.join(x for x in LABELS if x not in ONLY_WITH_COLON)})[ \n]{{1,2}}", r"(?:kontakt|contacto?)[ \n]", r"(?:signed|gezeichnet|signé|firmado)[ \n][“\"«„][ \n]?", r"(?:form|formular|formulaire|formulario)[ \n]\d+[ \n]?\|[ \n]?"]
 )
-_NAMED = regex.compile(rf"(?<![\p{{L}}])(?:{_BEFORE})(?P<name>{LATIN_NAME})")
+_BEFORE_NAME = re.compile(rf"(?<![^\W\d_])(?=({_BEFORE}))")
+_NAME = regex.compile(LATIN_NAME)
 _C_AFTER = rf"(?:{'|'.join(CHINESE_LABELS)})[:：]?[ \n]?"
 _C_NAMED = regex.compile(rf"(?:{_C_AFTER}(?P<name>{LATIN_NAME}))|(?P<name>{LATIN_NAME})[ \n]?(?:{'|'.join(CHINESE_TITLES)})")
 _HAN_NAME = rf"(?:(?:{'|'.join(DOUBLE_SURNAMES)})\p{{Han}}{{1,2}}|\p{{Han}}{{2,3}})"
@@ -121,12 +122,16 @@ _EDITS = [
     (regex.compile(rf"(?<=@[A-Za-z0-9.-]{{1,40}})[ \n](?i:{_POINT})[ \n](?=[A-Za-z0-9])"), "."),
     (regex.compile(r"(?<=[A-Za-z0-9_])@[ \n](?=[A-Za-z0-9-]{1,63}\.)"), "@"),
 ]
-_SHORT_WORDS = re.compile(r"(?:(?:[^\W\d_]{2,6}|\d)[ \n-]){6}(?:[^\W\d_]{2,6}|\d)|[零〇一二三四五六七八九]{7}")
+_SEVEN_HAN = re.compile("[零〇一二三四五六七八九]{7}")
 _HAN = re.compile(r"[一-鿿]")
 _DIGIT_RUN = regex.compile(rf"(?<!\p{{L}})(?i:{_SPELLED}|\d)(?:[ \n-](?i:{_SPELLED}|\d)){{6,}}(?!\p{{L}})|[零〇一二三四五六七八九]{{7,}}")
 _DIGIT_WORD = regex.compile(rf"(?i:{_SPELLED})|[零〇一二三四五六七八九]")
 
 
+_NO_MARKS = str.maketrans(dict.fromkeys("-.,;:!?()[]{}\"'“”„«»/|…", " "))
+_DIGIT_TOKENS = {w.lower() for w in _DIGIT_OF} | set("0123456789")
+
+
 class Traced:
     """A text with, for each of its pieces, where it came from.  Pieces that were rewritten map as a whole."""
 
@@ -202,12 +207,17 @@ def _plain(c: str) -> str | None:
 _ODD = regex.compile(r"[^\x20-\x7e\n\p{Han}，。；：、“”‘’«»¿¡·…—a-zA-ZÀ-ÖØ-öø-ÿœŒºª]|[\t\r]")
 
 
+def _maybe_spelled(text: str) -> bool:
+    """Whether seven or more words of the text are digits or spelled ones, or seven Chinese ones stand in a row."""
+    return sum(map(_DIGIT_TOKENS.__contains__, text.lower().translate(_NO_MARKS).split())) >= 7 or bool(_SEVEN_HAN.search(text))
+
+
 def normalise(source: str) -> Traced:
     traced = Traced.of(source)
     if _ODD.search(source):
         traced = traced.rewrite([(m.start(), m.end(), new) for m in _ODD.finditer(source) if (new := _plain(m.group())) is not None])
     runs = []
-    for m in _DIGIT_RUN.finditer(traced.text) if _SHORT_WORDS.search(traced.text) else ():
+    for m in _DIGIT_RUN.finditer(traced.text) if _maybe_spelled(traced.text) else ():
         last = m.start()
         for w in regex.finditer(rf"{_DIGIT_WORD.pattern}|\d", m.group()):
             runs.append((last, m.start() + w.end(), _DIGIT_OF.get(w.group().lower(), w.group())))
@@ -223,14 +233,19 @@ def normalise(source: str) -> Traced:
 
 
 def _names(text: str) -> Iterator[tuple[int, int]]:
-    for pattern in (_NAMED, _C_NAMED, _C_CLOSED) if _HAN.search(text) else (_NAMED,):
-        for m in pattern.finditer(text, overlapped=pattern is _NAMED):
-            a, b = m.span("name")
-            first = regex.split(r"[ \n,]+", m.group("name"))
-            if "," in m.group("name") and not all(w[:1].isupper() for w in first):
-                continue  # "Dear reader, thank you"
-            if not any(w.lower() in _NO_NAME for w in first[:2]):
-                yield a, b
+    low = text.lower()
+    if len(low) != len(text):  # some capitals have longer small letters
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+    found = [m.span() for hit in _BEFORE_NAME.finditer(low) if (m := _NAME.match(text, hit.end(1)))]
+    if _HAN.search(text):
+        found += [m.span("name") for pattern in (_C_NAMED, _C_CLOSED) for m in pattern.finditer(text)]
+    for a, b in found:
+        name = text[a:b]
+        words = regex.split(r"[ \n,]+", name)
+        if "," in name and not all(w[:1].isupper() for w in words):
+            continue  # "Dear reader, thank you"
+        if not any(w.lower() in _NO_NAME for w in words[:2]):
+            yield a, b
 
 
 _ALL_NEEDS = list(dict.fromkeys(need for _, _, need in _FOUND))
