@@ -11,11 +11,11 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .lookalike import LOOK_ALIKE_LETTERS
 
@@ -122,6 +122,7 @@ _EDITS = [
     (regex.compile(rf"(?<=@[A-Za-z0-9.-]{{1,40}})[ \n](?i:{_POINT})[ \n](?=[A-Za-z0-9])"), "."),
     (regex.compile(r"(?<=[A-Za-z0-9_])@[ \n](?=[A-Za-z0-9-]{1,63}\.)"), "@"),
 ]
+_BRACKET_AT, _BRACKET_DOT, _SPOKEN_AT = (re.compile(p) for p in (rf"[\[({{<][ \n]?(?:{_SIGN}|@)", rf"[\[({{<][ \n]?(?:{_POINT}|\.)", rf"[ \n](?:{_SIGN})[ \n][a-z0-9-]{{1,63}}(?:[ \n](?:{_POINT})|\.[a-z])"))
 _SEVEN_HAN = re.compile("[零〇一二三四五六七八九]{7}")
 _HAN = re.compile(r"[一-鿿]")
 _DIGIT_RUN = regex.compile(rf"(?<!\p{{L}})(?i:{_SPELLED}|\d)(?:[ \n-](?i:{_SPELLED}|\d)){{6,}}(?!\p{{L}})|[零〇一二三四五六七八九]{{7,}}")
@@ -224,9 +225,10 @@ def normalise(source: str) -> Traced:
             last = m.start() + w.end()
     traced = traced.rewrite(runs)
     low = traced.text.lower()
-    bracket, spoken = any(c in low for c in "[({<"), any(f" {w}" in low or f"\n{w}" in low for w in DOT_WORDS) or any(f"{w} " in low for w in AT_WORDS[1:]) or "@" in low or "." in low and " at " in low
-    for needed, (pattern, sign) in zip((bracket, bracket, spoken, "@" in low or bracket or spoken, "@" in low), _EDITS):
-        if not needed:
+    dots = any(w in low for w in DOT_WORDS)
+    needed = (_BRACKET_AT.search(low), _BRACKET_DOT.search(low), _SPOKEN_AT.search(low), dots, "@" in low)
+    for need, (pattern, sign) in zip(needed, _EDITS):
+        if not need:
             continue
         traced = traced.rewrite([(m.start(), m.end(), sign) for m in pattern.finditer(traced.text)])
     return traced
@@ -308,6 +310,10 @@ def given_characters(text: str) -> list[str]:
     return out
 
 
+#: One of these stands beside every Chinese name that something ends.
+_GIVEN_HINTS = ["联系人", "寄件人", "收件人", "借书人", "负责人", "借给", "签名", "署名", "姓名", "作者", *CHINESE_TITLES]
+
+
 def learn_given(df: DataFrame, text_col: str = "text", least: int = 3) -> frozenset[str]:
     """Characters that occur in given names of the corpus at least ``least`` times; at most as many as there are ideographs."""
 
@@ -315,12 +321,12 @@ def learn_given(df: DataFrame, text_col: str = "text", least: int = 3) -> frozen
         counts: dict[str, int] = {}
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                if t and any(x in t for x in ("联系人", "寄件人", "借给", "女士", "先生")):
-                    for c in given_characters(t):
-                        counts[c] = counts.get(c, 0) + 1
+                for c in given_characters(t or ""):
+                    counts[c] = counts.get(c, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), type=pa.string()), pa.array(list(counts.values()), type=pa.int64())], names=["c", "n"])
 
-    found = df.select(text_col).mapInArrow(run, "c string, n long").groupBy("c").sum("n").where(f"`sum(n)` >= {least}")
+    some = reduce(lambda a, b: a | b, [F.contains(F.col(f"`{text_col}`"), F.lit(x)) for x in _GIVEN_HINTS])
+    found = df.select(f"`{text_col}`").where(some).mapInArrow(run, "c string, n long").groupBy("c").sum("n").where(f"`sum(n)` >= {least}")
     return frozenset(r.c for r in found.collect())
 
 
