@@ -137,8 +137,8 @@ def settings_json(s, d):
     return load(s, d, "events").select("event_id", c["temperature"].alias("temperature"), c["history"].alias("history"), c["ocr_mode"].alias("ocr_mode"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-def categories_last_action(s, d):
-    b = load(s, d, "books").join(F.broadcast(load(s, d, "categories").select(F.col("id").alias("category_id"), "name")), "category_id", "left")  # the categories are a fixed dozen
+def books_by_category(s, d):
+    b = load(s, d, "books").join(load(s, d, "categories").select(F.col("id").alias("category_id"), "name"), "category_id", "left")
     return b.groupBy(F.coalesce("name", F.lit("none")).alias("category")).agg(F.count("*").alias("books"), F.count_if(F.col("last_opened_at").isNotNull()).alias("opened"))
 
 
@@ -187,5 +187,5 @@ SELECT user_id AS book_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_ma
 SELECT event_id, page0, page0 // 2 AS pair FROM q WHERE page0 >= 0 AND page0 < 40""",
     ),
     "settings_json": (settings_json, "SELECT event_id, greatest(0.0, least(2.0, json_extract(props, '$.k')::DOUBLE)) AS temperature, true AS history, 'high_precision' AS ocr_mode, json_extract(props, '$.k')::BIGINT AS k FROM events"),
-    "categories_last_action": (categories_last_action, "SELECT coalesce(c.name, 'none') AS category, count(*) AS books, count(b.last_opened_at) AS opened FROM books b LEFT JOIN categories c ON b.category_id = c.id GROUP BY 1"),
+    "books_by_category": (books_by_category, "SELECT coalesce(c.name, 'none') AS category, count(*) AS books, count(b.last_opened_at) AS opened FROM books b LEFT JOIN categories c ON b.category_id = c.id GROUP BY 1"),
 }
