@@ -102,7 +102,7 @@ LATIN_NAME = rf"(?<![\p{{Latin}}'’-])(?:{_INITIAL}(?:{_S}?{_INITIAL})*{_S}{_LA
 _BEFORE = "|".join(
     [rf"(?:{'|'.join(TITLES)})\.?[ \n]{{1,2}}".lower(), r"m\.[ \n]{1,2}", rf"(?:{'|'.join(LABELS)})[ \n]?[:：][ \n]?", rf"(?:{'|'.join(x for x in LABELS if x not in ONLY_WITH_COLON)})[ \n]{{1,2}}", r"(?:kontakt|contacto?)[ \n]", r"(?:signed|gezeichnet|signé|firmado)[ \n][“\"«„][ \n]?", r"(?:form|formular|formulaire|formulario)[ \n]\d+[ \n]?\|[ \n]?"]
 )
-_BEFORE_NAME = re.compile(rf"(?<![^\W\d_])(?=({_BEFORE}))")
+_BEFORE_NAME = re.compile(rf"(?<![^\W\d_])(?<![-‐‑­¬]\n)(?=({_BEFORE}))")
 _NAME = regex.compile(LATIN_NAME)
 _C_AFTER = rf"(?:{'|'.join(CHINESE_LABELS)})[:：]?[ \n]?"
 _C_NAMED = regex.compile(rf"(?:{_C_AFTER}(?P<name>{LATIN_NAME}))|(?P<name>{LATIN_NAME})[ \n]?(?:{'|'.join(CHINESE_TITLES)})")

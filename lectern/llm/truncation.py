@@ -192,7 +192,7 @@ def truncated(messages: DataFrame, text_col: str = "content", role_col: str = "r
     copies = texts.select("text").mapInArrow(split, "value string").join(keys, F.substring("value", 1, KEY) == F.col("_key"), "left_semi").distinct()
     both = copies.withColumn("own", F.lit(0)).unionByName(tails.select(F.col("tail").alias("value"), F.lit(1).alias("own")))
     laid = with_neighbour(both.groupBy("value").agg(F.max("own").alias("own")), ["value"], ["value"], before=False)
-    goes_on = F.expr("substring(next_value, length(value) + 1, 1)").rlike(r"[\p{L}\p{N}]")
-    longer = laid.where("own = 1 AND startswith(next_value, value)").select(F.col("value").alias("tail"), goes_on.alias("inside"))
+    rest = F.expr("substring(next_value, length(value) + 1)")
+    longer = laid.where("own = 1 AND startswith(next_value, value)").where(rest.rlike(r"^ ?[\p{L}\p{N}]")).select(F.col("value").alias("tail"), rest.rlike(r"^[\p{L}\p{N}]").alias("inside"))
     cut_tails = undecided.join(longer, "tail").where(f"inside OR state = '{OPEN}'")
     return judged.where(f"state = '{CUT}'").select("id").union(cut_tails.select("id")).distinct().withColumnRenamed("id", id_col)
