@@ -58,6 +58,9 @@ _PARTS = re.compile(r"(?<=[.!?。！？])[”»“\")）]*\s*|\n+|(?<=[:：])\s*
 _TOKEN = re.compile(r"[一-鿿]|[^\W_]+")
 #: Share of a reply's tokens that stand in the prompt in runs of RUN or more, for the reply to be an echo.
 ECHO_SHARE, RUN = 0.85, 3
+#: Languages of a prompt whose share is at least this much of the largest are all taken to be due.
+PLAUSIBLE = 0.77
+_LEAD_IN = re.compile(r"^[^:：\n]{2,30}[:：]\s*")
 
 
 def refuses(reply: str) -> bool:
@@ -76,9 +79,14 @@ def _tokens(text: str) -> list[str]:
 
 
 def echoes(prompt: str, reply: str) -> bool:
-    """Nearly all tokens of the reply stand in the prompt, in runs; case, marks and blanks aside, lead-ins of a word or two allowed."""
-    asked, said = _tokens(prompt), _tokens(reply)
-    if not asked or not said:
+    """Nearly all tokens of the reply stand in the prompt, in runs; case, marks and blanks aside.  A lead-in with a colon may stand before them."""
+    asked = _tokens(prompt)
+    lead = _LEAD_IN.match(reply)
+    return _gives_back(asked, _tokens(reply)) or bool(lead) and _gives_back(asked, _tokens(reply[lead.end() :]), least=4, loose=0)
+
+
+def _gives_back(asked: list[str], said: list[str], least: int = 2, loose: int = 2) -> bool:
+    if not asked or len(said) < least:
         return False
     common = set(asked)
     if sum(w not in common for w in said) > max(2, (1 - ECHO_SHARE) * len(said)):
@@ -86,21 +94,21 @@ def echoes(prompt: str, reply: str) -> bool:
     run = min(RUN, len(said))
     runs = {tuple(asked[i : i + run]) for i in range(len(asked) - run + 1)}
     if len(said) < RUN:
-        return len(said) > 1 and tuple(said) in runs
+        return tuple(said) in runs
     covered = [False] * len(said)
     for i in range(len(said) - run + 1):
         if tuple(said[i : i + run]) in runs:
             covered[i : i + run] = [True] * run
     free = len(said) - sum(covered)
-    return free <= (1 - ECHO_SHARE) * len(said) or free <= 2 and len(said) >= 5
+    return free <= (1 - ECHO_SHARE) * len(said) or free <= loose and len(said) >= 5
 
 
-def language_due(prompt: str, action: str | None, model: Model) -> str | None:
-    """For a translation the language asked for, else the language of the user's own words, whatever that of a quoted passage."""
+def languages_due(prompt: str, action: str | None, model: Model) -> frozenset[str]:
+    """For a translation the language asked for, else that of the user's own words, whatever that of a quoted passage; several where few words leave them open."""
     own = _OPEN_QUOTE.sub(" ", _QUOTED.sub(" ", prompt))
     parts = [p for p in _PARTS.split(own) if _TOKEN.search(p)]
     if not parts:
-        return None
+        return frozenset()
     hits = [sum(1 for _ in _ANY_ASKING.finditer(part)) for part in parts]
     best = max(range(len(parts)), key=lambda i: (hits[i] > 0, i in (0, len(parts) - 1), hits[i], -i))
     part = parts[best]
@@ -108,23 +116,23 @@ def language_due(prompt: str, action: str | None, model: Model) -> str | None:
         for part_ in [part, parts[0], parts[-1]]:
             named = [lang for lang, p in _NAMES.items() if p.search(part_)]
             if named and (action == "translate" or hits[parts.index(part_)]):
-                return named[0] if len(named) == 1 else None
+                return frozenset(named) if len(named) == 1 else frozenset()
         if action == "translate":
-            return None
+            return frozenset()
     shares = model.shares(part)
     for lang, p in _ASKING.items():
         shares[lang] += 2 * len(p.findall(part))
-    best = max(shares, key=shares.get)
-    return best if shares[best] >= 1 and shares[best] > 1.3 * max(v for k, v in shares.items() if k != best) else None
+    top = max(shares.values())
+    return frozenset(k for k, v in shares.items() if v >= PLAUSIBLE * top) if top >= 0.6 else frozenset()
 
 
 def in_other_language(prompt: str, reply: str, action: str | None, model: Model) -> bool:
-    due = language_due(prompt, action, model)
-    if due is None:
+    due = languages_due(prompt, action, model)
+    if not due:
         return False
     shares = model.shares(reply)
     best = max(shares, key=shares.get)
-    return best != due and shares[best] > 2 * shares[due] and shares[best] >= 1.5
+    return best not in due and shares[best] > 2 * max(shares[k] for k in due) and shares[best] >= 1.5
 
 
 def pairs(messages: DataFrame) -> DataFrame:

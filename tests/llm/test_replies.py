@@ -58,7 +58,7 @@ def test_refusals(text, want):
 
 @pytest.mark.parametrize(
     "prompt,reply,want",
-    [("What does this picture show?", "WHAT DOES THIS PICTURE SHOW?", True), ("What is it?", "You asked: What is it?", True), ("Explain this passage: “The mill owner was sold the road.”", "“The mill owner was sold the road.”", True), ("Explain: the mill was sold", "It means that the owner gave up his mill.", False), ("请解释", "好", False), ("", "words", False)],
+    [("What does this picture show?", "WHAT DOES THIS PICTURE SHOW?", True), ("What is it?", "You asked: What is it?", True), ("Explain this passage: “The mill owner was sold the road.”", "“The mill owner was sold the road.”", True), ("Explain: the mill was sold", "It means that the owner gave up his mill.", False), ("请解释", "好", False), ("Übersetze: „篁汀港盐道志“", "Du hast gefragt: 篁汀港盐道志", True), ("What is it?", "In short: It is the mill.", False), ("", "words", False)],
 )
 def test_echoes(prompt, reply, want):
     assert replies.echoes(prompt, reply) is want
@@ -69,7 +69,7 @@ def test_echoes(prompt, reply, want):
     [("Translate into Spanish: “The mill.”", "translate", "es"), ("Bitte übertrage das ins Französische:\nThe mill", "translate", "fr"), ("请翻译成德语：“The mill.”", "translate", "de"), (f"{FR}\n\nTranslate the lines above into Chinese, please.", None, "zh"), (f"Was meint der Autor mit „{EN}“?", "explain", "de"), (f"I don't follow this part about the mill: {FR}", "explain", "en"), ("¿Qué muestra esta imagen?", "vision", "es"), ("", "chat", None)],
 )
 def test_language_due(prompt, action, due):
-    assert replies.language_due(prompt, action, MODEL) == due
+    assert replies.languages_due(prompt, action, MODEL) == ({due} if due else set())
 
 
 def test_defects(spark):
