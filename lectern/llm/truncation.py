@@ -3,7 +3,7 @@
 Each text is judged by its own end first: marks of a break (a broken character, an ellipsis, an appended notice), structures left
 open (code, tables, emphasis, formulas, quotations, an announced number of points), or a full stop.  What ends without any of these, such as
 a title or the beginning of a sentence, is decided against the corpus: all sentences are sorted, and an end that is a strict prefix of its
-neighbour, a longer copy elsewhere, was cut off, as was one whose last word is never a whole word elsewhere.
+neighbour, a longer copy elsewhere, was cut off, as was one whose last word is never a whole word elsewhere.  Whole texts are compared likewise.
 """
 
 from __future__ import annotations
@@ -17,14 +17,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..cluster import cut
 from ..ordering import with_neighbour
+from .messages import NO_VALUE_WORDS
 
 COMPLETE, CUT, OPEN, ITEM = "complete", "cut", "open", "item"
+#: A text complete by its own end, which is a letter: only its longer whole copies can say otherwise.
+LETTER = "letter"
+#: What is looked up: runs of words, or whole texts.
+RUN, TEXT = 0, 1
 #: Characters of a prefix by which runs of words are looked up before they are sorted.
 KEY = 4
 #: Prefixes are first sifted by this many slots, of which at most all are sent to the tasks; the join after them is exact.
 SLOTS = 1 << 18
 #: Words (ideographs) of an end that are compared; runs elsewhere have one word (several ideographs) more.
 END_WORDS, END_HAN = 4, 6
+#: Lengths of the prefixes by which whole texts are looked up before they are sorted.
+HEADS = (1, 2, 4, 8, 16, 32, 64, 128)
 
 # Words of notices that clients append to a message whose transfer broke off.
 NOTICE_WORDS = ["error", "closed", "lost", "timeout", "timed out", "interrupted", "truncated", "cut off", "aborted", "disconnected", "limit", "continue", "stopped",
@@ -158,41 +165,68 @@ def runs(text: str, wanted: frozenset[int]) -> set[str]:
     return out
 
 
+def says_something(text: str) -> bool:
+    """Not mere marks, nor a word that stands for "no value"."""
+    rest = re.sub(r"[\W_]", "", text).lower()
+    return rest != "" and rest not in NO_VALUE_WORDS
+
+
+def heads_of(text: str) -> list[int]:
+    """Slots of a text's prefixes of the lengths in HEADS, as far as it has them."""
+    return [zlib.crc32(text[:n].encode("utf-8", "replace")) % SLOTS for n in HEADS if n <= len(text)]
+
+
 def truncated(messages: DataFrame, text_col: str = "content", role_col: str = "role", id_col: str = "id") -> DataFrame:
     """(id_col): the ids of texts that stop before they are complete, each once.
 
     Null, empty and blank texts, complete titles, search words, lists, tables, code and links are no cases.  Repeated rows count once; rows
     with a null id are left out; other columns are not read.  Of a text that its own end does not decide, the last part is compared with all
-    sentences of the corpus.
+    sentences of the corpus, and the whole with all whole texts: it was cut if a longer one begins with it and goes on with a word, or if it ends in
+    a link's or table's letter, inside one.
     """
     texts = messages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(F.lower(F.trim(F.col(f"`{role_col}`"))) == "user", F.lit(False)).alias("asked")).where("id IS NOT NULL AND text IS NOT NULL")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [judge_end(t, a) for t, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found]), pa.array([end_of(f[1]) for f in found])], names=["id", "state", "tail"])
+            asked, own = batch.column(2).to_pylist(), [t.strip(_EDGE) for t in batch.column(1).to_pylist()]
+            found = [judge_end(t, a) for t, a in zip(own, asked)]
+            state = [LETTER if s == COMPLETE and t[-1:].isalpha() else s for (s, _), t in zip(found, own)]
+            whole = [t if s in (OPEN, ITEM, LETTER) and says_something(t) else None for s, t in zip(state, own)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(state), pa.array([end_of(f[1]) for f in found]), pa.array(whole, type=pa.string())], names=["id", "state", "tail", "whole"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    judged = cut(texts.mapInArrow(judge, f"id {kind}, state string, tail string").where(f"state <> '{COMPLETE}'"))
-    undecided = judged.where(f"state IN ('{OPEN}', '{ITEM}')").where(F.length("tail") >= KEY)
-    tails = undecided.select("tail").distinct()
+    judged = cut(texts.mapInArrow(judge, f"id {kind}, state string, tail string, whole string").where(f"state <> '{COMPLETE}'"))
+    undecided = judged.where(f"state IN ('{OPEN}', '{ITEM}')").where(F.length("tail") >= KEY).select("id", "state", F.lit(RUN).alias("part"), F.col("tail").alias("value"))
+    undecided = undecided.unionByName(judged.where("whole IS NOT NULL").select("id", "state", F.lit(TEXT).alias("part"), F.col("whole").alias("value")))
+    ends = undecided.select("part", "value").distinct()
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sorted({slot(t) for t in batch.column(0).to_pylist()}), type=pa.int32())], names=["slot"])
+            found = sorted({(p, slot(v) if p == RUN else heads_of(v)[-1]) for p, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())})
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], type=pa.int32()) for i in range(2)], names=["part", "slot"])
 
-    wanted = frozenset(r.slot for r in tails.mapInArrow(slots, "slot int").distinct().collect())  # at most SLOTS
+    taken = ends.mapInArrow(slots, "part int, slot int").distinct().collect()  # at most SLOTS of each part
+    wanted, begun = (frozenset(r.slot for r in taken if r.part == p) for p in (RUN, TEXT))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {r for t in batch.column(0).to_pylist() for r in runs(t, wanted)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), type=pa.string())], names=["value"])
-
-    keys = tails.select(F.substring("tail", 1, KEY).alias("_key")).distinct()
-    copies = texts.select("text").mapInArrow(split, "value string").join(keys, F.substring("value", 1, KEY) == F.col("_key"), "left_semi").distinct()
-    both = copies.withColumn("own", F.lit(0)).unionByName(tails.select(F.col("tail").alias("value"), F.lit(1).alias("own")))
-    laid = with_neighbour(both.groupBy("value").agg(F.max("own").alias("own")), ["value"], ["value"], before=False)
+            found = set()
+            for t in batch.column(0).to_pylist():
+                found.update((RUN, r) for r in runs(t, wanted))
+                t = t.strip(_EDGE)
+                if not begun.isdisjoint(heads_of(t)):
+                    found.add((TEXT, t))
+            found = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], type=pa.int32()), pa.array([f[1] for f in found], type=pa.string())], names=["part", "value"])
+
+    key = F.expr(f"substring(value, 1, if(part = {RUN}, {KEY}, 1))")
+    keys = ends.select("part", key.alias("_key")).distinct()
+    pieces = texts.select("text").mapInArrow(split, "part int, value string").withColumn("_key", key)
+    copies = pieces.join(keys, ["part", "_key"], "left_semi").select("part", "value").distinct()
+    both = copies.withColumn("own", F.lit(0)).unionByName(ends.withColumn("own", F.lit(1)))
+    both = both.groupBy("part", "value").agg(F.max("own").alias("own"))
+    laid = with_neighbour(both, ["part", "value"], ["part", "value"], before=False)
     rest = F.expr("substring(next_value, length(value) + 1)")
-    longer = laid.where("own = 1 AND startswith(next_value, value)").where(rest.rlike(r"^ ?[\p{L}\p{N}]")).select(F.col("value").alias("tail"), rest.rlike(r"^[\p{L}\p{N}]").alias("inside"))
-    cut_tails = undecided.join(longer, "tail").where(f"inside OR state = '{OPEN}'")
-    return judged.where(f"state = '{CUT}'").select("id").union(cut_tails.select("id")).distinct().withColumnRenamed("id", id_col)
+    longer = laid.where("own = 1 AND next_part = part AND startswith(next_value, value)").where(rest.rlike(r"^ ?[\p{L}\p{N}]")).select("part", "value", rest.rlike(r"^[\p{L}\p{N}]").alias("inside"), rest.rlike(r"^\p{L}").alias("letter"))
+    cut_ends = undecided.join(longer, ["part", "value"]).where(f"state = '{OPEN}' OR state = '{ITEM}' AND inside OR state = '{LETTER}' AND letter")
+    return judged.where(f"state = '{CUT}'").select("id").union(cut_ends.select("id")).distinct().withColumnRenamed("id", id_col)
