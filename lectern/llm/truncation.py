@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..cluster import cut
 from ..ordering import with_neighbour
@@ -165,6 +165,11 @@ def runs(text: str, wanted: frozenset[int]) -> set[str]:
     return out
 
 
+def letters_first(value: Column) -> Column:
+    """A key of the order in which letters and digits stand before a blank and a blank before all else, so the first of several longer copies goes on with a letter if any does."""
+    return F.regexp_replace(F.regexp_replace(value, r"([^\p{L}\p{N} ])", "\U0010FFFE$1"), " ", "\U0010FFFD")
+
+
 def says_something(text: str) -> bool:
     """Not mere marks, nor a word that stands for "no value"."""
     rest = re.sub(r"[\W_]", "", text).lower()
@@ -224,8 +229,8 @@ def truncated(messages: DataFrame, text_col: str = "content", role_col: str = "r
     pieces = texts.select("text").mapInArrow(split, "part int, value string").withColumn("_key", key)
     copies = pieces.join(keys, ["part", "_key"], "left_semi").select("part", "value").distinct()
     both = copies.withColumn("own", F.lit(0)).unionByName(ends.withColumn("own", F.lit(1)))
-    both = both.groupBy("part", "value").agg(F.max("own").alias("own"))
-    laid = with_neighbour(both, ["part", "value"], ["part", "value"], before=False)
+    both = both.groupBy("part", "value").agg(F.max("own").alias("own")).withColumn("place", letters_first(F.col("value")))
+    laid = with_neighbour(both, ["part", "place"], ["part", "value"], before=False)
     rest = F.expr("substring(next_value, length(value) + 1)")
     longer = laid.where("own = 1 AND next_part = part AND startswith(next_value, value)").where(rest.rlike(r"^ ?[\p{L}\p{N}]")).select("part", "value", rest.rlike(r"^[\p{L}\p{N}]").alias("inside"), rest.rlike(r"^\p{L}").alias("letter"))
     cut_ends = undecided.join(longer, ["part", "value"]).where(f"state = '{OPEN}' OR state = '{ITEM}' AND inside OR state = '{LETTER}' AND letter")

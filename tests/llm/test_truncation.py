@@ -12,3 +12,8 @@ def test_whole_texts_are_compared(spark):
     assert found(spark, texts) == [0, 2, 5]
     assert found(spark, texts[:1] + texts[3:5]) == []
     assert found(spark, ["-", "- the mill\n- a young printer"]) == []
+
+
+def test_a_blank_or_mark_before_the_letter_does_not_mask_it(spark):
+    texts = ["The bookbinder's cat", "The bookbinder's cat - grey", "The bookbinder's cat (old) sat.", "The bookbinder's catalogue is here.", "Die alte Mühle von Un", "Die alte Mühle von Un - dort.", "Die alte Mühle von Undostad war leer."]
+    assert {0, 4} <= set(found(spark, texts))
