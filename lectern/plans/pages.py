@@ -133,6 +133,11 @@ def contrast_stretch(s, d):
     return _luma(s, d).select("vec_id", F.array_join(F.transform(F.slice("v", 1, 8), lambda x: G.stretch(x, lo, hi).cast("long")), ",").alias("stretched"))
 
 
+def contrast_stretch_image(s, d):
+    lo, hi = F.array_min("v"), F.array_max("v")
+    return _luma(s, d).select("vec_id", F.array_join(F.transform("v", lambda x: G.stretch(x, lo, hi).cast("long")), ",").alias("stretched"))
+
+
 def thumbnail_sizes(s, d):
     w, h = F.size("lines") * 40, F.lit(1000)
     t = G.thumbnail(w, h, 400)
@@ -229,6 +234,7 @@ SELECT book_id, page, 'native' AS layer, md5(text) AS digest FROM n UNION ALL SE
     "page_quality": (page_quality, _V + ", i AS (SELECT *, list_sort(list_filter(v, lambda x: x < 200)) AS ink FROM e) SELECT vec_id, coalesce(ink[floor(len(ink) * 0.5)::INT + 1], 255) AS ink_median, list_sort(v)[floor(64 * 0.99)::INT + 1] AS p99, round(len(ink) / 64.0::DOUBLE, 6) AS ink_fraction FROM i"),
     "sharp_edges": (sharp_edges, _V + ", t AS (SELECT vec_id, list_transform(range(2, 65), lambda i: abs(v[i] - v[i - 1])) AS st FROM e) SELECT vec_id, round(len(list_filter(st, lambda x: x > 120)) / 63.0::DOUBLE, 6) AS sharp FROM t"),
     "contrast_stretch": (contrast_stretch, _V + " SELECT vec_id, array_to_string(list_transform(v[1:8], lambda x: greatest(0, least(255, round((x - list_min(v)) / greatest(list_max(v) - list_min(v), 1)::DOUBLE * 255.0::DOUBLE)))::BIGINT), ',') AS stretched FROM e"),
+    "contrast_stretch_image": (contrast_stretch_image, _V + " SELECT vec_id, array_to_string(list_transform(v, lambda x: greatest(0, least(255, round((x - list_min(v)) / greatest(list_max(v) - list_min(v), 1)::DOUBLE * 255.0::DOUBLE)))::BIGINT), ',') AS stretched FROM e"),
     "thumbnail_sizes": (thumbnail_sizes, _L + ", t AS (SELECT *, len(lines) * 40 AS w0, least(1.0, 400.0 / greatest(len(lines) * 40, 1000))::DOUBLE AS sc FROM l) SELECT book_id, page, ocr_mode, greatest(round(w0 * sc), 1)::BIGINT AS w, greatest(round(1000 * sc), 1)::BIGINT AS h FROM t"),
     "annotations_list": (annotations_list, _N + " SELECT id, book_id, page, kind, CASE WHEN regexp_full_match(color, '#[0-9A-Fa-f]{6}') THEN ('0x' || substr(color, 2))::BIGINT END AS colour, len(rects) AS rects FROM n"),
     "annotation_replays": (annotation_replays, "SELECT id, count(*) AS rows FROM annotations GROUP BY 1 HAVING count(*) > 1"),
