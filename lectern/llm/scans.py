@@ -536,13 +536,15 @@ class Scans:
         lines = lines.join(self.broken.select(*key, F.lit(True).alias("broken")).distinct(), key, "left")
         fixes = self.own_words().join(self.wrong, "word").groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("word", "right"))).alias("fixes"))
         lines = lines.join(fixes, key, "left")
+        over = self.broken.where("next IS NOT NULL").withColumn("word", F.concat("tail", "next")).join(self.wrong, "word").groupBy(*key).agg(F.max(F.struct("tail", "next", "right")).alias("over"))
+        lines = lines.join(over, key, "left")
         flow = lines.where(f"state = '{BODY}'")
         begin = F.when(F.col("indented"), F.struct("page", "line_no"))
         laid = fill_forward(flow.withColumn("begin", begin), "book_id", ["book_id", "page", "line_no"], "begin", "start")
         apart = lines.where(f"state <> '{BODY}'").withColumn("start", F.struct("page", "line_no")).withColumn("begin", F.col("start"))
         first = F.struct(F.lit(-1).cast("long").alias("page"), F.lit(0).cast("long").alias("line_no"))
         both = laid.unionByName(apart).withColumn("start", F.coalesce("start", first))
-        parts = F.sort_array(F.collect_list(F.struct("page", "line_no", "text", F.coalesce("broken", F.lit(False)).alias("broken"), "fixes")))
+        parts = F.sort_array(F.collect_list(F.struct("page", "line_no", "text", F.coalesce("broken", F.lit(False)).alias("broken"), "fixes", "over")))
         grouped = both.groupBy("book_id", "state", "start").agg(parts.alias("parts"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -554,19 +556,30 @@ class Scans:
         return grouped.select("book_id", "parts").mapInArrow(run, "book_id long, page long, line_no long, text string")
 
 
+def put_right(text: str, fixes: list[dict] | None) -> str:
+    for fix in fixes or []:
+        word, right = fix["word"], fix["right"]
+        if len(word) == 4 and word[0] in "012" and _HAN.search(word):
+            word, right = word[1:], right[1:]
+        text = text.replace(word, right)
+    return text
+
+
 def assemble(parts: list[dict]) -> str:
-    """The lines of a paragraph as continuous text: broken words joined, misread ones put right."""
+    """The lines of a paragraph as continuous text: broken words joined, misread ones put right, those that are both as one."""
     out = ""
-    for p in parts:
-        text = p["text"].strip()
-        for fix in p["fixes"] or []:
-            word, right = fix["word"], fix["right"]
-            if len(word) == 4 and word[0] in "012" and _HAN.search(word):
-                word, right = word[1:], right[1:]
-            text = text.replace(word, right)
+    texts = [p["text"].strip() for p in parts]
+    for i, p in enumerate(parts):
+        text, over = texts[i], p["over"]
         if p["broken"]:
-            out += text.rstrip(HYPHENS)
+            text = text.rstrip(HYPHENS)
+            if over and i + 1 < len(parts) and text.endswith(over["tail"]) and texts[i + 1].startswith(over["next"]):
+                texts[i + 1] = texts[i + 1][len(over["next"]) :]
+                out += put_right(text[: len(text) - len(over["tail"])], p["fixes"]) + over["right"]
+            else:
+                out += put_right(text, p["fixes"]).rstrip(HYPHENS)
         else:
+            text = put_right(text, p["fixes"])
             out += text + ("" if _HAN.search(text[-1:]) or text[-1:] in "，。；：、！？" else " ")
     return out.strip()
 

@@ -60,6 +60,15 @@ def test_paragraphs_join_pages_and_words(spark):
     assert "-" not in whole and TITLE not in whole
 
 
+def test_paragraphs_put_right_misread_words_that_are_broken(spark):
+    pages, _ = book(12)
+    lines = pages[4][3]["lines"]
+    i = next(i for i, x in enumerate(lines) if i > 2 and x["text"] == "the marsh and measured the angle of")
+    lines[i]["text"], lines[i + 1]["text"] = "the marsh and mea-", f"surcd the angle of {lines[i + 1]['text']}"
+    whole = " ".join(r.text for r in S.paragraphs(*frames(spark, pages)).orderBy("page", "line_no").collect())
+    assert "surcd" not in whole and whole.split() == (TEXT * 60).split()[: len(whole.split())]
+
+
 def test_empty(spark):
     scans, books = frames(spark, book(1)[0])
     assert S.noisy_lines(scans.limit(0), books.limit(0)).collect() == []
