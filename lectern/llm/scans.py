@@ -1,14 +1,15 @@
 """Noise in text from scanned pages: furniture, broken words and misread characters, and continuous paragraphs without them.
 
-Lines are labelled by a hidden Markov model over each page: states are the parts of a page, observations are classes of layout features.  Its
-probabilities come from a plain first labelling and are counted anew over the whole corpus (a table of states by classes, of fixed size).
-Words are judged by the corpus: a word is misread if it has the same confusion skeleton as a word that is much more frequent, and two
-fragments at a line's end and the next one's beginning are one word if the corpus knows them joined rather than apart.
+Lines are labelled by a hidden Markov model over each page (``linemodel``): states are the parts of a page, observations are classes of layout
+features and of the scanner's confidence; its probabilities are estimated from all pages.  What a scanner takes for what is learned from the
+corpus (``confusions``).  A word is misread if a word of the same confusion skeleton is so much more frequent that this one is no more than its
+misreadings would be; two fragments at a line's end and the next one's beginning are one word if the corpus knows them joined rather than apart.
+
+Pages stay whole from step to step: a line is a place in its page's arrays until a result needs a row for it.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter
@@ -16,47 +17,55 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..cluster import cut
+from ..cluster import keep
 from ..ordering import fill_forward
-from .lookalike import Rewriter, UnionFind, rules
-
-HEAD, NUMBER, TITLE, BODY, TABLE = STATES = ("head", "number", "title", "body", "table")
+from . import confusions, linemodel
+from .confusions import CONFUSIONS, Confusions, is_gram  # noqa: F401
+from .linemodel import BODY, HEAD, NUMBER, STATES, TABLE, TITLE, LineModel
+from .lookalike import Rewriter, rules
 
-# What scanners take for what, the character as it is printed before the characters as they are read.
-CONFUSIONS = [("m", "rn"), ("d", "cl"), ("w", "vv"), ("k", "lc"), ("u", "ii"), ("ü", "ii"), ("n", "ri"), ("ñ", "fi"), ("è", "e`"), ("é", "e´"), ("h", "b"), ("e", "c"), ("t", "f"), ("y", "v"), ("i", "!"), ("a", "@"), ("o", "0"), ("O", "0"),
-              ("l", "1"), ("I", "l"), ("I", "1"), ("g", "9"), ("q", "9"), ("f", "{"), ("é", "6"), ("ó", "6"), ("B", "8"), ("ß", "B"), ("S", "5"), ("s", "5"), ("Z", "2"), ("z", "2"), ("c", "("), ("l", "|"), ("i", "|"), ("A", "4"), ("s", "$"), ("i", "í"), ("l", "!"), ("o", "°")]
-# Ideographs that scanners take for each other, in groups.
-LOOK_ALIKE_HAN = ["没役", "述迷", "闭闲闹", "了丁", "一-", "间问闻", "本木", "水氺", "小尒", "的旳", "图囹", "日曰", "册删", "版板", "未末", "己已巳", "土士", "人入", "天夫无", "千干于", "大太犬", "王玉", "目自", "石右", "田由甲申", "刀力刁", "又叉", "儿几", "贝见", "午牛", "体休", "买卖", "没设", "候侯", "治冶", "名各", "时吋", "门们", "在左", "有冇", "中巾", "书韦", "个介", "为力", "从丛", "会云", "住往", "今令", "并井", "开升", "心必", "把扒", "找我", "拔拨", "析折", "晴睛", "暖暧", "查杳", "楼搂", "清情", "狼狠", "画田", "官宫", "密蜜", "崇祟", "巨臣", "币巾", "幻幼", "延廷", "思恩", "戊戌戍", "斤斥", "春舂", "末未", "毫豪", "洒酒", "浅线", "海悔", "渡度", "灯打", "竟竞", "简筒", "粟栗", "萧肃", "袆祎", "谨滥", "辨辩", "遗遣", "部陪", "酒洒", "铜钢", "陈阵", "难推", "风凤", "鸟乌", "麦夌", "里黑", "口囗", "曲由", "历厉", "厂广", "记纪", "识织", "语浯", "读续", "果杲", "东乐", "年牟", "上土", "下卞", "生主", "出岀", "用甩", "多夕", "先失", "二=", "三彡", "城域", "场扬", "处外", "夜液", "写与", "沿沼", "流硫"]
 HYPHENS = "-‐‑­¬"
-#: A word is misread if another of its skeleton is this many times as frequent (LONG_MUCH for words of more than SHORT letters, HAN_MUCH for ideographs in their context); a rare
-#: one, seen at most RARE times, if FEW times.
-MUCH, LONG_MUCH, SHORT, HAN_MUCH, FEW, RARE = 20, 7, 4, 3, 2, 3
-#: Words are first compared with so many of the most frequent ones of their skeleton; what these don't explain, with all others.
-FIRST = 12
-
+#: The largest share of a word's occurrences that is read wrongly, for each of its letters, and of an ideograph's in its context.
+LETTER_ERRORS, HAN_ERRORS = 0.012, 0.25
+#: A word is more than the misreadings of another one if chance makes it so frequent at most once in exp(DOUBT) times.
+DOUBT = 3.0
+#: Of two fragments that are known joined one is hardly ever a word: this many times less than what they are joined.
+HARDLY = 20
 #: How far an indented line begins behind the margin, as a share of the page's width.
 INDENT = 0.015
+#: Below this confidence a line's reading is doubtful.
+DOUBTFUL = 0.8
+#: A line of fewer characters than this share of the page's usual ones is short.
+SHORT_LINE = 0.8
+#: Slots by which words are sifted before they are joined.
+SLOTS = 1 << 20
 
-_MISREAD_IN_WORD = re.compile(r"(?<=[A-Za-zÀ-ÿ])[0-9!@{}|$#%&*+=<>^~\\\[\]`´°(]+(?=[A-Za-zÀ-ÿ])|(?<![\w])[0-9@{|$(!]+(?=[a-zà-ÿ]{2})|(?<=[A-Za-zÀ-ÿ]{2})[0-9@{|$]+(?![\w])|(?<!\w)[lIOSBZ|]\d{2,}(?!\w)|(?<!\w)\d+[lIOSBZ|](?=\d)|(?<!\w)\d{2,}[lIOSBZ|](?!\w)")
+_MISREAD_IN_WORD = re.compile(
+    r"(?<=[A-Za-zÀ-ÿ])[0-9!@{}|$#%&*+=<>^~\\\[\]`´°(]+(?=[A-Za-zÀ-ÿ])|(?<![\w])[0-9@{|$(!]+(?=[a-zà-ÿ]{2})|(?<=[A-Za-zÀ-ÿ]{2})[0-9@{|$]+(?![\w])"
+    r"|(?<!\w)[lIOSBZ|]\d{2,}(?!\w)|(?<!\w)\d+[lIOSBZ|](?=\d)|(?<!\w)\d{2,}[lIOSBZ|](?!\w)"
+)
 _SIGN_IN_WORD = re.compile(r"[a-zà-ÿ][!{@|]")
 _SPLIT_ACCENT = re.compile(r"[a-zà-ÿ][:`´¨][a-zà-ÿ]|\d\?[,;.]")
 _TOKEN = re.compile(r"[^\s,.;:，。；：、“”\"()«»„？?…—/]+(?:\([^\s,.;:()]+)?")
 _ELIDED = re.compile(r"^[A-Za-z]{1,2}['’](?=\w{2})")
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿœŒ]")
 _HAN = re.compile(r"[一-鿿]")
-_NUMBERED = re.compile(r"^(?:page|seite|página|pág\.?|s\.|p\.|pg\.?|第)?[\s\-–—·.\[\]()|*~]*(?:[\dlIO|!o]{1,5}|[ivxlcdm!1]{1,8})[\s\-–—·.\[\]()|*~]*(?:页|頁)?(?:\s*(?:/|of|von|de|sur|共|out of)\s*[\dlIOo|!]{1,5}\s*[页頁]?)?[\s\-–—·.\[\]()|*~]*$", re.I)
+_NUMBERED = re.compile(
+    r"^(?:page|seite|página|pág\.?|s\.|p\.|pg\.?|第)?[\s\-–—·.\[\]()|*~]*(?:[\dlIO|!o]{1,5}|[ivxlcdm!1]{1,8})[\s\-–—·.\[\]()|*~]*(?:页|頁)?"
+    r"(?:\s*(?:/|of|von|de|sur|共|out of)\s*[\dlIOo|!]{1,5}\s*[页頁]?)?[\s\-–—·.\[\]()|*~]*$",
+    re.I,
+)
 _FIGURES = re.compile(r"^[\d\s.,%+\-–lIO|]+$")
 _WORD_END = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿœŒ0-9!@{}|$#'’`´°(\-]*[A-Za-zÀ-ÖØ-öø-ÿœŒ0-9!@{|`´°])([-‐‑­¬]?)\s*$")
 _WORD_START = re.compile(r"^\s*([A-Za-zÀ-ÖØ-öø-ÿœŒ0-9!@{}|$#'’`´°(]+(?:-[A-Za-zÀ-ÖØ-öø-ÿœŒ]+)*)")
+_CLOSED = re.compile(r"[.!?。！？][”»“\"’')）]*$")
 
 #: Singular letters and signs that look alike are read as the Latin one; frequent characters represent their classes.
 _READ = None
 
-
-#: Slots by which words are sifted before they are joined.
-SLOTS = 1 << 20
+KEY = ["book_id", "page", "ocr_mode"]
 
 
 def slot(word: str) -> int:
@@ -82,9 +91,9 @@ def _fold(text: str) -> str:
     return re.sub(r"[^a-zà-ÿœ一-鿿]+", " ", text.lower()).strip()
 
 
-def observe(line: dict, page: dict, title: str) -> tuple[str, str, str]:
-    """The classes of a line's place, of its margin and of its text, relative to the page's body."""
-    text = plain(line["text"] or "")
+def observe(line: dict, page: dict, title: str, text: str | None = None) -> tuple[str, str, str, str]:
+    """The classes of a line's place, of its margin, of its text (``plain``) and of its confidence, relative to the page's body."""
+    text = plain(line["text"] or "") if text is None else text
     y, x, w = line["y"] or 0.0, line["x"] or 0.0, line["w"] or 0.0
     gap, top = page["leading"], page["usual_top"]
     place = "top" if y < min(top, page["top"]) - 0.6 * gap else "bottom" if y > page["bottom"] + 0.4 * gap or y > 0.925 and abs(x - page["left"]) > 0.1 else "first" if y < top + 0.9 * gap or y < page["top"] else "within"
@@ -97,95 +106,34 @@ def observe(line: dict, page: dict, title: str) -> tuple[str, str, str]:
         kind = "figures"
     elif title and (margin != "left" or place != "within") and len(bare) < 2 * len(title) + 6 and SequenceMatcher(None, _fold(bare), title, autojunk=False).ratio() > 0.85:
         kind = "title"
-    elif len(text) < 45 and not re.search(r"[.;,。；，]", text):
+    elif len(text) < SHORT_LINE * page["usual_length"] and not re.search(r"[.;,。；，]", text):
         kind = "short"
     else:
         kind = "text"
-    return place, margin, kind
+    confidence = line["confidence"]
+    return place, margin, kind, "unknown" if confidence is None else "doubtful" if confidence < DOUBTFUL else "sure"
 
 
-def layout(lines: list[dict], usual_top: float = 0.1) -> dict:
-    """Left margin, first and last line and leading of a page's body: of the lines at the margin that most lines share.
+def layout(lines: list[dict], usual_top: float = 0.1, lengths: list[int] | None = None) -> dict:
+    """Left margin, first and last line, leading and usual length of the lines of a page's body: of those at the margin that most lines share.
 
     ``usual_top`` is where the bodies of most pages begin: a chapter's title stands there and pushes the body down, a running head stands above.
     """
     xs = sorted(x["x"] or 0.0 for x in lines)
     counts = Counter(round(x / 0.02) for x in xs)
     left = min(k for k, n in counts.items() if n >= 0.5 * max(counts.values())) * 0.02
-    ys = sorted(x["y"] or 0.0 for x in lines if abs((x["x"] or 0.0) - left) < 0.09) or [0.1, 0.9]
+    body = [i for i, x in enumerate(lines) if abs((x["x"] or 0.0) - left) < 0.09]
+    ys = sorted(lines[i]["y"] or 0.0 for i in body) or [0.1, 0.9]
     steps = sorted(b - a for a, b in zip(ys, ys[1:]) if b > a)
     near = [x for x in xs if abs(x - left) < 0.09]
-    return {"left": left, "margin": near[len(near) // 4] if near else left, "top": ys[0], "bottom": ys[-1], "leading": steps[len(steps) // 2] if steps else 0.03, "usual_top": usual_top}
-
-
-def guess(seen: tuple[str, str, str]) -> str:
-    """A first label by plain reading of the layout, from which the model's counts start."""
-    place, margin, kind = seen
-    if margin == "left":
-        return NUMBER if kind == "numbered" and place in ("top", "bottom") else BODY
-    if kind == "figures":
-        return TABLE
-    if place in ("top", "bottom"):
-        return NUMBER if kind == "numbered" else HEAD if kind in ("title", "short", "text") else NUMBER
-    if kind == "numbered":
-        return TABLE if margin == "inset" else NUMBER
-    return TITLE if place == "first" else HEAD if kind == "title" else BODY
+    long = sorted(lengths[i] for i in body) if lengths and body else [0]
+    return {"left": left, "margin": near[len(near) // 4] if near else left, "top": ys[0], "bottom": ys[-1], "leading": steps[len(steps) // 2] if steps else 0.03, "usual_top": usual_top, "usual_length": long[3 * len(long) // 4]}
 
 
 def _clean_title(title: str | None) -> str:
     return _fold(re.sub(r"\.(?:pdf|png|jpe?g|tiff?|webp|bmp|gif)\s*$", "", (title or "").strip(), flags=re.I))
 
 
-class Layout:
-    """The model: log probabilities of first states, of transitions and of the three observations given the state."""
-
-    def __init__(self, counts: dict[tuple[str, str], int], usual_top: float = 0.1):
-        self.usual_top = usual_top
-        self.counts, self.total = counts, Counter()
-        for (given, _), n in counts.items():
-            self.total[given] += n
-        self.start = {s: self.p("start", s, 5) for s in STATES}
-        self.step = {s: [(self.p(f"{r}/next", s, 5), r) for r in STATES] for s in STATES}
-        self.known: dict[tuple[str, str, str], dict[str, float]] = {}
-
-    def p(self, given: str, seen: str, many: int) -> float:
-        return math.log((self.counts.get((given, seen), 0) + 0.5) / (self.total[given] + 0.5 * many))
-
-    def emit(self, o: tuple[str, str, str]) -> dict[str, float]:
-        got = self.known.get(o)
-        if got is None:
-            got = {s: sum(self.p(f"{s}/{i}", v, 5) for i, v in enumerate(o)) + self.p(f"{s}/all", "/".join(o), 60) for s in STATES}
-            self.known[o] = got
-        return got
-
-    def label(self, seen: list[tuple[str, str, str]]) -> list[str]:
-        """The most probable states of a page's lines (Viterbi)."""
-        if not seen:
-            return []
-        first = self.emit(seen[0])
-        score = {s: self.start[s] + first[s] for s in STATES}
-        back = []
-        for o in seen[1:]:
-            e, best, now = self.emit(o), {}, {}
-            for s in STATES:
-                top, best[s] = max((score[r] + t, r) for t, r in self.step[s])
-                now[s] = top + e[s]
-            back.append(best)
-            score = now
-        path = [max(STATES, key=score.get)]
-        for best in reversed(back):
-            path.append(best[path[-1]])
-        return path[::-1]
-
-
-def _count(labels: list[str], seen: list[tuple[str, str, str]], counts: Counter) -> None:
-    for i, (s, o) in enumerate(zip(labels, seen)):
-        counts[("start" if i == 0 else f"{labels[i - 1]}/next", s)] += 1
-        for k, v in enumerate(o):
-            counts[(f"{s}/{k}", v)] += 1
-        counts[(f"{s}/all", "/".join(o))] += 1
-
-
 def line_dicts(column: pa.Array) -> list[list[dict] | None]:
     """A column of lists of structs as Python values, field by field, which is faster than value by value."""
     values = column.values
@@ -196,138 +144,149 @@ def line_dicts(column: pa.Array) -> list[list[dict] | None]:
     return [rows[a:b] if ok else None for a, b, ok in zip(ends, ends[1:], column.is_valid().to_pylist())]
 
 
-def _pages(scans: DataFrame, books: DataFrame) -> DataFrame:
-    titles = books.where("id IS NOT NULL").groupBy("id").agg(F.min("title").alias("_title"))
-    lines = F.transform("result.lines", lambda x: F.struct(x["text"].alias("text"), x["x"].alias("x"), x["y"].alias("y"), x["w"].alias("w")))
-    pages = scans.where("book_id IS NOT NULL AND page IS NOT NULL").select("book_id", "page", "ocr_mode", lines.alias("_lines"))
-    return pages.join(titles, F.col("book_id") == F.col("id"), "left").select("book_id", "page", "ocr_mode", "_lines", "_title")
-
-
-def fit(pages: DataFrame) -> Layout:
-    """The model's counts over all pages; what reaches the driver is a table of states by classes, whatever the corpus."""
-
-    places = F.transform("_lines", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("_lines")
+def _usual_top(scans: DataFrame) -> float:
+    """Where the bodies of most pages begin."""
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([layout(v)["top"] for v in line_dicts(batch.column(0)) if v], type=pa.float64())], names=["top"])
 
-    usual = pages.select(places).mapInArrow(tops, "top double").agg(F.percentile_approx("top", 0.5, 1000)).first()[0] or 0.1
+    places = F.transform("result.lines", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))
+    known = scans.where("book_id IS NOT NULL AND page IS NOT NULL").select(places.alias("_lines"))
+    return known.mapInArrow(tops, "top double").agg(F.percentile_approx("top", 0.5, 1000)).first()[0] or 0.1
+
+
+#: Bits of a line's layout: it begins a paragraph by being indented; it ends one by being short.
+INDENTED, CLOSING = 1, 2
+PAGES = "book_id long, page long, ocr_mode string, codes binary, edges binary, texts array<string>"
+
+
+def observed(scans: DataFrame, books: DataFrame) -> DataFrame:
+    """Each page with lines once read: the code of each line's classes, how it stands to paragraphs, and its text in plain characters."""
+    usual_top = _usual_top(scans)
+    titles = books.where("id IS NOT NULL").groupBy("id").agg(F.min("title").alias("_title"))
+    lines = F.transform("result.lines", lambda x: F.struct(*(x[c].alias(c) for c in ("text", "x", "y", "w", "confidence"))))
+    pages = scans.where("book_id IS NOT NULL AND page IS NOT NULL").select(*KEY, lines.alias("_lines"))
+    pages = pages.join(titles, F.col("book_id") == F.col("id"), "left").select(*KEY, "_lines", "_title")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
         for batch in batches:
-            for lines, title in zip(line_dicts(batch.column(0)), batch.column(1).to_pylist()):
-                if lines:
-                    page, name = layout(lines, usual), _clean_title(title)
-                    seen = [observe(x, page, name) for x in lines]
-                    _count([guess(o) for o in seen], seen, counts)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], type=pa.string()), pa.array([k[1] for k in counts], type=pa.string()), pa.array(list(counts.values()), type=pa.int64())], names=["given", "seen", "n"])
+            kept, codes, edges, texts = [], [], [], []
+            for i, (lines, title) in enumerate(zip(line_dicts(batch.column(3)), batch.column(4).to_pylist())):
+                if not lines:
+                    continue
+                own = [plain(x["text"] or "") for x in lines]
+                page, name = layout(lines, usual_top, [len(t) for t in own]), _clean_title(title)
+                kept.append(i)
+                codes.append(bytes(linemodel.code(observe(x, page, name, t)) for x, t in zip(lines, own)))
+                indented = [INDENT < (x["x"] or 0.0) - page["margin"] < 0.09 for x in lines]
+                closing = [len(t) < SHORT_LINE * page["usual_length"] and bool(_CLOSED.search(t)) for t in own]
+                edges.append(bytes(a * INDENTED + b * CLOSING for a, b in zip(indented, closing)))
+                texts.append(own)
+            rows = pa.array(kept, type=pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(3)), pa.array(codes, type=pa.binary()), pa.array(edges, type=pa.binary()), pa.array(texts, type=pa.list_(pa.string()))], names=[x.split()[0] for x in PAGES.split(", ")])
 
-    found = pages.select("_lines", "_title").mapInArrow(run, "given string, seen string, n long").groupBy("given", "seen").agg(F.sum("n").alias("n"))
-    return Layout({(r.given, r.seen): r.n for r in found.collect()}, usual)
+    return pages.mapInArrow(run, PAGES)
 
 
-LINES = "book_id long, page long, ocr_mode string, line_no long, state string, text string, tail string, mark string, next string, next_no long, first boolean, final boolean, indented boolean"
+ENDS = "book_id long, page long, ocr_mode string, line_no int, part byte, tail string, mark string, next string, next_no int"
+#: Parts of ENDS: a line's end within its page's running text, the last line's end, and the first line's beginning.
+WITHIN, LAST, FIRST = 0, 1, 2
 
 
-def label(pages: DataFrame, model: Layout) -> DataFrame:
-    """One row for each line: its state, its text in plain characters, and how it may run on into the next line of running text.
+def line_ends(pages: DataFrame, model: LineModel) -> DataFrame:
+    """Lines of running text that may end inside a word, with the first word of the next such line of the page, and each page's first word.
 
-    tail: the last word, if the line may end inside it; mark: the hyphen behind it; next, next_no: the first word of the next line of
-    running text on the page and that line's number; first: the page's first line of running text; final: its last one; indented: it begins a paragraph.
+    tail: the last word; mark: the hyphen behind it; next, next_no: the word that follows and its line.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        body_state = STATES.index(BODY)
         for batch in batches:
-            out: list[tuple] = []
-            for book, page_no, mode, lines, title in zip(*(batch.column(i).to_pylist() for i in range(3)), line_dicts(batch.column(3)), batch.column(4).to_pylist()):
-                if not lines:
-                    continue
-                page, name = layout(lines, model.usual_top), _clean_title(title)
-                states = model.label([observe(x, page, name) for x in lines])
-                texts = [plain(x["text"] or "") for x in lines]
-                body = [i for i, s in enumerate(states) if s == BODY and texts[i]]
-                after = dict(zip(body, body[1:]))
-                for i, (s, t) in enumerate(zip(states, texts)):
-                    end = _WORD_END.search(t) if s == BODY else None
-                    tail, mark = (end.group(1), end.group(2)) if end and _LETTERS.search(end.group(1)) else (None, None)
-                    n = after.get(i) if s == BODY else None
+            at, out = [], []
+            for row, (states, texts) in enumerate(zip(model.label(batch.column(3).to_pylist()), batch.column(4).to_pylist())):
+                body = [i for i, s in enumerate(states) if s == body_state and texts[i]]
+                for i, n in zip(body, [*body[1:], None]):
                     start = _WORD_START.match(texts[n]) if n is not None else None
-                    out.append((book, page_no, mode, i, s, t, tail, mark, start.group(1) if start else None, n, bool(body) and i == body[0], bool(body) and i == body[-1], s == BODY and INDENT < (lines[i]["x"] or 0.0) - page["margin"] < 0.09))
-            cols = list(zip(*out)) if out else [[]] * 13
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in LINES.split(", ")])
-
-    return pages.mapInArrow(run, LINES)
-
-
-def run_on(lines: DataFrame) -> DataFrame:
-    """Body lines that may end inside a word, with the word that follows: on the page, or on the book's next page in the same mode, else in another."""
-    heads = lines.where("first").select("book_id", (F.col("page") - 1).alias("page"), F.col("ocr_mode").alias("_mode"), F.col("text").alias("_text"), F.col("line_no").alias("_no"))
-    heads = heads.withColumn("_word", F.regexp_extract("_text", r"^\s*([A-Za-zÀ-ÖØ-öø-ÿœŒ0-9!@{}|$#'’`´°(]+(?:-[A-Za-zÀ-ÖØ-öø-ÿœŒ]+)*)", 1)).drop("_text")
-    ends = lines.where("final AND tail IS NOT NULL").select("book_id", "page", "ocr_mode", "line_no", "tail", "mark")
-    near = ends.join(heads, ["book_id", "page"])
-    pick = F.row_number().over(W.partitionBy("book_id", "page", "ocr_mode").orderBy(F.col("ocr_mode") != F.col("_mode"), "_mode"))
-    near = near.withColumn("_pick", pick).where("_pick = 1").select("book_id", "page", "ocr_mode", "line_no", F.col("_word").alias("next"), (F.col("page") + 1).alias("next_page"), F.col("_mode").alias("next_mode"), F.col("_no").alias("next_no"))
-    on_page = lines.where("tail IS NOT NULL AND NOT final").select("book_id", "page", "ocr_mode", "line_no", "tail", "mark", "next", F.col("page").alias("next_page"), F.col("ocr_mode").alias("next_mode"), "next_no")
-    over = ends.join(near, ["book_id", "page", "ocr_mode", "line_no"], "left")
+                    end = _WORD_END.search(texts[i])
+                    if end and _LETTERS.search(end.group(1)):
+                        at.append(row)
+                        out.append((i, WITHIN if n is not None else LAST, end.group(1), end.group(2), start.group(1) if start else None, n))
+                if body:
+                    start = _WORD_START.match(texts[body[0]])
+                    at.append(row)
+                    out.append((body[0], FIRST, None, None, start.group(1) if start else None, None))
+            cols = list(zip(*out)) if out else [()] * 6
+            kinds = [pa.int32(), pa.int8(), pa.string(), pa.string(), pa.string(), pa.int32()]
+            rows = pa.array(at, type=pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(3)), *(pa.array(c, type=k) for c, k in zip(cols, kinds))], names=[x.split()[0] for x in ENDS.split(", ")])
+
+    return pages.select(*KEY, "codes", "texts").mapInArrow(run, ENDS)
+
+
+def run_on(ends: DataFrame) -> DataFrame:
+    """(KEY, line_no, tail, mark, next, next_page, next_mode, next_no): ends with the word that follows: on the page, or on the book's next page in the same mode, else in another."""
+    heads = ends.where(f"part = {FIRST}").select("book_id", (F.col("page") - 1).alias("page"), F.col("ocr_mode").alias("next_mode"), "next", F.col("line_no").alias("next_no"))
+    last = ends.where(f"part = {LAST}").select(*KEY, "line_no", "tail", "mark")
+    near = last.join(heads, ["book_id", "page"], "left")
+    order = F.struct((~F.col("ocr_mode").eqNullSafe(F.col("next_mode"))).alias("other"), "next_mode", "next_no", "next")
+    found = near.groupBy(*KEY, "line_no", "tail", "mark").agg(F.min(F.when(F.col("next_no").isNotNull(), order)).alias("n"))
+    over = found.select(*KEY, "line_no", "tail", "mark", "n.next", F.when(F.col("n").isNotNull(), F.col("page") + 1).alias("next_page"), "n.next_mode", "n.next_no")
+    on_page = ends.where(f"part = {WITHIN}").select(*KEY, "line_no", "tail", "mark", "next", F.col("page").alias("next_page"), F.col("ocr_mode").alias("next_mode"), "next_no")
     return on_page.unionByName(over)
 
 
-def tokens_of(text: str) -> list[str]:
-    return [_ELIDED.sub("", t.strip("'’-‐‑­¬")) for t in _TOKEN.findall(text) if _LETTERS.search(t) and not _HAN.search(t)]
-
-
-def _han_classes() -> dict[str, str]:
-    classes = UnionFind()
-    for group in LOOK_ALIKE_HAN:
-        for c in group[1:]:
-            classes.union(group[0], c)
-    return {c: classes.find(c) for c in "".join(LOOK_ALIKE_HAN)}
+def token_spans(text: str) -> list[tuple[int, str]]:
+    """Words with Latin letters, and where they begin."""
+    out = []
+    for m in _TOKEN.finditer(text):
+        t = m.group()
+        if _LETTERS.search(t) and not _HAN.search(t):
+            bare = t.lstrip("'’-‐‑­¬")
+            at = m.start() + len(t) - len(bare)
+            bare = bare.rstrip("'’-‐‑­¬")
+            elided = _ELIDED.match(bare)
+            out.append((at + elided.end(), bare[elided.end() :]) if elided else (at, bare))
+    return out
 
 
-_HAN_CLASS = _han_classes()
-_HAN_DOUBT = re.compile("[" + "".join(map(re.escape, _HAN_CLASS)) + "]")
+def tokens_of(text: str) -> list[str]:
+    return [t for _, t in token_spans(text)]
 
 
-def han_tokens(text: str) -> list[str]:
-    """Every doubtful ideograph with its two neighbours, or the next two of a line's end, marked by its place: 0, 1 or 2."""
-    out = []
-    for m in _HAN_DOUBT.finditer(text):
+def han_grams(text: str, which: re.Pattern = re.compile(r"[一-鿿\-=]")) -> Iterator[tuple[int, str]]:
+    """Every ideograph (or sign between two of them) with its neighbours, or the nearest two at a line's end, marked by its place, and where it stands."""
+    for m in which.finditer(text):
         i = m.start()
         at = min(max(i - 1, 0), max(len(text) - 3, 0))
         piece = text[at : at + 3]
         if len(piece) == 3 and len(_HAN.findall(piece)) + (m.group() in "-=") >= 2 and (m.group() not in "-=" or 0 < i < len(text) - 1):
-            out.append(f"{i - at}{piece}")
-    return out
-
-
-def split_line(text: str, tail: str | None) -> list[str]:
-    """The words of a line that are whole whatever lines surround it: without its first and, if it may be broken, its last."""
-    found = tokens_of(text)
-    return found[1 : -1 if tail is not None else None] + (han_tokens(text) if _HAN.search(text) else [])
-
-
-def edge_words(text: str, tail: str | None) -> list[str]:
-    """The other words of a line: they are words to be judged, but don't count, as they may be fragments."""
-    found = tokens_of(text)
-    return found[:1] + (found[-1:] if tail is not None else [])
+            yield i, f"{i - at}{piece}"
 
 
-def words_of(lines: DataFrame, joins: DataFrame) -> DataFrame:
+def words_of(pages: DataFrame, model: LineModel, joins: DataFrame) -> DataFrame:
     """(word, n), n 0 for words seen at the edges of lines alone: whole words within lines of running text and, of broken ones, the joined; compounds also by their parts."""
+    told = bytes(s in (BODY, TITLE) for s in STATES)
+    body_state = STATES.index(BODY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for text, tail in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in split_line(text, tail):
-                    counts[w] += 1
-                    if "-" in w and not _HAN.search(w):
-                        counts.update(p for p in w.split("-") if p)
-                for w in edge_words(text, tail):
-                    counts[w] += 0
+            for states, texts in zip(model.label(batch.column(0).to_pylist()), batch.column(1).to_pylist()):
+                for s, text in zip(states, texts):
+                    if not told[s]:
+                        continue
+                    own = tokens_of(text)
+                    open_end = s == body_state and bool(own) and bool(_WORD_END.search(text))
+                    inner = own[1 : -1 if open_end else None]
+                    counts.update(inner)
+                    for w in inner:
+                        if "-" in w:
+                            counts.update(p for p in w.split("-") if p)
+                    for w in own[:1] + (own[-1:] if open_end else []):
+                        counts[w] += 0
+                    if _HAN.search(text):
+                        counts.update(g for _, g in han_grams(text))
             if len(counts) > 500_000:
                 yield out(counts)
                 counts = Counter()
@@ -336,95 +295,61 @@ def words_of(lines: DataFrame, joins: DataFrame) -> DataFrame:
     def out(counts: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), type=pa.string()), pa.array(list(counts.values()), type=pa.int64())], names=["word", "n"])
 
-    inner = lines.where(f"state IN ('{BODY}', '{TITLE}')").select("text", "tail").mapInArrow(run, "word string, n long")
+    inner = pages.select("codes", "texts").mapInArrow(run, "word string, n long")
     joined = joins.where("mark <> '' AND next IS NOT NULL").select(F.concat("tail", "next").alias("word"), F.lit(1).cast("long").alias("n"))
     return inner.unionByName(joined).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-#: Letters written out as those they are taken for, as far as it goes.
-_SPREAD = str.maketrans({"m": "rri", "n": "ri", "u": "ii", "ü": "ii", "d": "cl", "w": "vv", "k": "lc", "ñ": "fi", "è": "e`"})
-_PAIRS = [(printed.lower(), read.lower()) for printed, read in CONFUSIONS if len(read) == 1]
+_LISTED = None
 
 
-def _single_classes() -> dict[int, str]:
-    parent: dict[str, str] = {}
+def _listed() -> Confusions:
+    global _LISTED
+    if _LISTED is None:
+        _LISTED = Confusions(confusions.listed())
+    return _LISTED
 
-    def root(c: str) -> str:
-        while parent.setdefault(c, c) != c:
-            c = parent[c]
-        return c
-
-    for a, b in _PAIRS:
-        parent[root(b)] = root(a)
-    return {ord(c): root(c) for c in parent}
 
+def skeleton(word: str) -> str:
+    """``Confusions.skeleton`` by the shapes alike for the eye."""
+    return _listed().skeleton(word)
 
-_CLASSES = _single_classes()
 
+def explains(word: str, right: str) -> bool:
+    """``Confusions.explains`` by the shapes alike for the eye."""
+    return _listed().explains(word, right)
 
-def skeleton(word: str) -> str:
-    """Equal for words that a scanner may take for each other."""
-    if word[0] in "012" and len(word) == 4 and _HAN.search(word):
-        at = int(word[0]) + 1
-        return word[:at] + _HAN_CLASS.get(word[at], word[at]) + word[at + 1 :]
-    word = word.lower()
-    word = word.translate(_SPREAD).translate(_CLASSES)
-    return word.translate(_ACCENTS)
 
+def no_more_than_misread(word: Column, n: Column, m: Column) -> Column:
+    """Whether ``n`` occurrences of a word, beside ``m`` of another, are no more than the other's misreadings (the Chernoff bound of the binomial tail)."""
+    gram = word.rlike(r"^[012].?.?[㐀-鿿]")
+    most = F.when(gram, F.lit(HAN_ERRORS)).otherwise(F.least(F.lit(0.3), F.length(word) * LETTER_ERRORS))
+    share = n / (n + m)
+    beyond = (n + m) * (share * F.log(share / most) + (1 - share) * F.log((1 - share) / (1 - most)))
+    return (share <= most) | (beyond <= DOUBT)
 
-_ACCENTS = str.maketrans("àâäáéèêëíìîïóòôöúùûüñç", "aaaaeeeeiiiioooouuuunc")
-_ACCENTS = {k: _CLASSES.get(v, v) if not isinstance(v, int) else _CLASSES.get(v, chr(v)) for k, v in _ACCENTS.items()}
 
+def misread_words(words: DataFrame, table: Confusions | None = None) -> DataFrame:
+    """(word, right): words that a more frequent word of the same confusion skeleton explains, each with the most frequent one that does.
 
-def explains(word: str, right: str) -> bool:
-    """Whether the word differs from the right one by confusions only, the right one being printed and the word read."""
-    if word == right:
-        return False
-    if _HAN.search(word):
-        return len(word) == len(right)
-    i = j = 0
-    while i < len(word) and j < len(right):
-        if word[i] == right[j]:
-            i, j = i + 1, j + 1
-            continue
-        for printed, read in _DIRECTED:
-            if right.startswith(printed, j) and word.startswith(read, i):
-                i, j = i + len(read), j + len(printed)
-                break
-        else:
-            return False
-    return i == len(word) and j == len(right)
-
-
-_DIRECTED = sorted([*CONFUSIONS, ("rn", "m"), ("cl", "d")], key=lambda p: -len(p[1]))
-
-
-def misread_words(words: DataFrame) -> DataFrame:
-    """(word, right): words that a more frequent word of the same confusion skeleton explains."""
+    A word with a sign inside is no word, however frequent.
+    """
+    table = table or _listed()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([skeleton(w) for w in batch.column(0).to_pylist()], type=pa.string())], names=["word", "n", "skeleton"])
-
-    shaped = words.where(F.length("word") > 1).select("word", F.greatest("n", F.lit(1).cast("long")).alias("n")).mapInArrow(run, "word string, n long, skeleton string")
-    place = F.row_number().over(W.partitionBy("skeleton").orderBy(F.desc("n"), "word"))
-    ranked = shaped.withColumn("_place", place).select("skeleton", F.col("word").alias("right"), F.col("n").alias("m"), "_place")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([table.skeleton(w) for w in batch.column(0).to_pylist()], type=pa.string())], names=["word", "n", "skeleton"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [explains(w, r) for w, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield batch.filter(pa.array(keep, type=pa.bool_()))
-
-    def explained(some: DataFrame, candidates: DataFrame) -> DataFrame:
-        both = some.join(candidates, "skeleton").where("right <> word AND m > n")
-        both = both.where(
-            f"m >= {MUCH} * n OR length(word) > {SHORT} AND m >= {LONG_MUCH} * n OR word RLIKE '^[012].?.?[\\u4e00-\\u9fff]' AND m >= {HAN_MUCH} * n OR n <= {RARE} AND m >= {FEW} * n OR word RLIKE '^[^0-9].*[0-9!@{{|`$(]|^[0-9][a-zA-Z]'"
-        ).select("word", "right", "m")
-        return both.mapInArrow(check, "word string, right string, m long").groupBy("word").agg(F.max_by("right", F.struct("m", "right")).alias("right"))
+            keep_ = [table.explains(w, r) for w, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield batch.filter(pa.array(keep_, type=pa.bool_()))
 
-    near = cut(explained(shaped, ranked.where(f"_place <= {FIRST}").drop("_place")))
-    far = explained(shaped.join(near, "word", "left_anti"), ranked.where(f"_place > {FIRST}").drop("_place"))
-    return near.unionByName(far)
+    shaped = words.where(F.length("word") > 1).select("word", F.greatest("n", F.lit(1).cast("long")).alias("n")).mapInArrow(shape, "word string, n long, skeleton string")
+    others = shaped.select("skeleton", F.col("word").alias("right"), F.col("n").alias("m"))
+    odd = F.col("word").rlike(r"^[^0-9].*[0-9!@{|`$(]|^[0-9][a-zA-Z]")
+    both = shaped.join(others, "skeleton").where("right <> word AND m > n").where(odd | no_more_than_misread(F.col("word"), F.col("n"), F.col("m")))
+    return both.select("word", "right", "m").mapInArrow(check, "word string, right string, m long").groupBy("word").agg(F.max_by("right", F.struct("m", "right")).alias("right"))
 
 
 def broken_words(joins: DataFrame, words: DataFrame) -> DataFrame:
@@ -434,154 +359,188 @@ def broken_words(joins: DataFrame, words: DataFrame) -> DataFrame:
     word is known and one of the fragments is hardly ever a word.
     """
     cases = joins.select("tail", "mark", "next").distinct()
-    part = F.regexp_extract("tail", r"([^-]*)$", 1)
-    lead = F.regexp_extract("next", r"^([^-]*)", 1)
-    cases = cases.withColumn("_joined", F.concat(part, lead)).withColumn("_compound", F.concat(part, F.lit("-"), lead)).withColumn("_a", part).withColumn("_b", lead)
-    known = words.select(F.lower("word").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
-    bare = cases.where("mark = '' AND next IS NOT NULL").join(known.select(F.col("w").alias("_w"), F.col("n").alias("_n")), F.lower("_joined") == F.col("_w")).where("_n >= 2").select("tail", "mark", "next", "_a", "_b", F.col("_n").alias("nj"))
-    for c in ("_a", "_b"):
-        bare = bare.join(known.select(F.col("w").alias("_w"), F.col("n").alias(f"n{c}")), F.lower(c) == F.col("_w"), "left").drop("_w")
-    few = F.least(F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0)))
-    bare = bare.where(few * 20 <= F.col("nj")).select("tail", "mark", "next")
-    marked = cases.where("mark <> ''")
-    for c, out in (("_joined", "nj"), ("_compound", "nc")):
-        marked = marked.join(known.select(F.col("w").alias("_w"), F.col("n").alias(out)), F.lower(c) == F.col("_w"), "left").drop("_w")
-    marked = marked.where("coalesce(nc, 0) <= coalesce(nj, 0) * 1.0 OR coalesce(nc, 0) = 0").select("tail", "mark", "next")
-    return bare.unionByName(marked).withColumn("broken", F.lit(True))
+    a, b = F.regexp_extract("tail", r"([^-]*)$", 1), F.regexp_extract("next", r"^([^-]*)", 1)
+    cases = cases.select("tail", "mark", "next", F.lower(a).alias("_a"), F.lower(b).alias("_b")).withColumn("_ab", F.concat("_a", "_b"))
+    known = words.where("n > 0").select(F.lower("word").alias("_w"), "n").groupBy("_w").agg(F.sum("n").alias("n"))
+    bare = cases.where("mark = '' AND next IS NOT NULL").join(known.select(F.col("_w").alias("_ab"), F.col("n").alias("_joined")), "_ab")
+    marked = cases.where("mark <> ''").withColumn("_joined", F.lit(None).cast("long"))
+    pieces = F.when(F.col("mark") == "", F.array("_a", "_b")).otherwise(F.array("_ab", F.concat("_a", F.lit("-"), "_b")))
+    pairs = bare.select(*marked.columns).unionByName(marked).select("tail", "mark", "next", "_joined", F.posexplode(pieces).alias("_k", "_w"))
+    counted = pairs.join(known, "_w", "left").groupBy("tail", "mark", "next", "_joined").agg(*(F.max(F.when(F.col("_k") == k, F.coalesce("n", F.lit(0)))).alias(f"_n{k}") for k in (0, 1)))
+    apart = (F.col("mark") == "") & (F.least("_n0", "_n1") * HARDLY <= F.col("_joined"))
+    whole = (F.col("mark") != "") & (F.coalesce("_n1", F.lit(0)) <= F.coalesce("_n0", F.lit(0)))
+    return counted.where(apart | whole).select("tail", "mark", "next", F.lit(True).alias("broken"))
+
+
+def _case() -> Column:
+    return F.concat_ws("\0", "tail", "mark", F.coalesce("next", F.lit("\1")))
 
 
 class Scans:
-    """The labelled lines of a corpus and what its words tell about them; each step is written out once."""
+    """The labelled pages of a corpus and what its words tell about them; each step is written out once."""
 
     def __init__(self, scans: DataFrame, books: DataFrame):
-        pages = _pages(scans, books)
-        self.lines = cut(label(pages, fit(pages)))
-        joins = run_on(self.lines)
-        words = cut(words_of(self.lines, joins))
-        self.wrong = cut(misread_words(words))
-        joins = joins.withColumn("next", F.when(F.col("next") != "", F.col("next")))
-        broken = broken_words(joins, words)
-        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("tail", "mark", "next")]
-        hit = joins.join(broken.select(*(F.col(c).alias(f"_{c}") for c in ("tail", "mark", "next"))), same, "left_semi")
-        self.broken = cut(hit)
-
-    def own_words(self) -> DataFrame:
-        """(book_id, page, ocr_mode, line_no, word, odd): whole words of running text that may be misread; odd: characters that no word has.
+        self.pages = keep(observed(scans, books))
+        self.model = linemodel.fit(self.pages)
+        joins = run_on(keep(line_ends(self.pages, self.model))).withColumn("next", F.when(F.col("next") != "", F.col("next")))
+        words = keep(words_of(self.pages, self.model, joins))
+        self.table = confusions.learn(words)
+        self.wrong = keep(misread_words(words, self.table))
+        hit = joins.withColumn("_case", _case()).join(broken_words(joins, words).select(_case().alias("_case")), "_case", "left_semi")
+        self.broken = keep(hit.drop("_case"))
+
+    def lines(self) -> DataFrame:
+        """(KEY, line_no, at, word, kind): noisy lines by their kinds, and words of running text that may be misread, where they stand (kind null unless no word is like that).
 
         Words are sifted by slots of which the misread ones fill at most SLOTS; what is left is to be joined with them.
         """
-        key = ["book_id", "page", "ocr_mode", "line_no"]
 
         def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array(sorted({slot(w) for w in batch.column(0).to_pylist()}), type=pa.int32())], names=["slot"])
 
-        taken = bytearray(SLOTS)
+        filled = bytearray(SLOTS)
         for r in self.wrong.select("word").mapInArrow(slots, "slot int").distinct().collect():  # at most SLOTS
-            taken[r.slot] = 1
-        taken = bytes(taken)
+            filled[r.slot] = 1
+        taken, table, model = bytes(filled), self.table, self.model
+        furniture = {STATES.index(HEAD): "running_head", STATES.index(NUMBER): "page_number"}
+        running = bytes(s in (BODY, TITLE, TABLE) for s in STATES)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict[str, tuple[bool, bool]] = {}
             for batch in batches:
-                rows, found, odd = [], [], []
+                rows, out = [], []
                 if len(known) > 300_000:
                     known.clear()
-                for i, (text, first, broken) in enumerate(zip(*(batch.column(k).to_pylist() for k in (4, 5, 6)))):
-                    own = tokens_of(text)
-                    own = own[1 if first else 0 : -1 if broken else None]
-                    if _HAN.search(text):
-                        own += han_tokens(text)
-                    if _SPLIT_ACCENT.search(text):
-                        rows.append(i)
-                        found.append(text)
-                        odd.append(True)
-                    for w in own:
-                        says = known.get(w)
-                        if says is None:
-                            says = known[w] = (bool(taken[slot(w)]), bool(_MISREAD_IN_WORD.search(w) or _SIGN_IN_WORD.search(w)))
-                        if says[0] or says[1]:
-                            rows.append(i)
-                            found.append(w)
-                            odd.append(says[1])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(rows, type=pa.int32())) for k in range(4)), pa.array(found, type=pa.string()), pa.array(odd, type=pa.bool_())], names=[*key, "word", "odd"])
-
-        begun = self.broken.where("next_no IS NOT NULL").select("book_id", F.col("next_page").alias("page"), F.col("next_mode").alias("ocr_mode"), F.col("next_no").alias("line_no"), F.lit(True).alias("begun")).distinct()
-        cut_short = self.broken.select(*key, F.lit(True).alias("broken"))
-        running = self.lines.where(f"state IN ('{BODY}', '{TITLE}', '{TABLE}')").select(*key, "text").join(begun, key, "left").join(cut_short, key, "left")
-        running = running.select(*key, "text", F.coalesce("begun", F.lit(False)).alias("begun"), F.coalesce("broken", F.lit(False)).alias("broken"))
-        return running.mapInArrow(run, "book_id long, page long, ocr_mode string, line_no long, word string, odd boolean")
+                for row, (states, texts, begun, cut_short) in enumerate(zip(model.label(batch.column(3).to_pylist()), *(batch.column(k).to_pylist() for k in (4, 5, 6)))):
+                    begun, cut_short, found = set(begun or ()), set(cut_short or ()), []
+                    for i, (s, text) in enumerate(zip(states, texts)):
+                        if i in cut_short:
+                            found.append((i, None, None, "hyphen"))
+                        if s in furniture:
+                            found.append((i, None, None, furniture[s]))
+                        if not running[s]:
+                            continue
+                        own = token_spans(text)[1 if i in begun else 0 : -1 if i in cut_short else None]
+                        if _HAN.search(text):
+                            own += han_grams(text, table.doubtful)
+                        if _SPLIT_ACCENT.search(text):
+                            found.append((i, None, None, "misread"))
+                        for at, w in own:
+                            says = known.get(w)
+                            if says is None:
+                                says = known[w] = (bool(taken[slot(w)]), bool(_MISREAD_IN_WORD.search(w) or _SIGN_IN_WORD.search(w)))
+                            if says[0] or says[1]:
+                                found.append((i, at, w, "misread" if says[1] else None))
+                    rows += [row] * len(found)
+                    out += found
+                cols = list(zip(*out)) if out else [()] * 4
+                ids = pa.array(rows, type=pa.int32())
+                kinds = [pa.int64(), pa.int32(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(ids) for k in range(3)), *(pa.array(c, type=k) for c, k in zip(cols, kinds))], names=[*KEY, "line_no", "at", "word", "kind"])
+
+        begun = self.broken.where("next_no IS NOT NULL").select("book_id", F.col("next_page").alias("page"), F.col("next_mode").alias("ocr_mode"), F.col("next_no").alias("begun"), F.lit(None).cast("int").alias("ended"))
+        ended = self.broken.select(*KEY, F.lit(None).cast("int").alias("begun"), F.col("line_no").alias("ended"))
+        marks = begun.unionByName(ended).groupBy(*KEY).agg(F.collect_set("begun").alias("begun"), F.collect_set("ended").alias("ended"))
+        mode = F.coalesce("ocr_mode", F.lit("\0"))
+        marks = marks.select(F.col("book_id").alias("_b"), F.col("page").alias("_p"), mode.alias("_m"), "begun", "ended")
+        both = self.pages.join(marks, (F.col("book_id") == F.col("_b")) & (F.col("page") == F.col("_p")) & (mode == F.col("_m")), "left")
+        return both.select(*KEY, "codes", "texts", "begun", "ended").mapInArrow(run, "book_id long, page long, ocr_mode string, line_no long, at int, word string, kind string")
 
     def noise(self) -> DataFrame:
-        """(book_id, page, ocr_mode, line_no, kind): see ``noisy_lines``."""
-        key = ["book_id", "page", "ocr_mode", "line_no"]
-        furniture = self.lines.where(f"state IN ('{HEAD}', '{NUMBER}')").select(*key, F.when(F.col("state") == HEAD, "running_head").otherwise("page_number").alias("kind"))
-        hyphens = self.broken.select(*key, F.lit("hyphen").alias("kind"))
-
-        whole = self.own_words().join(self.wrong.select("word", F.lit(True).alias("hit")), "word", "left").where("odd OR hit").select(*key)
-
-        joined = self.broken.where("next IS NOT NULL").withColumn("word", F.concat("tail", "next")).join(self.wrong, "word")
-        left = joined.where(~F.expr("startswith(right, tail)")).select(*key)
-        right = joined.where(F.expr("startswith(right, tail)") | ~F.expr("endswith(right, next)")).where("next_no IS NOT NULL AND NOT endswith(right, next)").select("book_id", F.col("next_page").alias("page"), F.col("next_mode").alias("ocr_mode"), F.col("next_no").alias("line_no"))
-        odd_ends = self.broken.where(F.col("tail").rlike(r"[A-Za-zÀ-ÿ][0-9!@{|`$(]")).select(*key)
-        misread = whole.unionByName(left).unionByName(right).unionByName(odd_ends).distinct().withColumn("kind", F.lit("misread"))
-        return furniture.unionByName(hyphens).unionByName(misread)
-
+        """(KEY, line_no, kind): see ``noisy_lines``."""
+        key = [*KEY, "line_no"]
+        wrong = self.wrong.select("word", F.lit(True).alias("hit"))
+        own = self.lines().join(wrong, "word", "left").where("kind IS NOT NULL OR hit").select(*key, F.coalesce("kind", F.lit("misread")).alias("kind"))
+
+        odd_end = F.col("tail").rlike(r"[A-Za-zÀ-ÿ][0-9!@{|`$(]")
+        joined = self.broken.withColumn("word", F.concat("tail", "next")).join(self.wrong, "word", "left")
+        left = F.when(odd_end | (F.col("right").isNotNull() & ~F.expr("startswith(right, tail)")), F.struct(*key))
+        right = F.when(F.col("next_no").isNotNull() & ~F.expr("endswith(right, next)"), F.struct("book_id", F.col("next_page").alias("page"), F.col("next_mode").alias("ocr_mode"), F.col("next_no").cast("long").alias("line_no")))
+        broken = joined.withColumn("line_no", F.col("line_no").cast("long")).select(F.explode(F.array_compact(F.array(left, right))).alias("v")).select(*(F.col(f"v.{c}") for c in key), F.lit("misread").alias("kind"))
+        return own.unionByName(broken)
 
     def paragraphs(self) -> DataFrame:
         """(book_id, page, line_no, text): see ``paragraphs``."""
-        key = ["book_id", "page", "ocr_mode", "line_no"]
-        best = self.lines.groupBy("book_id", "page").agg(F.max("ocr_mode").alias("ocr_mode"))  # high_precision before fast
-        lines = self.lines.where(f"state IN ('{BODY}', '{TITLE}', '{TABLE}') AND text <> ''").join(best, ["book_id", "page", "ocr_mode"], "left_semi").select(*key, "state", "text", "indented")
-        lines = lines.join(self.broken.select(*key, F.lit(True).alias("broken")).distinct(), key, "left")
-        fixes = self.own_words().join(self.wrong, "word").groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("word", "right"))).alias("fixes"))
-        lines = lines.join(fixes, key, "left")
-        over = self.broken.where("next IS NOT NULL").withColumn("word", F.concat("tail", "next")).join(self.wrong, "word").groupBy(*key).agg(F.max(F.struct("tail", "next", "right")).alias("over"))
-        lines = lines.join(over, key, "left")
-        flow = lines.where(f"state = '{BODY}'")
-        begin = F.when(F.col("indented"), F.struct("page", "line_no"))
+        model, key = self.model, [*KEY, "line_no"]
+        chosen = self.pages.groupBy("book_id", "page").agg(F.max_by(F.struct("ocr_mode", "codes", "edges", "texts"), F.struct("ocr_mode", F.xxhash64("texts"))).alias("p"))  # high_precision before fast
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept, body_state = {STATES.index(s): s for s in (BODY, TITLE, TABLE)}, STATES.index(BODY)
+            for batch in batches:
+                rows, out = [], []
+                for row, (states, edges, texts) in enumerate(zip(model.label(batch.column(3).to_pylist()), batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                    closed = False
+                    for i, (s, edge, text) in enumerate(zip(states, edges, texts)):
+                        if s in kept and text:
+                            rows.append(row)
+                            out.append((i, kept[s], text, bool(edge & INDENTED) or closed))
+                            if s == body_state:
+                                closed = bool(edge & CLOSING)
+                cols = list(zip(*out)) if out else [()] * 4
+                ids, kinds = pa.array(rows, type=pa.int32()), [pa.int64(), pa.string(), pa.string(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(ids) for k in range(3)), *(pa.array(c, type=k) for c, k in zip(cols, kinds))], names=[*key, "state", "text", "begins"])
+
+        lines = chosen.select("book_id", "page", "p.ocr_mode", "p.codes", "p.edges", "p.texts").mapInArrow(run, "book_id long, page long, ocr_mode string, line_no long, state string, text string, begins boolean")
+        fixes = self.lines().where("word IS NOT NULL").join(self.wrong, "word").groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("at", "word", "right"))).alias("fixes"))
+        over = self.broken.withColumn("word", F.concat("tail", "next")).join(self.wrong, "word", "left").groupBy(*KEY, F.col("line_no").cast("long").alias("line_no"))
+        over = over.agg(F.lit(True).alias("broken"), F.max(F.when(F.col("right").isNotNull(), F.struct("tail", "next", "right"))).alias("over"))
+        for more in (fixes, over):
+            mode = F.coalesce("ocr_mode", F.lit("\0"))
+            more = more.withColumnsRenamed({c: f"_{c}" for c in key})
+            on = (F.col("book_id") == F.col("_book_id")) & (F.col("page") == F.col("_page")) & (mode == F.coalesce("_ocr_mode", F.lit("\0"))) & (F.col("line_no") == F.col("_line_no"))
+            lines = lines.join(more, on, "left").drop(*(f"_{c}" for c in key))
+        flow = lines.where(f"state = '{BODY}'").drop("ocr_mode")
+        begin = F.when(F.col("begins"), F.struct("page", "line_no"))
         laid = fill_forward(flow.withColumn("begin", begin), "book_id", ["book_id", "page", "line_no"], "begin", "start")
-        apart = lines.where(f"state <> '{BODY}'").withColumn("start", F.struct("page", "line_no")).withColumn("begin", F.col("start"))
+        apart = lines.where(f"state <> '{BODY}'").drop("ocr_mode").withColumn("start", F.struct("page", "line_no")).withColumn("begin", F.col("start"))
         first = F.struct(F.lit(-1).cast("long").alias("page"), F.lit(0).cast("long").alias("line_no"))
         both = laid.unionByName(apart).withColumn("start", F.coalesce("start", first))
         parts = F.sort_array(F.collect_list(F.struct("page", "line_no", "text", F.coalesce("broken", F.lit(False)).alias("broken"), "fixes", "over")))
         grouped = both.groupBy("book_id", "state", "start").agg(parts.alias("parts"))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 parts = batch.column(1).to_pylist()
                 first = [p[0] for p in parts]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p["page"] for p in first], type=pa.int64()), pa.array([p["line_no"] for p in first], type=pa.int64()), pa.array([assemble(p) for p in parts], type=pa.string())], names=["book_id", "page", "line_no", "text"])
 
-        return grouped.select("book_id", "parts").mapInArrow(run, "book_id long, page long, line_no long, text string")
+        return grouped.select("book_id", "parts").mapInArrow(join, "book_id long, page long, line_no long, text string")
 
 
 def put_right(text: str, fixes: list[dict] | None) -> str:
+    """The text with each misread word replaced where it stands; of words that overlap the first counts."""
+    out, done = [], 0
     for fix in fixes or []:
-        word, right = fix["word"], fix["right"]
-        if len(word) == 4 and word[0] in "012" and _HAN.search(word):
-            word, right = word[1:], right[1:]
-        text = text.replace(word, right)
-    return text
+        at, word, right = fix["at"], fix["word"], fix["right"]
+        if is_gram(word):
+            place = int(word[0]) + 1
+            word, right = word[place], right[place]
+        if at >= done and text.startswith(word, at):
+            out += text[done:at], right
+            done = at + len(word)
+    return "".join(out) + text[done:]
 
 
 def assemble(parts: list[dict]) -> str:
-    """The lines of a paragraph as continuous text: broken words joined, misread ones put right, those that are both as one."""
-    out = ""
-    texts = [p["text"].strip() for p in parts]
+    """The lines of a paragraph as continuous text: broken words joined, misread ones put right where they stand, those that are both as one."""
+    out, skip = [], 0
     for i, p in enumerate(parts):
-        text, over = texts[i], p["over"]
+        text, over, begins = p["text"], p["over"], skip
+        end, skip = len(text.rstrip()), 0
         if p["broken"]:
-            text = text.rstrip(HYPHENS)
-            if over and i + 1 < len(parts) and text.endswith(over["tail"]) and texts[i + 1].startswith(over["next"]):
-                texts[i + 1] = texts[i + 1][len(over["next"]) :]
-                out += put_right(text[: len(text) - len(over["tail"])], p["fixes"]) + over["right"]
-            else:
-                out += put_right(text, p["fixes"]).rstrip(HYPHENS)
-        else:
-            text = put_right(text, p["fixes"])
-            out += text + ("" if _HAN.search(text[-1:]) or text[-1:] in "，。；：、！？" else " ")
-    return out.strip()
+            end = len(text[:end].rstrip(HYPHENS))
+        following = parts[i + 1]["text"] if i + 1 < len(parts) else ""
+        lead = len(following) - len(following.lstrip())
+        whole = ""
+        if p["broken"] and over and text[:end].endswith(over["tail"]) and following.startswith(over["next"], lead):
+            end, whole, skip = end - len(over["tail"]), over["right"], lead + len(over["next"])
+        fixes = [{**f, "at": f["at"] - begins} for f in p["fixes"] or [] if f["at"] >= begins]
+        line = put_right(text[begins:end], fixes).lstrip() + whole if begins == 0 else put_right(text[begins:end], fixes) + whole
+        out.append(line)
+        if not p["broken"] and line:
+            out.append("" if _HAN.search(line[-1]) or line[-1] in "，。；：、！？" else " ")
+    return "".join(out).strip()
 
 
 def paragraphs(scans: DataFrame, books: DataFrame) -> DataFrame:
@@ -589,7 +548,8 @@ def paragraphs(scans: DataFrame, books: DataFrame) -> DataFrame:
 
     Of a page scanned in several modes one is taken, high_precision before fast.  Furniture is left out, words broken across lines and pages are
     joined, misread words are put right, and lines follow each other with a blank (between ideographs without).  A paragraph begins at
-    an indented line and goes on across pages; chapter titles and lines of tables stand apart.  Input as in ``noisy_lines``.
+    an indented line, or below a short one that ends a sentence, and goes on across pages; chapter titles and lines of tables stand apart.  A
+    paragraph is one value, which one task puts together.  Input as in ``noisy_lines``; repeated pages count once.
     """
     return Scans(scans, books).paragraphs()
 

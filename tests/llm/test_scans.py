@@ -108,3 +108,75 @@ def test_held_out_accuracy_of_misread_words(spark):
                 break
     got = {x.word: x.right for x in S.misread_words(spark.createDataFrame(rows, "word string, n long")).collect()}
     assert got == wrong
+
+
+def part(text, fixes=(), broken=False, over=None):
+    return {"page": 0, "line_no": 0, "text": text, "broken": broken, "fixes": [{"at": a, "word": w, "right": r} for a, w, r in fixes], "over": over}
+
+
+def test_misread_words_are_put_right_where_they_stand():
+    assert S.assemble([part("the bc was bcaten", [(4, "bc", "be")])]) == "the be was bcaten"
+    assert S.assemble([part("a fine ine day", [(7, "ine", "me")])]) == "a fine me day"
+    assert S.assemble([part("打开丁门", [(2, "1开丁门", "1开了门")]), part("再走")]) == "打开了门再走"
+    over = {"tail": "mea", "next": "surcd", "right": "measured"}
+    assert S.assemble([part("we mea-", broken=True, over=over), part("surcd tbe road", [(6, "tbe", "the")])]) == "we measured the road"
+    assert S.assemble([part(""), part("x")]) == "x"
+
+
+def test_paragraphs_equal_the_source_of_a_noisy_book(spark):
+    """Brute force: the text is set into lines with breaks and misreadings, and has to come back as it was."""
+    r = random.Random(4)
+    words = [w for _ in range(230) for w in TEXT.split()]
+    noisy = [w.replace("m", "rn", 1) if r.random() < 0.02 else w.replace("e", "c", 1) if r.random() < 0.02 and len(w) > 4 else w for w in words]
+    pages, at, rest = [], 0, ""
+    for page in range(24):
+        lines = [line(TITLE, 0.3, 0.05, 0.3)]
+        for k in range(22):
+            own = ([rest] if rest else []) + noisy[at : at + 8]
+            at, rest = at + 8, ""
+            if len(own[-1]) > 7 and own[-1].isalpha() and own[-1] in words:
+                own[-1], rest = own[-1][:4] + "-", own[-1][4:]
+            lines.append(line(" ".join(own), 0.15 if k == 0 and page % 3 == 0 else 0.12, 0.1 + 0.034 * k))
+        pages.append((1, page, "fast", {"lines": lines, "mode": "fast"}, ""))
+    rows = S.paragraphs(*frames(spark, pages)).orderBy("page", "line_no").collect()
+    got = " ".join(x.text for x in rows).split()
+    assert got == words[: len(got)] and len(got) >= at - 1
+
+
+def test_confusions_are_learned_without_prior_shapes(spark):
+    from lectern.llm import confusions as C
+
+    true = ["market", "observatory", "measurement", "harbour", "signature", "drawings", "lighthouse", "committee", "keeper", "warehouse", "monument", "number", "member", "summer", "merchant", "mountain"]
+    rows = [(w, 400) for w in true] + [(w.replace("m", "xx", 1), 3) for w in true if "m" in w] + [("hxrbour", 2), ("1的旳的", 1)]
+    table = C.learn(spark.createDataFrame(rows, "word string, n long"), prior=[])
+    assert table.directed == [("m", "xx")]
+    assert table.explains("xxarket", "market") and table.skeleton("xxarket") == table.skeleton("market") and not table.explains("hxrbour", "harbour")
+    assert C.learn(spark.createDataFrame([], "word string, n long"), prior=[("m", "rn")]).directed == [("m", "rn")]
+
+
+def test_line_model_estimates_itself(spark):
+    """Pages of a layout that the first beliefs get wrong: heads are indented text within the page, told by what surrounds them."""
+    from lectern.llm import linemodel as M
+
+    body, head, number = ("within", "left", "text", "sure"), ("top", "inset", "text", "doubtful"), ("bottom", "middle", "numbered", "sure")
+    page = bytes(map(M.code, [head, *[body] * 9, number]))
+    frame = spark.createDataFrame([(bytearray(page),)] * 50 + [(bytearray(),)], "codes binary")
+    model = M.fit(frame)
+    want = bytes([M.STATES.index(M.HEAD), *[M.STATES.index(M.BODY)] * 9, M.STATES.index(M.NUMBER)])
+    assert model.label([page, b"", page[:1]]) == [want, b"", want[:1]]
+    counts = M.count([page, b""], [want, b""])
+    assert counts.sum() == 1 + 10 + 11 and M.fit(frame.limit(0)).label([page])
+
+
+def test_line_model_equals_brute_force():
+    import itertools
+
+    import numpy as np
+    from lectern.llm import linemodel as M
+
+    model, r = M.LineModel.believed(), random.Random(1)
+    for _ in range(5):
+        page = [r.randrange(M.CODES) for _ in range(4)]
+        score = lambda path: model.start[path[0]] + sum(model.step[a, b] for a, b in zip(path, path[1:])) + sum(model.emit[c, s] for c, s in zip(page, path))  # noqa: E731, B023
+        best = max(map(score, itertools.product(range(5), repeat=4)))
+        assert np.isclose(score(list(model.label([bytes(page)])[0])), best)
