@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..cluster import load
-from . import conversations, language, lookalike, messages, packing, personal, replies, scans, tokens
+from . import conversations, language, lookalike, messages, packing, personal, replies, scans, tokens, truncation
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,6 +46,20 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return sums.withColumn("share", F.round(F.col("truncated") / F.col("messages"), 6))
 
 
+def p4_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What tells of each message that it was cut off; replies that only give their prompt back are still among them."""
+    return truncation.judgements(load(spark, d, "ai_messages"))
+
+
+def p4_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Messages that a longer one begins with, whether cut off or not: the comparison of whole values alone."""
+    return truncation.whole_prefixes(load(spark, d, "ai_messages"))
+
+
+def p4_limits(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.length_limits(load(spark, d, "ai_messages"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.judge(load(spark, d, "ai_threads"), load(spark, d, "ai_messages")).where("NOT ok").select("thread_id")
 
@@ -71,7 +85,8 @@ def p8_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_shares": p4_shares, "p2_found": p2_found, "p2_forms": p2_forms, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_masked": p8_masked}
+    own = [p1_found, p3_found, p3_paragraphs, p4_found, p4_shares, p4_evidence, p4_copies, p4_limits, p2_found, p2_forms, p5_found, p5_conversations, p6_ids, p7_pack, p8_found, p8_masked]
+    return {f.__name__: f for f in own}
 
 
 # Each message once, its earliest row, with what the rule of whole conversations asks of it.
@@ -85,6 +100,11 @@ AND coalesce(bool_and(CASE WHEN turn % 2 = 1 THEN role = 'user' AND (readable OR
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express: the rule of problem 5.  The other operators are tested against brute force, round trips or held-out cases."""
     return {
+        "p4_copies": r"WITH m AS (SELECT DISTINCT id, trim(content, ' ') AS c FROM ai_messages WHERE id IS NOT NULL AND trim(content, ' ') <> ''), v AS (SELECT DISTINCT c FROM m), "
+        r"p AS (SELECT DISTINCT a.c FROM v a JOIN v b ON starts_with(b.c, a.c) AND length(b.c) > length(a.c) AND regexp_matches(substr(b.c, length(a.c) + 1), '^ ?[\p{L}\p{N}]')) SELECT DISTINCT id FROM m JOIN p USING (c)",
+        "p4_limits": r"WITH s AS (SELECT nullif(lower(regexp_replace(action_type, '^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$', '', 'g')), '') AS source, length(regexp_replace(content, '^[\s\x{200b}\x{3000}]+|[\s\x{200b}\x{3000}]+$', '', 'g')) AS length FROM ai_messages), "
+        "c AS (SELECT source, length, count(*) AS texts FROM s WHERE length > 0 GROUP BY ALL), "
+        "u AS (SELECT *, (sum(texts) OVER (PARTITION BY source ORDER BY length RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - texts) / 20.0 AS usual FROM c) SELECT source, length, texts, usual FROM u WHERE texts > usual + 5 * sqrt(usual + 1)",
         "p5_found": _MESSAGES + " SELECT thread_id FROM t WHERE NOT ok UNION SELECT id FROM ai_threads WHERE id NOT IN (SELECT thread_id FROM t)",
         "p5_conversations": _MESSAGES + " SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY created_at, id) - 1 AS turn, id, role, nullif(action_type, '') AS action_type, created_at, content FROM m WHERE thread_id IN (SELECT thread_id FROM t WHERE ok)",
     }

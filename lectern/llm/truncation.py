@@ -1,9 +1,9 @@
 """Texts that stop before they are complete.
 
-Each text is judged by its own end first: marks of a break (a broken character, an ellipsis, an appended notice), structures left
-open (code, tables, emphasis, formulas, quotations, an announced number of points), or a full stop.  What ends without any of these, such as
-a title or the beginning of a sentence, is decided against the corpus: all sentences are sorted, and an end that is a strict prefix of its
-neighbour, a longer copy elsewhere, was cut off, as was one whose last word is never a whole word elsewhere.  Whole texts are compared likewise.
+What ends without a stop is decided against the corpus: its last words are looked up among all texts by fixed-length prefixes (``continuation``), and
+whole texts are sorted and compared with the longer ones that begin like them.  A text was cut off if the others go on where it ends, all the more
+where its length is a limit of its source.  Marks of a break (a broken character, an ellipsis, an appended notice) and structures left open (code,
+tables, emphasis, formulas, quotations, an announced number of points), which no longer copy can show, are judged by the text's own end.
 """
 
 from __future__ import annotations
@@ -13,23 +13,21 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..cluster import cut
+from ..cluster import keep
 from ..ordering import with_neighbour
-from .messages import NO_VALUE_WORDS
+from .continuation import end_of, evidence
+from .messages import NO_VALUE_WORDS, tidy
 
 COMPLETE, CUT, OPEN, ITEM = "complete", "cut", "open", "item"
 #: A text complete by its own end, which is a letter: only its longer whole copies can say otherwise.
 LETTER = "letter"
-#: What is looked up: runs of words, or whole texts.
-RUN, TEXT = 0, 1
-#: Characters of a prefix by which runs of words are looked up before they are sorted.
-KEY = 4
-#: Prefixes are first sifted by this many slots, of which at most all are sent to the tasks; the join after them is exact.
+#: The part of the sorted values that are whole texts.
+TEXT = 1
+#: Whole texts are first sifted by this many slots of their beginnings, of which at most all are sent to the tasks; the sort after them is exact.
 SLOTS = 1 << 18
-#: Words (ideographs) of an end that are compared; runs elsewhere have one word (several ideographs) more.
-END_WORDS, END_HAN = 4, 6
 #: Lengths of the prefixes by which whole texts are looked up before they are sorted.
 HEADS = (1, 2, 4, 8, 16, 32, 64, 128)
 
@@ -72,17 +70,27 @@ def last_part(text: str) -> str:
     return (item.group(1) if item else line).strip(_EDGE)
 
 
+def without_notice(text: str) -> str:
+    """The text without notices of a broken transfer behind it, and without blanks at its end."""
+    lines = text.rstrip(_EDGE).split("\n")
+    while len(lines) > 1 and _NOTICE.match(lines[-1].strip()):
+        lines = "\n".join(lines[:-1]).rstrip(_EDGE).split("\n")
+    return "\n".join(lines)
+
+
+def closed(text: str) -> bool:
+    """Whether the text's end leaves nothing to look up: a stop, a mark, the end of a table, code or a link."""
+    last = text.rsplit("\n", 1)[-1].strip()
+    return not last or not last[-1].isalnum() or last.startswith("|") or text.count("```") > 0 or bool(_LINK.search(text))
+
+
 def judge_end(text: str | None, asked: bool = False) -> tuple[str, str]:
     """(COMPLETE | CUT | OPEN | ITEM, what has to be looked up if OPEN or, of a list, ITEM).  ``asked``: a message of a user, which may be mere search words."""
     text = (text or "").strip(_EDGE)
     if not text:
         return COMPLETE, ""
-    lines = text.split("\n")
-    noticed = False
-    while len(lines) > 1 and len(lines[-1]) < 80 and _NOTICE.match(lines[-1].strip()):
-        lines = "\n".join(lines[:-1]).rstrip(_EDGE).split("\n")
-        noticed = True
-    text = "\n".join(lines).rstrip(_EDGE)
+    bare = without_notice(text)
+    noticed, text, lines = bare != text, bare, bare.split("\n")
     last = lines[-1].strip()
     if text.endswith("�"):
         return CUT, ""
@@ -122,49 +130,13 @@ def judge_end(text: str | None, asked: bool = False) -> tuple[str, str]:
     body = text[: len(text) - len(tail)].rstrip()
     if body and (_STOP.search(body.rstrip(_CLOSERS)) and "\n" not in text[len(body) :] and not (asked and body[-1] in "?？")):
         return CUT, ""  # running text after a full stop in the same line
-    if noticed or re.search(r"[,;，；]", tail) and len(tail) > 8:
+    if noticed:
         return CUT, ""
-    if asked and "\n" not in text and body == "" and len(tail) <= 60:
+    if asked and "\n" not in text and body == "":
         return COMPLETE, ""
-    if len(tail) > (14 if _HAN.search(tail) else 60):
-        return CUT, ""
     return OPEN, tail
 
 
-_WORDS = re.compile(r"\S+")
-_PIECES = re.compile(r"[.!?。！？;；:：\n]+|(?<![^\W_])[\"“”„«»()*|]+|[\"“”„«»()*|]+(?![^\W_])")
-
-
-def end_of(tail: str) -> str:
-    """The last words of a tail, or its last ideographs."""
-    tail = tail.strip(_EDGE + _CLOSERS)
-    if _HAN.search(tail[-END_HAN:]):
-        return tail[-END_HAN:]
-    return " ".join(_WORDS.findall(tail)[-END_WORDS:])
-
-
-def slot(run: str) -> int:
-    """One of SLOTS numbers by the first KEY characters of a run."""
-    return zlib.crc32(run[:KEY].encode()) % SLOTS
-
-
-def runs(text: str, wanted: frozenset[int]) -> set[str]:
-    """All runs of words that may hold an end and go on after it, and whose slot is wanted."""
-    out = set()
-    for piece in _PIECES.split(text):
-        if not piece:
-            continue
-        if _HAN.search(piece):
-            out.update(piece[i : i + END_HAN + 2] for i in range(max(1, len(piece) - 2)) if slot(piece[i : i + KEY]) in wanted)
-        else:
-            words = _WORDS.findall(piece)
-            for i in range(max(1, len(words) - 1)):
-                first = words[i] if i < len(words) else ""
-                if slot(first if len(first) >= KEY else " ".join(words[i : i + KEY])) in wanted:
-                    out.add(" ".join(words[i : i + END_WORDS + 1]))
-    return out
-
-
 def letters_first(value: Column) -> Column:
     """A key of the order in which letters and digits stand before a blank and a blank before all else, so the first of several longer copies goes on with a letter if any does."""
     return F.regexp_replace(F.regexp_replace(value, r"([^\p{L}\p{N} ])", "\U0010FFFE$1"), " ", "\U0010FFFD")
@@ -181,57 +153,114 @@ def heads_of(text: str) -> list[int]:
     return [zlib.crc32(text[:n].encode("utf-8", "replace")) % SLOTS for n in HEADS if n <= len(text)]
 
 
-def truncated(messages: DataFrame, text_col: str = "content", role_col: str = "role", id_col: str = "id") -> DataFrame:
-    """(id_col): the ids of texts that stop before they are complete, each once.
+#: Standard deviations by which a length must be more frequent than those beside it to be a limit.
+LIMIT = 5.0
+#: Neighbouring lengths by which the usual number of texts of a length is told, on either side.
+BESIDE = 10
+#: An end was cut off if at most this share of its occurrences elsewhere are closed; at a length limit of its source, at most AT_LIMIT.
+CLOSING, AT_LIMIT = 0.05, 0.25
+
 
-    Null, empty and blank texts, complete titles, search words, lists, tables, code and links are no cases.  Repeated rows count once; rows
-    with a null id are left out; other columns are not read.  Of a text that its own end does not decide, the last part is compared with all
-    sentences of the corpus, and the whole with all whole texts: it was cut if a longer one begins with it and goes on with a word, or if it ends in
-    a link's or table's letter, inside one.
+def length_limits(messages: DataFrame, text_col: str = "content", source_col: str = "action_type") -> DataFrame:
+    """(source, length, texts, usual double): lengths that far more texts of a source have than the lengths beside them, at which its texts may have been cut.
+
+    Sources are spelled one way, null is one of its own.  Lengths are characters without blanks at either end; null and empty texts have none.
     """
-    texts = messages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(F.lower(F.trim(F.col(f"`{role_col}`"))) == "user", F.lit(False)).alias("asked")).where("id IS NOT NULL AND text IS NOT NULL")
+    size = F.length(F.regexp_replace(F.col(f"`{text_col}`"), r"^[\s\u200b\u3000]+|[\s\u200b\u3000]+$", ""))
+    counts = messages.select(tidy(F.col(f"`{source_col}`")).alias("source"), size.alias("length")).where("length > 0").groupBy("source", "length").agg(F.count("*").alias("texts"))
+    near = W.partitionBy("source").orderBy("length").rangeBetween(-BESIDE, BESIDE)
+    usual = (F.sum("texts").over(near) - F.col("texts")) / (2.0 * BESIDE)
+    return counts.withColumn("usual", usual).where(F.col("texts") > F.col("usual") + LIMIT * F.sqrt(F.col("usual") + 1))
+
+
+def longer_copies(values: DataFrame) -> DataFrame:
+    """(part, value, inside, letter) of the ``values`` (part, value, own) with own = 1 of which a longer one of the same part is a copy that goes on with a
+    word: whether inside the last word, and with a letter.  All values are sorted, letters first, so the first longer copy tells for all."""
+    both = values.groupBy("part", "value").agg(F.max("own").alias("own")).withColumn("place", letters_first(F.col("value")))
+    laid = with_neighbour(both, ["part", "place"], ["part", "value"], before=False)
+    rest = F.expr("substring(next_value, length(value) + 1)")
+    longer = laid.where("own = 1 AND next_part = part AND startswith(next_value, value)").where(rest.rlike(r"^ ?[\p{L}\p{N}]"))
+    return longer.select("part", "value", rest.rlike(r"^[\p{L}\p{N}]").alias("inside"), rest.rlike(r"^\p{L}").alias("letter"))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            asked, own = batch.column(2).to_pylist(), [t.strip(_EDGE) for t in batch.column(1).to_pylist()]
-            found = [judge_end(t, a) for t, a in zip(own, asked)]
-            state = [LETTER if s == COMPLETE and t[-1:].isalpha() else s for (s, _), t in zip(found, own)]
-            whole = [t if s in (OPEN, ITEM, LETTER) and says_something(t) else None for s, t in zip(state, own)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(state), pa.array([end_of(f[1]) for f in found]), pa.array(whole, type=pa.string())], names=["id", "state", "tail", "whole"])
 
+def whole_prefixes(messages: DataFrame, text_col: str = "content", id_col: str = "id") -> DataFrame:
+    """(id_col): texts, blanks at either end aside, that a longer text begins with and goes on after with a word, each id once; null and empty texts are none."""
+    texts = messages.select(F.col(f"`{id_col}`").alias("id"), F.trim(f"`{text_col}`").alias("value")).where("id IS NOT NULL AND value <> ''")
+    longer = longer_copies(texts.select(F.lit(TEXT).alias("part"), "value", F.lit(1).alias("own")))
+    return texts.join(longer.select("value"), "value", "left_semi").select(F.col("id").alias(id_col)).distinct()
+
+
+def judgements(messages: DataFrame, text_col: str = "content", role_col: str = "role", id_col: str = "id", source_col: str = "action_type") -> DataFrame:
+    """(id_col, evidence): texts that stop before they are complete, each id once, and what tells so, the first of
+
+    copy: a longer text begins with the whole of it; fragment: its last word is known, where it stands, only as the beginning of longer ones;
+    goes_on: its last words go on elsewhere and are hardly ever closed; mark: its own end shows the break, leaves something open, or lacks the stop that
+    its other sentences have.
+
+    Null, empty and blank texts, complete titles, search words, lists, tables, code and links are no cases; nor are texts that several ids
+    have, unless inside a word.  Repeated rows count once; rows with a null id are left out; a missing ``source_col`` or a null is one source.
+    """
+    source = tidy(F.col(f"`{source_col}`")) if source_col in messages.columns else F.lit(None).cast("string")
+    asked = F.coalesce(F.lower(F.trim(F.col(f"`{role_col}`"))) == "user", F.lit(False))
+    texts = messages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), asked.alias("asked"), source.alias("source")).where("id IS NOT NULL AND text IS NOT NULL")
     kind = texts.schema["id"].dataType.simpleString()
-    judged = cut(texts.mapInArrow(judge, f"id {kind}, state string, tail string, whole string").where(f"state <> '{COMPLETE}'"))
-    undecided = judged.where(f"state IN ('{OPEN}', '{ITEM}')").where(F.length("tail") >= KEY).select("id", "state", F.lit(RUN).alias("part"), F.col("tail").alias("value"))
-    undecided = undecided.unionByName(judged.where("whole IS NOT NULL").select("id", "state", F.lit(TEXT).alias("part"), F.col("whole").alias("value")))
-    ends = undecided.select("part", "value").distinct()
+    schema = f"id {kind}, source string, size int, state string, item boolean, text_hash long, contexts array<long>, word string, whole string"
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], []
+            for i, (text, asked) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                own = text.strip(_EDGE)
+                state = judge_end(own, asked)[0]
+                letter = state == COMPLETE and own[-1:].isalpha()
+                bare = without_notice(own)
+                end = end_of(bare) if not closed(bare) else None
+                if state == COMPLETE and not letter and end is None:
+                    continue
+                rows.append(i)
+                whole = own if (state in (OPEN, ITEM) or letter) and says_something(own) else None
+                item = bool(_ITEM.match(bare.rsplit("\n", 1)[-1]))
+                out.append((len(bare), LETTER if letter else state, item, xxhash.xxh64_intdigest(bare.encode("utf-8", "replace")) - (1 << 63), *(end or (None, None)), whole))
+            cols, ids = list(zip(*out)) or [()] * 7, pa.array(rows, type=pa.int32())
+            kinds = [pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(3).take(ids), *(pa.array(c, type=k) for c, k in zip(cols, kinds))], names=["id", "source", "size", "state", "item", "text_hash", "contexts", "word", "whole"])
+
+    judged = keep(texts.mapInArrow(judge, schema))
+    known = judged.where("word IS NOT NULL").dropDuplicates(["id"])
+    copies = known.groupBy("text_hash").agg((F.count("*") > 1).alias("repeated"))
+    limits = length_limits(messages.withColumn("_source", source), text_col, "_source").select(F.col("source").alias("_s"), F.col("length").alias("size"), F.lit(AT_LIMIT).alias("limit"))
+    told = known.select("id", "source", "size", "state", "item", "text_hash").join(evidence(texts, known, without_notice), "id").join(copies, "text_hash")
+    told = told.join(limits, (told["size"] == limits["size"]) & F.col("source").eqNullSafe(F.col("_s")), "left")
+    by_end = F.when(F.col("fragment"), "fragment").when(F.col("seen") & ~F.col("repeated") & ~F.col("item") & (F.col("closing") <= F.coalesce("limit", F.lit(CLOSING))), "goes_on")
+    found = told.select("id", by_end.alias("evidence")).where("evidence IS NOT NULL")
+    shown = judged.where(f"state = '{CUT}'").join(known.join(copies.where("repeated"), "text_hash").select("id"), "id", "left_anti").select("id", F.lit("mark").alias("evidence"))
+    both = found.unionByName(shown).unionByName(_whole_copies(texts, judged).withColumn("evidence", F.lit("copy")))
+    rank = F.array_position(F.array(*map(F.lit, ("copy", "fragment", "goes_on", "mark"))), F.col("evidence"))
+    return both.groupBy("id").agg(F.min_by("evidence", rank).alias("evidence")).withColumnRenamed("id", id_col)
+
+
+def _whole_copies(texts: DataFrame, judged: DataFrame) -> DataFrame:
+    """(id): ``judged`` texts that are not closed and of which a longer text is a copy; values are sifted by their beginnings before they are sorted."""
+    open_ = judged.where("whole IS NOT NULL").select("id", "state", F.lit(TEXT).alias("part"), F.col("whole").alias("value"))
+    ends = open_.select("part", "value").distinct()
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = sorted({(p, slot(v) if p == RUN else heads_of(v)[-1]) for p, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())})
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], type=pa.int32()) for i in range(2)], names=["part", "slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({heads_of(v)[-1] for v in batch.column(0).to_pylist()}), type=pa.int32())], names=["slot"])
 
-    taken = ends.mapInArrow(slots, "part int, slot int").distinct().collect()  # at most SLOTS of each part
-    wanted, begun = (frozenset(r.slot for r in taken if r.part == p) for p in (RUN, TEXT))
+    begun = frozenset(r.slot for r in ends.select("value").mapInArrow(slots, "slot int").distinct().collect())  # at most SLOTS
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = set()
-            for t in batch.column(0).to_pylist():
-                found.update((RUN, r) for r in runs(t, wanted))
-                t = t.strip(_EDGE)
-                if not begun.isdisjoint(heads_of(t)):
-                    found.add((TEXT, t))
-            found = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], type=pa.int32()), pa.array([f[1] for f in found], type=pa.string())], names=["part", "value"])
-
-    key = F.expr(f"substring(value, 1, if(part = {RUN}, {KEY}, 1))")
-    keys = ends.select("part", key.alias("_key")).distinct()
-    pieces = texts.select("text").mapInArrow(split, "part int, value string").withColumn("_key", key)
-    copies = pieces.join(keys, ["part", "_key"], "left_semi").select("part", "value").distinct()
-    both = copies.withColumn("own", F.lit(0)).unionByName(ends.withColumn("own", F.lit(1)))
-    both = both.groupBy("part", "value").agg(F.max("own").alias("own")).withColumn("place", letters_first(F.col("value")))
-    laid = with_neighbour(both, ["part", "place"], ["part", "value"], before=False)
-    rest = F.expr("substring(next_value, length(value) + 1)")
-    longer = laid.where("own = 1 AND next_part = part AND startswith(next_value, value)").where(rest.rlike(r"^ ?[\p{L}\p{N}]")).select("part", "value", rest.rlike(r"^[\p{L}\p{N}]").alias("inside"), rest.rlike(r"^\p{L}").alias("letter"))
-    cut_ends = undecided.join(longer, ["part", "value"]).where(f"state = '{OPEN}' OR state = '{ITEM}' AND inside OR state = '{LETTER}' AND letter")
-    return judged.where(f"state = '{CUT}'").select("id").union(cut_ends.select("id")).distinct().withColumnRenamed("id", id_col)
+            own = [t.strip(_EDGE) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t in own if not begun.isdisjoint(heads_of(t))], type=pa.string())], names=["value"])
+
+    others = texts.select("text").mapInArrow(sift, "value string").select(F.lit(TEXT).alias("part"), "value", F.lit(0).alias("own"))
+    longer = longer_copies(others.unionByName(ends.withColumn("own", F.lit(1))))
+    cut_off = open_.join(longer, ["part", "value"]).where(f"state = '{OPEN}' OR state = '{ITEM}' AND inside OR state = '{LETTER}' AND letter")
+    return cut_off.select("id").distinct()
+
+
+def truncated(messages: DataFrame, text_col: str = "content", role_col: str = "role", id_col: str = "id") -> DataFrame:
+    """(id_col): the ids of texts that stop before they are complete, each once; see ``judgements``."""
+    return judgements(messages, text_col, role_col, id_col).select(id_col)

@@ -25,7 +25,7 @@ def test_language(text, lang):
         ("It comes down to two points:\n\n1. One thing.\n2. Another.", T.COMPLETE), ("It comes down to three points:\n\n1. One thing.\n2. Another.", T.CUT),
         ("The first thing. The second thi", T.CUT), ("The first thing. The seco\n\n> error: stream closed", T.CUT), ("One. Two of the thin...", T.CUT), ("One. L'édit�", T.CUT),
         ("Code:\n\n```python\nswap(a, i", T.CUT), ("Words.\n\n- Done with it.\n- **the half", T.CUT), ("oil. $$ h(t) = \\sum_{k=1}", T.CUT), ("| # | n |\n|---|---|\n| the mi", T.CUT),
-        ("Explain this: “The mill owner", T.CUT), ("In the evening, the mill owner", T.CUT), ("- One is done.\n- Two is not do", T.CUT), ("Here it is:", T.CUT),
+        ("Explain this: “The mill owner", T.CUT), ("In the evening, the mill owner", T.OPEN), ("- One is done.\n- Two is not do", T.CUT), ("Here it is:", T.CUT),
         ("The Salt Road of Pelistad", T.OPEN), ("- the mill\n- the orchard", T.ITEM), ("- 果园\n- 附录", T.COMPLETE),
     ],
 )
