@@ -13,15 +13,45 @@ from .language import Model
 from .messages import contents, heads
 from .truncation import truncated
 
-# Patterns by which a sentence declines to answer.
-DECLINES = [
-    r"\bcan(?:'t|’t|not| not)\b", r"\bunable\b", r"\bnot (?:able|allowed|permitted|willing|in a position)\b", r"\bwon['’]t\b", r"\bwill not\b", r"\bdeclin", r"\brefus", r"\brather not\b", r"\bprefer not\b",
-    r"\bnot (?:feel )?comfortable\b", r"\bdon['’]t feel comfortable\b", r"\bstay out of\b", r"\bfalls? outside\b", r"\bbeyond what\b", r"\blet(?: us|['’]s) (?:rather )?talk about (?:a different|another|something)", r"\bno answer from me\b", r"\boutside (?:of )?(?:what|my)\b",
-    r"\bnicht (?:helfen|beantworten|äußern|eingehen|bearbeiten|weiterhelfen|erlaubt|möglich|in der lage|dienen)\b", r"\b(?:darf|kann|möchte|werde) (?:ich )?(?:\w+ ){0,4}nicht\b", r"\bgehe ich nicht ein\b", r"\bablehnen\b", r"\blehne ich\b", r"\blass(?:t)? uns lieber\b", r"\bkeine (?:auskunft|antwort|stellungnahme)\b", r"\bheraushalten\b", r"\bhalte ich mich\b", r"\bau(?:ß|ss)erhalb (?:meine|dessen)", r"\bnicht meine aufgabe\b", r"\bgeht über das hinaus\b", r"\bübersteigt\b",
-    r"\bje ne (?:peux|puis|suis|souhaite|veux|ferai|répondrai)\b", r"\bne (?:peux|puis|suis) pas\b", r"\bpas en mesure\b", r"\bdécliner?\b", r"\bm['’]abst", r"\bparlons plutôt\b", r"\bimpossible\b", r"\bpréfère ne\b", r"\brefuse", r"\bsort d[eu] ", r"\bdépasse\b", r"\bpas de réponse\b", r"\brester en dehors\b", r"\bme tenir à l['’]écart\b",
-    r"\bno (?:puedo|podré|me es posible|me siento|estoy|debo|quiero|voy a|tengo permitido)\b", r"\brechazar\b", r"\bme abstengo\b", r"\bhablemos (?:mejor|de otr)", r"\bprefiero no\b", r"\bfuera de\b.*\b(?:hago|alcance|función)", r"\bva más allá\b", r"\bmantenerme al margen\b", r"\bqueda fuera\b", r"\bsin respuesta\b", r"\bexcede\b",
-    r"无法", r"不能", r"不便", r"恕", r"没办法", r"拒绝", r"只能跳过", r"聊聊别的", r"超出了?我", r"不予", r"不方便", r"无可奉告", r"不想(?:谈|回答|评论)", r"回避",
-]
+# What makes a sentence decline, by language: who speaks, a modal denied, a verb of answering, a verb of declining, and standing phrases in
+# which a speaker is part.  A sentence declines if it has a standing phrase, or a speaker and either a verb of declining or a modal denied with a verb of answering.
+DECLINING = {
+    "en": {
+        "speaker": r"\b(?:I|I['’](?:m|d|ll|ve)|me|my|we|us|our|assistant)\b",
+        "denied": r"\b(?:can(?:['’]t|not| not)|won['’]t|will not|(?:must|may|do) not|unable|not (?:be )?(?:able|allowed|permitted|willing|in a position)|rather not|prefer not|(?:not|don['’]t) (?:feel )?comfortable|don['’]t (?:want|wish))\b",
+        "answering": r"\b(?:answer|help|assist|respon[ds]|comment|provid|discuss|describ|view|go into|do (?:this|that|it)\b|speak|talk|request|translat|explain|tell you)",
+        "declining": r"\b(?:declin|refus|abstain|pass on|pass over|skip|stay(?:ing)? out of|sit(?:ting)? (?:this )?(?:one )?out)",
+        "standing": r"^no comment\b|\bno (?:answer|comment|response) from me\b|\b(?:outside|beyond)\b.*\b(?:I|my|me)\b|\blet(?: us|['’]s)\b.*\b(?:different|another|else)\b",
+    },
+    "de": {
+        "speaker": r"\b(?:ich|mir|mich|mein\w*|wir|uns)\b",
+        "denied": r"\b(?:nicht|keine?)\b",
+        "answering": r"\b(?:weiter)?(?:helfen|beantworte|antwort|äußer|ein(?:zu)?gehe|gehe\b.*\bein\b|bearbeite|behandle|auskunft|stellungnahme|kommentier|beschreibe|übersetze|dienen)",
+        "declining": r"\b(?:ab(?:zu)?lehnen|lehne\b.*\bab\b|verweiger|heraus(?:zu)?halten|halte\b.*\b(?:heraus|zurück)\b|überspring|auslassen)",
+        "standing": r"^kein kommentar\b|\bau(?:ß|ss)erhalb (?:mein|dessen,? was ich)|\bnicht meine aufgabe\b|\b(?:übersteigt|geht über)\b.*\b(?:ich|meine?)\b|\blasst? uns lieber\b|\bsprechen wir lieber\b",
+    },
+    "fr": {
+        "speaker": r"\b(?:je|me|moi|mon|ma|mes|nous)\b|\b[jm]['’]",
+        "denied": r"\b(?:ne|n['’]\w+)\b.*\bpas\b|\bne pas\b|\bimpossible\b",
+        "answering": r"\b(?:répon[ds]|aider|prononcer|comment(?:er|aire)|traiter|parler|décrire|fournir|assister|donner suite)",
+        "declining": r"\b(?:décline|refuse|m['’]abst|passer mon tour|rester en dehors|à l['’]écart)",
+        "standing": r"^(?:pas de|sans) commentaire\b|\bpas de réponse de ma part\b|\b(?:sort|dépasse|hors)\b.*\b(?:mon|ma|mes|je)\b|\bparlons plutôt\b",
+    },
+    "es": {
+        "speaker": r"\b(?:puedo|podré|debo|quiero|voy|estoy|prefiero|tengo|me|mi|mis|yo)\b",
+        "denied": r"\bno\b",
+        "answering": r"\b(?:ayudar|responder|respuesta|comentar|pronunciar|tratar|describir|hablar|atender|opinar)",
+        "declining": r"\b(?:rechazar|abstengo|declinar|omitir|saltarme|al margen)",
+        "standing": r"^sin comentarios\b|\b(?:sin|ninguna) respuesta (?:por|de) mi parte\b|\b(?:fuera de|más allá de|excede|supera)\b.*\b(?:mi|mis|hago|puedo|me)\b|\bhablemos (?:mejor|de otr)",
+    },
+    "zh": {
+        "speaker": r"我|本助手|^(?:[^，。！]{0,5}[，,])?(?:这[^，。]{0,6})?(?:无法|不便|不能)",
+        "denied": r"无法|不能|不便|没办法|不方便|不想|不愿|不可以",
+        "answering": r"回答|提供|协助|处理|评论|帮|完成|描述|谈|翻译|解释",
+        "declining": r"拒绝|跳过|回避|不予",
+        "standing": r"恕|无可奉告|超出了?我|聊聊别的|换个话题",
+    },
+}
 # Patterns of what goes with declining: regret, reasons, offers of something else.
 GOES_WITH = [
     r"\bsorry\b", r"\bapologi[sz]", r"\bunfortunately\b", r"\bappreciate the question\b", r"\bplease (?:ask|try)\b", r"\blet me know\b", r"\banother (?:topic|question)\b", r"\bsomething else\b", r"\bguidelines?\b", r"\bmy rules\b", r"\bprotected\b",
@@ -47,11 +77,15 @@ LANGUAGE_NAMES = {
     "zh": r"\b(?:chinese|mandarin|chinesisch\w*|chinoise?|chin[oa])\b|中文|汉语|中文?普通话",
 }
 
-_DECLINES = re.compile("|".join(DECLINES), re.I)
-_EITHER = re.compile("|".join(DECLINES + GOES_WITH), re.I)
+_DECLINING = [{k: re.compile(p, re.I) for k, p in d.items()} for d in DECLINING.values()]
+_GOES_WITH = re.compile("|".join(GOES_WITH), re.I)
+#: What every sentence has that declines or goes with it.
+_EITHER = re.compile("|".join([d[k] for d in DECLINING.values() for k in ("denied", "declining", "standing")] + GOES_WITH), re.I)
 _ASKING = {lang: re.compile(p, re.I) for lang, p in ASKING.items()}
 _ANY_ASKING = re.compile("|".join(ASKING.values()), re.I)
 _NAMES = {lang: re.compile(p, re.I) for lang, p in LANGUAGE_NAMES.items()}
+#: What stands before the language into which a text is to be translated, where another one is named as well.
+_INTO = {lang: re.compile(rf"(?:\b(?:into|to|ins?|auf|en|au|al)\s+(?:the\s+|el\s+)?|[成为])(?:{p})", re.I) for lang, p in LANGUAGE_NAMES.items()}
 _QUOTED = re.compile(r"“[^”“]*[”“]|„[^“”]*[“”]|«[^»]*»|「[^」]*」|\"[^\"]*\"", re.S)
 _OPEN_QUOTE = re.compile(r"[“„«「].*$", re.S)
 _PARTS = re.compile(r"(?<=[.!?。！？])[”»“\")）]*\s*|\n+|(?<=[:：])\s*")
@@ -63,14 +97,21 @@ PLAUSIBLE = 0.77
 _LEAD_IN = re.compile(r"^[^:：\n]{2,30}[:：]\s*")
 
 
+def declines(sentence: str) -> bool:
+    """Whether the one who speaks denies an answer: not whether something can't be done."""
+    return any(d["standing"].search(sentence) or d["speaker"].search(sentence) and (d["declining"].search(sentence) or d["denied"].search(sentence) and d["answering"].search(sentence)) for d in _DECLINING)
+
+
 def refuses(reply: str) -> bool:
     """Some sentence declines, and no other gives anything but regret, reasons or another offer; what is quoted is not said."""
     declined = False
     for s in re.split(r"(?<=[.!?。！？])\s*|\n+", _QUOTED.sub(" ", reply)):
+        s = s.strip()
         if _TOKEN.search(s):
-            if not _EITHER.search(s):
+            own = bool(_EITHER.search(s)) and declines(s)
+            if not own and not _GOES_WITH.search(s):
                 return False
-            declined = declined or bool(_DECLINES.search(s))
+            declined = declined or own
     return declined
 
 
@@ -115,6 +156,8 @@ def languages_due(prompt: str, action: str | None, model: Model) -> frozenset[st
     if action in ("translate", None):
         for part_ in [part, parts[0], parts[-1]]:
             named = [lang for lang, p in _NAMES.items() if p.search(part_)]
+            if len(named) > 1:
+                named = [lang for lang in named if _INTO[lang].search(part_)]
             if named and (action == "translate" or hits[parts.index(part_)]):
                 return frozenset(named) if len(named) == 1 else frozenset()
         if action == "translate":

@@ -81,3 +81,21 @@ def test_defects(spark):
     got = {r.reply_id: r.defect for r in replies.defects(df, MODEL).collect()}
     assert got == {1: "empty", 3: "refusal", 8: "echo", 10: "truncated", 12: "wrong_lang", 17: "empty", 102: "empty"}
     assert replies.defects(df.limit(0), MODEL).collect() == []
+
+
+@pytest.mark.parametrize("text", ["No comment.", "That is something I must pass on.", "I'm going to skip this one.", "Auf diese Frage gehe ich nicht ein.", "Lehne ich ab. Das ist nicht meine Aufgabe.", "Il m'est impossible de vous aider sur ce point.", "Eso queda fuera de mi función.", "无法回答这个问题。", "对不起，我们还是聊聊别的页面吧。"])
+def test_speakers_that_decline(text):
+    assert replies.refuses(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["The tower cannot be seen from the river.", "La torre queda fuera de la ciudad.", "人们不能进入塔。", "Das geht über das hinaus, was im Text steht.", "The owner refused to sell the mill.", "Le pont ne peut pas supporter ce poids.", "No hay respuesta en el texto.", "Der Turm darf nicht betreten werden.", "The ferry will not leave before noon.", "这座桥无法通行。"],
+)
+def test_what_cannot_be_done_is_no_refusal(text):
+    assert not replies.refuses(text)
+
+
+@pytest.mark.parametrize("prompt,due", [("Translate this German passage into English: “Die Mühle.”", "en"), ("Übersetze den englischen Text ins Französische: “The mill.”", "fr"), ("把这段英文翻译成德语：“The mill.”", "de"), ("Traduis ce passage espagnol en allemand : « El molino. »", "de")])
+def test_language_due_where_two_are_named(prompt, due):
+    assert replies.languages_due(prompt, "translate", MODEL) == {due}
