@@ -29,6 +29,13 @@ CASES = [
     ("联系人令狐珩芮，逄芮女士来了。此书借给了Ann Roe。", [("name", "令狐珩芮"), ("name", "逄芮"), ("name", "Ann Roe")]),
     ("The unsigned letter was signed by the mill owner. Dear reader, thank you. 一封没有署名的信", []),
     ("", []),
+    ("mail john dot smith at example dot co dot uk today", [("email", "john dot smith at example dot co dot uk")]),
+    ("mail john dot smith@example dot co dot uk, or a.b punkt c at mail dot example dot org.", [("email", "john dot smith@example dot co dot uk"), ("email", "a.b punkt c at mail dot example dot org")]),
+    ("My name is Peter Hansen. Ich heiße Karl Meier. Je m'appelle Paul Durand.", [("name", "Peter Hansen"), ("name", "Karl Meier"), ("name", "Paul Durand")]),
+    ("Best regards,\nPeter Hansen", [("name", "Peter Hansen")]),
+    ("The author Peter Hansen wrote it. The author of it is known. Peter Hansen is at home.", [("name", "Peter Hansen"), ("name", "Peter Hansen")]),
+    ("ref 555123456 in the catalogue, order 0123 456789", []),
+    ("The point at issue is the dot at the end. We met at noon.", []),
 ]
 
 
@@ -70,3 +77,8 @@ def test_frames(spark):
     assert got == [("1", "email", "a@b.org")] * 2 + [("1", "name", "Ann Roe")] * 2 + [("None", "email", "a@b.org")]
     assert [r.text for r in P.mask(df).collect()][:4] == ["Dear [NAME], write to [EMAIL]"] * 2 + [None, ""]
     assert P.pieces(df.limit(0)).collect() == []
+
+
+def test_masks_leave_no_part_of_a_piece():
+    assert P.masked("write to john dot smith at example dot co dot uk today") == "write to [EMAIL] today"
+    assert P.masked("Call five five five zero one four two nine eight, or Peter Hansen. My name is Peter Hansen.") == "Call [PHONE], or [NAME]. My name is [NAME]."
