@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..cluster import load
+from ..cluster import keep, load
 from . import conversations, language, lookalike, messages, packing, personal, replies, scans, tokens, truncation
 
 
@@ -68,6 +68,19 @@ def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild(load(spark, d, "ai_threads"), load(spark, d, "ai_messages"))
 
 
+def p5_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """The conversations that are whole once the replies' clock is corrected, by up to an hour."""
+    return conversations.rebuild(load(spark, d, "ai_threads"), load(spark, d, "ai_messages"), conversations.TOLERANCE)
+
+
+def p5_clocks(spark: SparkSession, d: str) -> DataFrame:
+    """The least-squares offset of the replies' clock in each thread, and, with null thread_id, in all of them."""
+    rows = keep(messages.heads(load(spark, d, "ai_messages")).where("thread_id IS NOT NULL"))
+    triples = keep(conversations.constraints(rows))
+    every = conversations.clocks(triples, []).select(F.lit(None).cast("long").alias("thread_id"), "bounds", "violated", "offset_s")
+    return conversations.clocks(triples, ["thread_id"]).unionByName(every)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(load(spark, d, "documents"))
 
@@ -85,7 +98,7 @@ def p8_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [p1_found, p3_found, p3_paragraphs, p4_found, p4_shares, p4_evidence, p4_copies, p4_limits, p2_found, p2_forms, p5_found, p5_conversations, p6_ids, p7_pack, p8_found, p8_masked]
+    own = [p1_found, p3_found, p3_paragraphs, p4_found, p4_shares, p4_evidence, p4_copies, p4_limits, p2_found, p2_forms, p5_found, p5_conversations, p5_corrected, p5_clocks, p6_ids, p7_pack, p8_found, p8_masked]
     return {f.__name__: f for f in own}
 
 
