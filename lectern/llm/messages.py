@@ -11,10 +11,14 @@ NO_VALUE_WORDS = ["null", "none", "nil", "nan", "na", "undefined", "void", "empt
 _NOT_READABLE = r"(?s)<!--.*?-->|<[^<>]*>|&[a-z]+;|[\s\p{Z}\p{C}\p{P}\p{M}\p{Sm}\p{Sk}\p{Sc}ㅤᅟᅠ]"
 
 
+#: More letters and figures than any word for "no value" has, before any markup: seen at the beginning of nearly every text, whatever its length.
+_SURELY = r"^(?:[^<&\p{L}\p{N}]*+[\p{L}\p{N}]){%d}" % (max(map(len, NO_VALUE_WORDS)) + 1)
+
+
 def readable(content: Column) -> Column:
     """False for null, blanks, invisible characters, bare markup and words standing for no value; never null."""
     rest = F.lower(F.regexp_replace(content, _NOT_READABLE, ""))
-    return F.coalesce((rest != "") & ~rest.isin(NO_VALUE_WORDS), F.lit(False))
+    return F.when(content.rlike(_SURELY), True).otherwise(F.coalesce((rest != "") & ~rest.isin(NO_VALUE_WORDS), F.lit(False)))
 
 
 def tidy(word: Column) -> Column:

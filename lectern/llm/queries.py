@@ -115,7 +115,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_copies": r"WITH m AS (SELECT DISTINCT id, trim(content, ' ') AS c FROM ai_messages WHERE id IS NOT NULL AND trim(content, ' ') <> ''), v AS (SELECT DISTINCT c FROM m), "
         r"p AS (SELECT DISTINCT a.c FROM v a JOIN v b ON starts_with(b.c, a.c) AND length(b.c) > length(a.c) AND regexp_matches(substr(b.c, length(a.c) + 1), '^ ?[\p{L}\p{N}]')) SELECT DISTINCT id FROM m JOIN p USING (c)",
-        "p4_limits": r"WITH s AS (SELECT nullif(lower(regexp_replace(action_type, '^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$', '', 'g')), '') AS source, length(regexp_replace(content, '^[\s\x{200b}\x{3000}]+|[\s\x{200b}\x{3000}]+$', '', 'g')) AS length FROM ai_messages), "
+        "p4_limits": r"WITH s AS (SELECT nullif(lower(regexp_replace(action_type, '^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$', '', 'g')), '') AS source, length(trim(content, ' ' || chr(9) || chr(10) || chr(13) || chr(8203) || chr(12288) || chr(160))) AS length FROM ai_messages), "
         "c AS (SELECT source, length, count(*) AS texts FROM s WHERE length > 0 GROUP BY ALL), "
         "u AS (SELECT *, (sum(texts) OVER (PARTITION BY source ORDER BY length RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - texts) / 20.0 AS usual FROM c) SELECT source, length, texts, usual FROM u WHERE texts > usual + 5 * sqrt(usual + 1)",
         "p5_found": _MESSAGES + " SELECT thread_id FROM t WHERE NOT ok UNION SELECT id FROM ai_threads WHERE id NOT IN (SELECT thread_id FROM t)",

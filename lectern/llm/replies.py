@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -77,16 +78,30 @@ LANGUAGE_NAMES = {
     "zh": r"\b(?:chinese|mandarin|chinesisch\w*|chinoise?|chin[oa])\b|中文|汉语|中文?普通话",
 }
 
-_DECLINING = [{k: re.compile(p, re.I) for k, p in d.items()} for d in DECLINING.values()]
-_GOES_WITH = re.compile("|".join(GOES_WITH), re.I)
-#: What every sentence has that declines or goes with it.
-_EITHER = re.compile("|".join([d[k] for d in DECLINING.values() for k in ("denied", "declining", "standing")] + GOES_WITH), re.I)
-_ASKING = {lang: re.compile(p, re.I) for lang, p in ASKING.items()}
-_ANY_ASKING = re.compile("|".join(ASKING.values()), re.I)
-_NAMES = {lang: re.compile(p, re.I) for lang, p in LANGUAGE_NAMES.items()}
+# Patterns are matched against text in lower case, which is much faster than matching whatever the case.
+_DECLINING = [{k: re.compile(p.lower()) for k, p in d.items()} for d in DECLINING.values()]
+_GOES_WITH = re.compile("|".join(GOES_WITH))
+# In lower case, pieces of which every sentence has one that declines or goes with it.
+HINTS = ["not", "n't", "n’t", "unable", "declin", "refus", "abst", "pass o", "skip", "out", "no comment", "no answer", "no response", "beyond", "let us", "let's", "let’s",
+         "nicht", "kein", "lehne", "verweiger", "heraus", "überspring", "auslassen", "außerhalb", "ausserhalb", "übersteigt", "über", "lass", "lieber",
+         "ne ", "n'", "n’", "impossible", "décline", "tour", "écart", "dehors", "commentaire", "réponse", "sort", "dépasse", "hors", "parlons",
+         "no ", "rechazar", "omitir", "saltarme", "margen", "comentarios", "respuesta", "fuera", "más allá", "excede", "supera", "hablemos",
+         "无", "不", "没办法", "拒绝", "跳过", "回避", "恕", "超出", "聊聊", "换个",
+         "sorry", "apolog", "unfortunately", "appreciate", "please", "let me know", "another", "something else", "guideline", "my rules", "protected",
+         "leid", "entschuldig", "bitte", "frage", "richtlinien", "thema", "désol", "malheureusement", "excuse", "autre", "posez", "mes règles",
+         "siento", "disculp", "perdon", "otra", "prueba", "mis normas", "otro", "抱歉", "请换", "换一个", "使用规范", "别的"]
+_HINTS = ahocorasick.Automaton()
+for _hint in HINTS:
+    _HINTS.add_word(_hint, True)
+_HINTS.make_automaton()
+_SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]?")
+_ASKING = {lang: re.compile(p) for lang, p in ASKING.items()}
+_ANY_ASKING = re.compile("|".join(ASKING.values()))
+_NAMES = {lang: re.compile(p) for lang, p in LANGUAGE_NAMES.items()}
 #: What stands before the language into which a text is to be translated, where another one is named as well.
-_INTO = {lang: re.compile(rf"(?:\b(?:into|to|ins?|auf|en|au|al)\s+(?:the\s+|el\s+)?|[成为])(?:{p})", re.I) for lang, p in LANGUAGE_NAMES.items()}
+_INTO = {lang: re.compile(rf"(?:\b(?:into|to|ins?|auf|en|au|al)\s+(?:the\s+|el\s+)?|[成为])(?:{p})") for lang, p in LANGUAGE_NAMES.items()}
 _QUOTED = re.compile(r"“[^”“]*[”“]|„[^“”]*[“”]|«[^»]*»|「[^」]*」|\"[^\"]*\"", re.S)
+_QUOTES = re.compile("[“„«「\"]")
 _OPEN_QUOTE = re.compile(r"[“„«「].*$", re.S)
 _PARTS = re.compile(r"(?<=[.!?。！？])[”»“\")）]*\s*|\n+|(?<=[:：])\s*")
 _TOKEN = re.compile(r"[一-鿿]|[^\W_]+")
@@ -98,17 +113,19 @@ _LEAD_IN = re.compile(r"^[^:：\n]{2,30}[:：]\s*")
 
 
 def declines(sentence: str) -> bool:
-    """Whether the one who speaks denies an answer: not whether something can't be done."""
+    """Whether the one who speaks, in lower case, denies an answer: not whether something can't be done."""
     return any(d["standing"].search(sentence) or d["speaker"].search(sentence) and (d["declining"].search(sentence) or d["denied"].search(sentence) and d["answering"].search(sentence)) for d in _DECLINING)
 
 
 def refuses(reply: str) -> bool:
     """Some sentence declines, and no other gives anything but regret, reasons or another offer; what is quoted is not said."""
     declined = False
-    for s in re.split(r"(?<=[.!?。！？])\s*|\n+", _QUOTED.sub(" ", reply)):
-        s = s.strip()
+    for m in _SENTENCE.finditer(_QUOTED.sub(" ", reply) if _QUOTES.search(reply) else reply):
+        s = m.group().strip().lower()
         if _TOKEN.search(s):
-            own = bool(_EITHER.search(s)) and declines(s)
+            if next(_HINTS.iter(s), None) is None:
+                return False
+            own = declines(s)
             if not own and not _GOES_WITH.search(s):
                 return False
             declined = declined or own
@@ -146,7 +163,7 @@ def _gives_back(asked: list[str], said: list[str], least: int = 2, loose: int =
 
 def languages_due(prompt: str, action: str | None, model: Model) -> frozenset[str]:
     """For a translation the language asked for, else that of the user's own words, whatever that of a quoted passage; several where few words leave them open."""
-    own = _OPEN_QUOTE.sub(" ", _QUOTED.sub(" ", prompt))
+    own = (_OPEN_QUOTE.sub(" ", _QUOTED.sub(" ", prompt)) if _QUOTES.search(prompt) else prompt).lower()
     parts = [p for p in _PARTS.split(own) if _TOKEN.search(p)]
     if not parts:
         return frozenset()
@@ -170,12 +187,12 @@ def languages_due(prompt: str, action: str | None, model: Model) -> frozenset[st
 
 
 def in_other_language(prompt: str, reply: str, action: str | None, model: Model) -> bool:
-    due = languages_due(prompt, action, model)
-    if not due:
-        return False
     shares = model.shares(reply)
     best = max(shares, key=shares.get)
-    return best not in due and shares[best] > 2 * max(shares[k] for k in due) and shares[best] >= 1.5
+    if shares[best] < 1.5:
+        return False
+    due = languages_due(prompt, action, model)
+    return bool(due) and best not in due and shares[best] > 2 * max(shares[k] for k in due)
 
 
 def pairs(messages: DataFrame) -> DataFrame:

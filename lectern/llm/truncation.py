@@ -153,6 +153,8 @@ def heads_of(text: str) -> list[int]:
     return [zlib.crc32(text[:n].encode("utf-8", "replace")) % SLOTS for n in HEADS if n <= len(text)]
 
 
+#: Blanks that don't count for a text's length.
+BLANKS = " \t\r\n\u200b\u3000\u00a0"
 #: Standard deviations by which a length must be more frequent than those beside it to be a limit.
 LIMIT = 5.0
 #: Neighbouring lengths by which the usual number of texts of a length is told, on either side.
@@ -166,7 +168,7 @@ def length_limits(messages: DataFrame, text_col: str = "content", source_col: st
 
     Sources are spelled one way, null is one of its own.  Lengths are characters without blanks at either end; null and empty texts have none.
     """
-    size = F.length(F.regexp_replace(F.col(f"`{text_col}`"), r"^[\s\u200b\u3000]+|[\s\u200b\u3000]+$", ""))
+    size = F.length(F.btrim(F.col(f"`{text_col}`"), F.lit(BLANKS)))
     counts = messages.select(tidy(F.col(f"`{source_col}`")).alias("source"), size.alias("length")).where("length > 0").groupBy("source", "length").agg(F.count("*").alias("texts"))
     near = W.partitionBy("source").orderBy("length").rangeBetween(-BESIDE, BESIDE)
     usual = (F.sum("texts").over(near) - F.col("texts")) / (2.0 * BESIDE)
