@@ -11,8 +11,13 @@ TEXT_KINDS = ["highlight", "underline", "strikethrough", "note"]
 MARK_KINDS = ["brush", "shape", "sticky", "stamp"]
 ACTIONS = ["translate", "explain", "search", "chat", "vision"]
 ROLES = ["user", "assistant", "system"]
-# What a configuration has where nothing is set.
-CONFIG_DEFAULTS = {"model": "", "base_url": "", "temperature": 0.7, "history": True, "ocr_mode": "high_precision"}
+# The fields of a stored configuration with what they are where nothing is set, and its lists and maps.
+CONFIG_DEFAULTS = {
+    "base_url": "", "api_key": "", "text_model": "", "vision_model": "", "vision_base_url": None, "vision_api_key": None, "search_use_builtin": False, "search_base_url": None,
+    "search_api_key": None, "translate_target_lang": "中文", "web_search_enabled": False, "ocr_mode": "high_precision", "include_book_history": True, "enable_reasoning": False,
+    "reasoning_effort": "medium", "temperature": 0.7, "prompt_template": "general", "custom_prompt": "",
+}
+CONFIG_LISTS = {"custom_prompts": "array<struct<name:string,text:string>>", "template_overrides": "map<string,string>"}
 STYLE = "strokeWidth double, color string, fill boolean, fontSize double"
 
 
@@ -73,11 +78,14 @@ def style(value: Column) -> Column:
 
 
 def config(value: Column) -> Column:
-    """A configuration's JSON with defaults for what is missing or broken; the temperature within [0, 2]."""
-    s = F.from_json(value, "model string, base_url string, temperature double, history boolean, ocr_mode string, prompts map<string,string>")
-    fields = [F.coalesce(s[k], F.lit(v)).alias(k) for k, v in CONFIG_DEFAULTS.items() if k != "temperature"]
-    heat = F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.coalesce(s["temperature"], F.lit(CONFIG_DEFAULTS["temperature"]))))
-    return F.struct(*fields, heat.alias("temperature"), F.coalesce(s["prompts"], F.create_map().cast("map<string,string>")).alias("prompts"))
+    """A configuration's JSON with defaults for what is missing or broken; the temperature within [0, 2], the mode of recognition fast or high_precision."""
+    kinds = {k: "boolean" if isinstance(v, bool) else "double" if isinstance(v, float) else "string" for k, v in CONFIG_DEFAULTS.items()} | CONFIG_LISTS
+    s = F.from_json(value, ", ".join(f"{k} {t}" for k, t in kinds.items()))
+    fields = {k: F.coalesce(s[k], F.lit(v)) if v is not None else s[k] for k, v in CONFIG_DEFAULTS.items()}
+    fields["temperature"] = F.greatest(F.lit(0.0), F.least(F.lit(2.0), fields["temperature"]))
+    fields["ocr_mode"] = F.when(fields["ocr_mode"] == "fast", "fast").otherwise("high_precision")
+    empty = {"custom_prompts": F.array(), "template_overrides": F.create_map()}
+    return F.struct(*(c.alias(k) for k, c in fields.items()), *(F.coalesce(s[k], empty[k].cast(t)).alias(k) for k, t in CONFIG_LISTS.items()))
 
 
 def rects(value: Column) -> Column:

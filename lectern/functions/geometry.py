@@ -116,10 +116,21 @@ def thumbnail(width: Column, height: Column, longest: int) -> Column:
     return F.struct(F.greatest(F.round(width * scale), F.lit(1.0)).cast("long").alias("w"), F.greatest(F.round(height * scale), F.lit(1.0)).cast("long").alias("h"))
 
 
+def render_size(width: Column, height: Column, zoom_: Column, dpi: Column) -> Column:
+    """Pixels of a page drawn at a zoom on a screen of so many pixels a point, at least 1."""
+    side = lambda v: F.greatest(F.round(v * zoom_ * dpi), F.lit(1.0)).cast("long")
+    return F.struct(side(width).alias("w"), side(height).alias("h"))
+
+
 def zoom(z: Column) -> Column:
     return clamp(z, 0.3, 4.0)
 
 
+def zoom_step(z: Column, steps: Column) -> Column:
+    """A zoom after so many steps of a tenth, in or out."""
+    return zoom(F.round(z + steps * 0.1, 1))
+
+
 def zoom_tier(z: Column) -> Column:
     return clamp(F.round(z * 2) / 2, 0.5, 4.0)
 

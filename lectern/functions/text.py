@@ -79,8 +79,13 @@ def occurrences(text: Column, query: str) -> Column:
 
 
 def error_text(text: Column) -> Column:
-    """Without a leading "Exception:", at most ERROR_LIMIT characters."""
-    return F.substring(F.regexp_replace(text, r"^Exception:\s*", ""), 1, ERROR_LIMIT)
+    """Without a leading "Exception:"."""
+    return F.regexp_replace(text, r"^Exception:", "")
+
+
+def http_error(status: Column, body: Column) -> Column:
+    """A failed request's status with at most ERROR_LIMIT characters of its body."""
+    return F.concat(F.lit("HTTP "), status.cast("string"), F.lit(": "), F.substring(F.coalesce(body, F.lit("")), 1, ERROR_LIMIT))
 
 
 def endpoint(url: Column, default: str) -> Column:
@@ -88,6 +93,11 @@ def endpoint(url: Column, default: str) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.trim(url), "/+$", ""), F.lit("")), F.lit(default))
 
 
+def search_endpoint(url: Column, default: str) -> Column:
+    """The whole address of a web search, or the default."""
+    return endpoint(url, default)
+
+
 def responses_endpoint(url: Column, default: str) -> Column:
     return F.concat(F.regexp_replace(endpoint(url, default), "/v1$", ""), F.lit("/responses"))
 

@@ -1,4 +1,7 @@
-"""The whole library as one value: its tables, and every function of the data interface on them.
+"""The whole library as one value: its tables, and the functions of the data interface on them.
+
+Not among them are those that draw pages (pages, thumbnails and covers as pixels), those that hold a document open, and those that talk to a network
+(chat and vision streams), for which ``streaming.events`` decodes what comes back.
 
 Reads give DataFrames; changes give a new ``Library`` and leave the old one as it is.  ``load`` and ``save`` keep the tables as parquet.
 """
@@ -12,9 +15,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import decode, text as T
-from .operators import annotations as A, conversations as C, library as L, ocr as O, search as S, tables as tb
+from .operators import annotations as A, conversations as C, library as L, ocr as O, opening, search as S, tables as tb
 from .ordering import rank_in_groups
-from .sources import schemas
+from .sources import documents, schemas
 
 
 @dataclass(frozen=True)
@@ -177,9 +180,47 @@ class Library:
         return A.markdown_for(own, self.list_annotations(book_id), self.list_image_annotations(book_id)).first().markdown
 
     def export_annotations_json(self, book_id: int) -> str | None:
-        row = A.export_json(self.list_annotations(book_id)).first()
+        """The annotations and image marks of a book, null if it has none."""
+        row = A.export_json(self.list_annotations(book_id), self.list_image_annotations(book_id)).first()
         return row.json if row else None
 
+    def notes_rail(self, book_id: int) -> DataFrame:
+        return A.rail(A.items(self.list_annotations(book_id), self.list_image_annotations(book_id))).orderBy("place")
+
+    # documents
+    def open_book(self, stored_path: str, pages: int | None = None) -> tuple[Library, DataFrame]:
+        """How a stored path is opened (see ``opening.routes``), and the library with a page count that was missing put right; ``pages``: those of the file."""
+        opened = self.spark.createDataFrame([(stored_path, pages)], "stored_path string, pages long")
+        route = opening.routes(self.table("books"), opened, opened)
+        found = route.where("book_id IS NOT NULL").select(F.col("book_id").alias("id"), F.col("page_count").alias("pages"))
+        return self._with(books=L.heal_on_open(self.table("books"), found)), route
+
+    def extract_text(self, files: DataFrame, extractor: documents.Extractor = documents.simple_pdf_pages) -> DataFrame:
+        return documents.page_texts(files, extractor)
+
+    def page_has_text(self, book_id: int, page: int) -> bool:
+        some = self.table("page_text_index").where((F.col("book_id") == book_id) & (F.col("page") == page))
+        return bool(some.where(T.has_text(F.col("original_text"))).first())
+
+    def scan_page(self, book_id: int, page: int, mode: str, recogniser: opening.Recogniser | None = None) -> tuple[Library, DataFrame]:
+        """A page's lines, from the cache or else from the recogniser, whose result is kept and indexed."""
+        asked = self.spark.createDataFrame([(book_id, page, mode)], "book_id long, page long, ocr_mode string")
+        done = opening.scan(asked, self.table("page_ocr_cache"), recogniser)
+        fresh = done.where("origin = 'engine' AND error IS NULL").select("book_id", "page", "ocr_mode", F.struct(F.col("lines").alias("lines"), F.col("ocr_mode").alias("mode")).alias("result"), F.lit(self.now).cast("timestamp_ntz").alias("created_at"))
+        return self.save_page_ocr(fresh), done
+
+    def ensure_book_index(self, book_id: int, pages: DataFrame) -> Library:
+        """The index of a book built from its ``pages`` (book_id, page, text, error), unless it is there or a build has failed; how that went is put down."""
+        wanted = opening.to_index(self.search_index_status()).where(F.col("id") == book_id)
+        mark = opening.built(wanted, pages).first()
+        if mark is None:
+            return self
+        marked = self.set_setting(f"index_{mark.status}:{book_id}", str(mark.pages))
+        return marked.index_pages(pages.where("error IS NULL").select("book_id", "page", F.lit("native").alias("source"), "text")) if mark.status == "ready" else marked
+
+    def template_default_text(self, chosen: str) -> str:
+        return C.ROLE_TEMPLATES.get(chosen, "")
+
     # recognised text and search
     def get_page_ocr(self, book_id: int, page: int, mode: str) -> DataFrame:
         return self.table("page_ocr_cache").where((F.col("book_id") == book_id) & (F.col("page") == page) & (F.col("ocr_mode") == mode))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import decode
+from ..ordering import rank_in_groups
 
 # Fixed values of the export format: headings, placeholder, icons and labels.
 HEADING, EMPTY, PAGE = "# 阅读标注\n", "\n> 暂无标注\n", "\n## 第 {} 页\n\n"
@@ -60,9 +61,41 @@ def markdown_for(books: DataFrame, annotations: DataFrame, marks: DataFrame | No
     return books.select(F.col("id").alias("book_id")).join(done, "book_id", "left").withColumn("markdown", F.coalesce("markdown", F.lit(HEADING + EMPTY)))
 
 
-def export_json(annotations: DataFrame) -> DataFrame:
-    """(book_id, json): the annotations of each book with coordinates and style, in order of page, time and id."""
-    row = F.struct("page", "created_at", "id", "kind", "text", "content", "rects", "color")
-    grouped = annotations.dropDuplicates(["id"]).groupBy("book_id").agg(F.sort_array(F.collect_list(row)).alias("a"))
-    slim = F.transform("a", lambda x: F.struct(x["id"].alias("id"), x["page"].alias("page"), x["kind"].alias("kind"), x["text"].alias("text"), x["content"].alias("content"), x["rects"].alias("rects"), x["color"].alias("color")))
-    return grouped.select("book_id", F.to_json(F.struct("book_id", slim.alias("annotations")), {"ignoreNullFields": "false"}).alias("json"))
+#: Fields of the export, in its order.
+ANNOTATION_FIELDS = ["id", "book_id", "page", "kind", "text", "content", "rects", "color", "created_at", "updated_at"]
+MARK_FIELDS = ["id", "book_id", "page", "kind", "x", "y", "w", "h", "rotation", "payload", "style", "created_at"]
+
+
+def _listed(df: DataFrame, fields: list[str], out: str) -> DataFrame:
+    have = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in fields]
+    row = F.struct(F.col("page").alias("_page"), F.col("created_at").alias("_at"), F.col("id").alias("_id"), F.struct(*have).alias("row"))
+    return df.dropDuplicates(["id"]).groupBy(F.col("book_id").alias("_book")).agg(F.transform(F.sort_array(F.collect_list(row)), lambda v: v["row"]).alias(out))
+
+
+def export_json(annotations: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """(book_id, json): the annotations and image marks of each book that has any, all their fields, nulls included, in order of page, time and id; printed for reading."""
+    both = _listed(annotations, ANNOTATION_FIELDS, "annotations")
+    if marks is not None:
+        other = _listed(marks, MARK_FIELDS, "image_marks")
+        both = both.join(other, "_book", "full")
+        none = F.array().cast(other.schema["image_marks"].dataType)
+    else:
+        both, none = both.withColumn("image_marks", F.array().cast("array<string>")), F.array().cast("array<string>")
+    lists = [F.coalesce("annotations", F.array().cast(both.schema["annotations"].dataType)).alias("annotations"), F.coalesce("image_marks", none).alias("image_marks")]
+    body = F.to_json(F.struct(F.col("_book").alias("book_id"), *lists), {"ignoreNullFields": "false", "pretty": "true"})
+    return both.select(F.col("_book").alias("book_id"), body.alias("json"))
+
+
+def rail(items: DataFrame) -> DataFrame:
+    """``items`` with place, 0-based: the order of a book's list, by page, annotations before marks, then by time and id."""
+    return rank_in_groups(items, ["book_id"], ["page", "src", "created_at", "id"], "place")
+
+
+def on_page(items: DataFrame, page: int) -> DataFrame:
+    return items.where(F.col("page") == page)
+
+
+def stamp_files(marks: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, file, size): each stamp with its image among ``files`` (file, size), null where it is gone."""
+    stamps = marks.where("kind = 'stamp'").select("id", decode.payload_text(F.col("payload"), "file").alias("file"))
+    return stamps.join(files.select("file", "size"), "file", "left").select("id", "file", "size")

@@ -17,6 +17,18 @@ TEMPLATES = {
     "vision": "Describe what the picture shows.",
 }
 ROLE_PROMPT = "You help a reader with a document."
+# Our own wording of the roles that a reader may choose; "general" is the one without a choice, "custom" is the reader's own.
+ROLE_TEMPLATES = {
+    "general": ROLE_PROMPT,
+    "academic": "You help a researcher with a paper: weigh its method and evidence and keep its terms.",
+    "novel": "You read a novel along with someone: talk about people, plot and style, and give nothing away.",
+    "tech": "You advise on technical documentation: be exact and lead with what to do.",
+    "language": "You teach a language by its texts: explain hard words and forms as they come.",
+    "historical": "You study sources: tell what is attested, when and by whom, from what was said later.",
+    "legal": "You explain legal texts: keep to the wording of clauses and give no legal advice.",
+    "classical": "You explain old writing: put it into today's words first, then explain its grammar.",
+    "ai": "You explain work on machine learning: models, training and where they fall short.",
+}
 UNTRUSTED = ("<text>\n", "\n</text>")
 
 
@@ -82,3 +94,16 @@ def instructions(messages: DataFrame) -> DataFrame:
 
 def latest_threads(df: DataFrame) -> DataFrame:
     return latest(df, ["id"], ["updated_at"])
+
+
+def role_template(chosen: Column, custom: Column | None = None, overrides: Column | None = None) -> Column:
+    """The text of a chosen role: the reader's own for "custom", an override in place of a built-in one if it says anything, nothing for unknown ones."""
+    known = F.create_map(*(F.lit(x) for kv in ROLE_TEMPLATES.items() for x in kv))
+    changed = F.nullif(F.trim(overrides[chosen]), F.lit("")) if overrides is not None else F.lit(None).cast("string")
+    own = F.coalesce(F.trim(custom), F.lit("")) if custom is not None else F.lit("")
+    return F.when(chosen == "custom", own).otherwise(F.coalesce(changed, known[chosen], F.lit("")))
+
+
+def merged_threads(loaded: DataFrame, local: DataFrame) -> DataFrame:
+    """Loaded threads and those that are only here, which are not stored yet."""
+    return loaded.unionByName(local, allowMissingColumns=True)

@@ -134,7 +134,7 @@ def page_spreads(s, d):
 
 def settings_json(s, d):
     c = decode.config(F.regexp_replace(F.col("props"), "\"k\"", "\"temperature\""))
-    return load(s, d, "events").select("event_id", c["temperature"].alias("temperature"), c["history"].alias("history"), c["ocr_mode"].alias("ocr_mode"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return load(s, d, "events").select("event_id", c["temperature"].alias("temperature"), c["include_book_history"].alias("history"), c["ocr_mode"].alias("ocr_mode"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
 def books_by_category(s, d):

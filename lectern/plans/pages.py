@@ -123,16 +123,6 @@ def page_quality(s, d):
     return _luma(s, d).select("vec_id", F.coalesce(G.percentile_by_index(ink, 0.5), F.lit(255)).alias("ink_median"), F.coalesce(G.percentile_by_index(F.col("v"), 0.99), F.lit(255)).alias("p99"), F.round(F.size(ink) / F.size("v"), 6).alias("ink_fraction"))
 
 
-def sharp_edges(s, d):
-    steps = F.transform(F.slice("v", 2, 63), lambda x, i: F.abs(x - F.col("v")[i]))
-    return _luma(s, d).select("vec_id", F.round(F.size(F.filter(steps, lambda x: x > 120)) / 63, 6).alias("sharp"))
-
-
-def contrast_stretch(s, d):
-    lo, hi = F.array_min("v"), F.array_max("v")
-    return _luma(s, d).select("vec_id", F.array_join(F.transform(F.slice("v", 1, 8), lambda x: G.stretch(x, lo, hi).cast("long")), ",").alias("stretched"))
-
-
 def contrast_stretch_image(s, d):
     lo, hi = F.array_min("v"), F.array_max("v")
     return _luma(s, d).select("vec_id", F.array_join(F.transform("v", lambda x: G.stretch(x, lo, hi).cast("long")), ",").alias("stretched"))
@@ -167,11 +157,6 @@ def annotations_markdown(s, d):
     return A.markdown_for(load(s, d, "books"), _notes(s, d), _marks(s, d)).select("book_id", F.md5("markdown").alias("digest"), F.length("markdown").cast("long").alias("chars"))
 
 
-def annotations_json(s, d):
-    j = A.export_json(load(s, d, "annotations"))
-    return j.select("book_id", F.size(F.from_json("json", "annotations array<struct<id:long>>")["annotations"]).cast("long").alias("annotations"))
-
-
 def annotation_visibility(s, d):
     return A.items(load(s, d, "annotations"), None, ["underline", "note"]).select("book_id", "page", "id", "kind")
 
@@ -192,7 +177,6 @@ _Q = "WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: round(abs(x:
 _V = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(abs(x::DOUBLE) * 1000)::BIGINT) AS v FROM embeddings)"
 _C = "greatest(0.0, least(1.0, {}))"
 _LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in A.KIND_LABELS.items())
-_FOLD = """list_reduce(list_concat([{{'t': [] ::STRUCT(top DOUBLE, bottom DOUBLE)[]}}]))"""
 QUERIES = {
     "low_confidence_lines": (low_confidence_lines, _L + ", u AS (SELECT book_id, page, ocr_mode, unnest(lines) AS v, generate_subscripts(lines, 1) - 1 AS line_no FROM l) SELECT book_id, page, ocr_mode, line_no, v.text AS text, v.confidence AS confidence FROM u WHERE v.confidence < 0.8"),
     "low_confidence_count": (low_confidence_count, _L + " SELECT book_id, page, ocr_mode, len(list_filter(lines, lambda v: v.confidence < 0.8)) AS low, len(lines) AS n_lines FROM l"),
@@ -232,8 +216,6 @@ SELECT book_id, page, 'native' AS layer, md5(text) AS digest FROM n UNION ALL SE
     ),
     "percentile_by_index": (percentile_by_index, _V + " SELECT vec_id, " + ", ".join(f"list_sort(v)[floor(64 * {q})::INT + 1] AS p{int(q * 100)}" for q in (0.5, 0.9, 0.99)) + " FROM e"),
     "page_quality": (page_quality, _V + ", i AS (SELECT *, list_sort(list_filter(v, lambda x: x < 200)) AS ink FROM e) SELECT vec_id, coalesce(ink[floor(len(ink) * 0.5)::INT + 1], 255) AS ink_median, list_sort(v)[floor(64 * 0.99)::INT + 1] AS p99, round(len(ink) / 64.0::DOUBLE, 6) AS ink_fraction FROM i"),
-    "sharp_edges": (sharp_edges, _V + ", t AS (SELECT vec_id, list_transform(range(2, 65), lambda i: abs(v[i] - v[i - 1])) AS st FROM e) SELECT vec_id, round(len(list_filter(st, lambda x: x > 120)) / 63.0::DOUBLE, 6) AS sharp FROM t"),
-    "contrast_stretch": (contrast_stretch, _V + " SELECT vec_id, array_to_string(list_transform(v[1:8], lambda x: greatest(0, least(255, round((x - list_min(v)) / greatest(list_max(v) - list_min(v), 1)::DOUBLE * 255.0::DOUBLE)))::BIGINT), ',') AS stretched FROM e"),
     "contrast_stretch_image": (contrast_stretch_image, _V + " SELECT vec_id, array_to_string(list_transform(v, lambda x: greatest(0, least(255, round((x - list_min(v)) / greatest(list_max(v) - list_min(v), 1)::DOUBLE * 255.0::DOUBLE)))::BIGINT), ',') AS stretched FROM e"),
     "thumbnail_sizes": (thumbnail_sizes, _L + ", t AS (SELECT *, len(lines) * 40 AS w0, least(1.0, 400.0 / greatest(len(lines) * 40, 1000))::DOUBLE AS sc FROM l) SELECT book_id, page, ocr_mode, greatest(round(w0 * sc), 1)::BIGINT AS w, greatest(round(1000 * sc), 1)::BIGINT AS h FROM t"),
     "annotations_list": (annotations_list, _N + " SELECT id, book_id, page, kind, CASE WHEN regexp_full_match(color, '#[0-9A-Fa-f]{6}') THEN ('0x' || substr(color, 2))::BIGINT END AS colour, len(rects) AS rects FROM n"),
@@ -245,7 +227,6 @@ UNION ALL SELECT book_id, page, 1 AS src, created_at, id, CASE mark WHEN 'sticky
 p AS (SELECT book_id, page, chr(10) || '## 第 ' || (page + 1) || ' 页' || chr(10) || chr(10) || string_agg(line, '' ORDER BY src, created_at, id, line) AS body FROM i GROUP BY 1, 2), b AS (SELECT book_id, '# 阅读标注' || chr(10) || string_agg(body, '' ORDER BY page) AS md FROM p GROUP BY 1)
 SELECT books.id AS book_id, md5(coalesce(md, '# 阅读标注' || chr(10) || chr(10) || '> 暂无标注' || chr(10))) AS digest, length(coalesce(md, '# 阅读标注' || chr(10) || chr(10) || '> 暂无标注' || chr(10))) AS chars FROM books LEFT JOIN b ON books.id = b.book_id""",
     ),
-    "annotations_json": (annotations_json, "SELECT book_id, count(DISTINCT id) AS annotations FROM annotations GROUP BY 1"),
     "annotation_visibility": (annotation_visibility, _N + " SELECT book_id, page, id, CASE WHEN kind IN ('highlight','underline','strikethrough','note') THEN kind ELSE 'highlight' END AS kind FROM n WHERE kind NOT IN ('underline', 'note')"),
     "mark_payload_fields": (mark_payload_fields, _NM + " SELECT id, mark AS kind, CASE WHEN mark = 'sticky' THEN content END AS text, CASE WHEN mark = 'stamp' THEN color || '.png' END AS file, CASE WHEN mark = 'brush' THEN coalesce(len(rects), 0) ELSE 0 END::BIGINT AS points FROM k"),
     "mark_styles": (mark_styles, "SELECT event_id, json_extract(props, '$.k')::DOUBLE AS stroke_width, false AS fill, 14.0::DOUBLE AS font_size FROM events"),

@@ -59,7 +59,8 @@ def prompt_compose(s, d):
 
 
 def error_texts(s, d):
-    return _m(s, d).select("id", F.md5(T.error_text(F.concat(F.lit("Exception: "), F.coalesce("content", F.lit(""))))).alias("digest"))
+    whole = F.md5(T.error_text(F.concat(F.lit("Exception:"), F.coalesce("content", F.lit("")))))
+    return _m(s, d).select("id", whole.alias("digest"), F.md5(T.http_error(F.lit(500), F.col("content"))).alias("shown"))
 
 
 def thread_titles(s, d):
@@ -72,7 +73,7 @@ def sse_decode(s, d):
 
 
 def sse_transcript(s, d):
-    """The messages of each thread as one stream of chunks, decoded and joined in order; system messages stand for failures, quoted at the end."""
+    """The messages of each thread as one stream of chunks, decoded and joined in order; system messages stand for failures, the first of which ends the stream."""
     m = _m(s, d).where("created_at IS NOT NULL")
     e = m.select("thread_id", "created_at", "id", F.when(F.col("role") == "system", E.failed_event(F.col("content"))).otherwise(E.delta_event(F.col("content"))).alias("event"))
     t = E.transcripts(e, "thread_id", ["created_at", "id"])
@@ -102,11 +103,15 @@ SELECT a.id, b.action_type AS action FROM u a LEFT JOIN u b ON a.thread_id = b.t
         _M + f""", a AS (SELECT id, coalesce(action_type, 'chat') AS a, coalesce(content, '') AS c FROM m WHERE role = 'user')
 SELECT id, CASE WHEN a = 'translate' THEN '' ELSE '{C.ROLE_PROMPT}' || chr(10) || chr(10) END || CASE a {_TEMPLATES} END AS prompt, md5(CASE WHEN a IN ('translate','explain','search') THEN '<text>' || chr(10) || c || chr(10) || '</text>' ELSE c END) AS input FROM a""",
     ),
-    "error_texts": (error_texts, _M + " SELECT id, md5(substr(coalesce(content, ''), 1, 600)) AS digest FROM m" if False else _M + r" SELECT id, md5(substr(regexp_replace(coalesce(content, ''), '^\s+', ''), 1, 600)) AS digest FROM m"),
+    "error_texts": (
+        error_texts,
+        _M + " SELECT id, md5(coalesce(content, '')) AS digest, md5('HTTP 500: ' || substr(coalesce(content, ''), 1, 600)) AS shown FROM m",
+    ),
     "thread_titles": (thread_titles, r"SELECT id, coalesce(nullif(regexp_replace(title, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), ''), 'untitled') AS title, 'https://host/' || action_type || '/responses' AS endpoint FROM ai_threads"),
     "sse_decode": (sse_decode, _M + " SELECT id, md5(content) AS digest FROM m WHERE role = 'assistant' AND content <> ''"),
     "sse_transcript": (
         sse_transcript,
-        _M + """ SELECT thread_id, md5(coalesce(string_agg(CASE WHEN role <> 'system' AND content <> '' THEN content END, '' ORDER BY created_at, id), '') || coalesce(string_agg(CASE WHEN role = 'system' THEN chr(10) || '> ' || coalesce(content, 'failed') END, '' ORDER BY created_at, id), '')) AS digest, bool_or(role = 'system') AS failed FROM m WHERE created_at IS NOT NULL GROUP BY 1""",
+        _M + """, e AS (SELECT *, min(CASE WHEN role = 'system' THEN k END) OVER (PARTITION BY thread_id) AS stop FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY created_at, id) AS k FROM m WHERE created_at IS NOT NULL))
+SELECT thread_id, md5(coalesce(string_agg(CASE WHEN content <> '' AND (stop IS NULL OR k < stop) THEN content END, '' ORDER BY k), '') || coalesce(max(CASE WHEN k = stop THEN chr(10) || chr(10) || '> ' || coalesce(content, 'failed') END), '')) AS digest, bool_or(role = 'system') AS failed FROM e GROUP BY 1""",
     ),
 }

@@ -44,3 +44,17 @@ def migrate(spark: SparkSession, tables: dict[str, DataFrame], version: int) ->
         else:
             out[name] = _with_missing(df, name)
     return out
+
+
+def recorded_version(versions: DataFrame) -> DataFrame:
+    """(version): the newest version put down, null where none is."""
+    return versions.agg(F.max("version").alias("version"))
+
+
+def migrate_recorded(spark: SparkSession, tables: dict[str, DataFrame], versions: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """``migrate`` from the version put down, and ``versions`` with the latest one added unless it is there; a version that isn't known yet is an error."""
+    now = recorded_version(versions).first().version
+    if now is not None and now > LATEST_VERSION:
+        raise ValueError(f"version {now} is newer than {LATEST_VERSION}")
+    done = versions if now == LATEST_VERSION else versions.unionByName(spark.createDataFrame([(LATEST_VERSION,)], versions.select("version").schema))
+    return migrate(spark, tables, LATEST_VERSION if now is None else now), done

@@ -42,13 +42,28 @@ def failed_event(message: Column) -> Column:
 
 
 def transcripts(events: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """(key, transcript, failed): the chunks of a stream in order, failures after them as quoted lines."""
+    """(key, transcript, failed): the chunks of a stream in order up to its first failure, which is quoted behind them and ends it."""
     d = typed_delta(F.col("event"))
     rows = events.select(key, F.struct(*order, d["text"].alias("text"), d["error"].alias("error")).alias("c"))
-    g = rows.groupBy(key).agg(F.sort_array(F.collect_list("c")).alias("c"))
+    failure = F.min(F.when(F.col("c.error").isNotNull(), F.struct(*(F.col(f"c.{o}") for o in order), F.col("c.error").alias("error"))))
+    ends = rows.groupBy(F.col(key).alias("_key")).agg(failure.alias("_end"))
+    before = F.struct(*(F.col(f"c.{o}") for o in order)) < F.struct(*(F.col(f"_end.{o}") for o in order))
+    said = rows.join(ends, F.col(key).eqNullSafe(F.col("_key"))).where(F.col("_end").isNull() | before | F.col("c.error").isNotNull())
+    g = said.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("c.error").isNull(), F.col("c")))).alias("c"), F.max("_end.error").alias("error"))
     text = F.array_join(F.transform("c", lambda x: F.coalesce(x["text"], F.lit(""))), "")
-    errors = F.array_join(F.transform(F.filter("c", lambda x: x["error"].isNotNull()), lambda x: F.concat(F.lit("\n> "), x["error"])), "")
-    return g.select(key, F.concat(text, errors).alias("transcript"), F.exists("c", lambda x: x["error"].isNotNull()).alias("failed"))
+    return g.select(key, F.concat(text, F.coalesce(F.concat(F.lit("\n\n> "), F.col("error")), F.lit(""))).alias("transcript"), F.col("error").isNotNull().alias("failed"))
+
+
+def finished(log: DataFrame, key: str, seq: str) -> DataFrame:
+    """(key, how, chunks, answer): each stream finished once, by the first of its done, error and cancel events; an answer that was cancelled or broke off is kept as far as it came.
+
+    ``log`` has (key, seq, event, chunk); what comes after the end is left out, and a stream without one is still open.
+    """
+    ends = log.groupBy(F.col(key).alias("_key")).agg(F.min(F.when(F.col("event").isin("done", "error", "cancel"), F.struct(F.col(seq).alias("at"), F.col("event").alias("how")))).alias("_end"))
+    said = log.join(ends, F.col(key).eqNullSafe(F.col("_key"))).where(F.col("_end").isNull() | (F.col(seq) <= F.col("_end.at")))
+    chunk = F.when(F.col("event") == "chunk", F.struct(F.col(seq), F.col("chunk")))
+    g = said.groupBy(key).agg(F.sort_array(F.collect_list(chunk)).alias("c"), F.max("_end.how").alias("how"))
+    return g.select(key, F.coalesce("how", F.lit("open")).alias("how"), F.size("c").cast("long").alias("chunks"), F.array_join(F.transform("c", lambda x: x["chunk"]), "").alias("answer"))
 
 
 def split_frames(buffer: str) -> tuple[list[str], str]:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import search
 from ..operators.tables import latest
+from ..ordering import with_neighbour
 
 
 def debounced(changes: DataFrame, key: str = "book_id", time: str = "ts", quiet: str = "800 milliseconds", late: str = "1 minute") -> DataFrame:
@@ -19,6 +20,20 @@ def debounced(changes: DataFrame, key: str = "book_id", time: str = "ts", quiet:
     return burst.agg(F.max_by(F.struct(time, *cols), F.struct(time, *cols)).alias("m"), F.count("*").alias("changes")).select(key, "m.*", "changes")
 
 
+def last_of_bursts(df: DataFrame, key: str, time: str, tie: str, quiet: float) -> DataFrame:
+    """Of a batch the rows after which nothing of their key follows for ``quiet`` seconds: what a debounced field hands on."""
+    laid = with_neighbour(df, [key, time, tie], [key, time], before=False)
+    gap = F.timestamp_diff("MICROSECOND", F.col(time), F.col(f"next_{time}")) / 1e6
+    return laid.where(F.col(f"next_{key}").isNull() | (F.col(f"next_{key}") != F.col(key)) | (gap > quiet)).drop(f"next_{key}", f"next_{time}")
+
+
+def first_of_bursts(df: DataFrame, key: str, time: str, tie: str, quiet: float) -> DataFrame:
+    """Of a batch the rows before which nothing of their key came for ``quiet`` seconds: what a throttled one lets through."""
+    laid = with_neighbour(df, [key, time, tie], [key, time], before=True)
+    gap = F.timestamp_diff("MICROSECOND", F.col(f"prev_{time}"), F.col(time)) / 1e6
+    return laid.where(F.col(f"prev_{key}").isNull() | (F.col(f"prev_{key}") != F.col(key)) | (gap > quiet)).drop(f"prev_{key}", f"prev_{time}")
+
+
 def index_incrementally(pages: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Keeps a postings table below ``folder`` for a stream of (book_id, page, source, original_text, seq).
 

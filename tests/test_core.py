@@ -188,8 +188,10 @@ def test_decoders(spark):
     assert one(spark, decode.colour_text(F.lit(0xFF80).cast("long"))) == "#00ff80"
     assert [one(spark, decode.payload_text(F.lit(v), "text")) for v in ('{"text":"a"}', '{"text":5}', "bad", "{}")] == ["a", None, None, None]
     assert [one(spark, decode.payload_points(F.lit(v))) for v in ('{"points":[[0,0],[1,1]]}', "bad", "{}")] == [2, 0, 0]
-    c = one(spark, decode.config(F.lit('{"temperature": 7, "model": "m"}')))
-    assert c.temperature == 2.0 and c.model == "m" and c.history is True and c.prompts == {}
+    c = one(spark, decode.config(F.lit('{"temperature": 7, "text_model": "m", "ocr_mode": "other", "custom_prompts": [{"name": "a", "text": "b"}]}')))
+    assert c.temperature == 2.0 and c.text_model == "m" and c.include_book_history is True and c.template_overrides == {} and c.ocr_mode == "high_precision"
+    assert len(c) == 20 and c.custom_prompts[0].text == "b" and c.vision_base_url is None and c.reasoning_effort == "medium"
+    assert one(spark, decode.config(F.lit("broken"))).translate_target_lang == "中文"
     assert tuple(one(spark, decode.style(F.lit("[]")))) == (3.0, None, False, 14.0)
     assert one(spark, decode.rects(F.lit("bad"))) == []
 
@@ -209,7 +211,7 @@ def test_exports(spark):
     assert got[9].index("高亮") < got[9].index("便签") and got[9].count("：d\n") == 1
     assert {r.kind for r in A.items(n, None, ["note"]).collect()} == {"highlight", "underline"}
     j = A.export_json(n.withColumn("rects", F.lit(None).cast("array<struct<x:double>>")).withColumn("color", F.lit("#fff"))).first().json
-    assert '"book_id":9' in j and '"rects":null' in j
+    assert '"book_id" : 9' in j and '"rects" : null' in j and '\n  "image_marks" : [ ]' in j
 
 
 def test_conversations(spark):
@@ -252,7 +254,9 @@ def test_events(spark):
     rows = spark.createDataFrame([("s", 1, "he", None), ("s", 2, "llo", None), ("s", 3, None, "broken")], "k string, seq int, c string, e string")
     ev = rows.select("k", "seq", F.when(F.col("e").isNull(), E.delta_event(F.col("c"))).otherwise(E.failed_event(F.col("e"))).alias("event"))
     r = E.transcripts(ev, "k", ["seq"]).first()
-    assert (r.transcript, r.failed) == ("hello\n> broken", True)
+    assert (r.transcript, r.failed) == ("hello\n\n> broken", True)
+    late = ev.unionByName(spark.createDataFrame([("s", 4, "x"), ("t", 1, "y")], "k string, seq int, c string").select("k", "seq", E.delta_event(F.col("c")).alias("event")))
+    assert {x.k: (x.transcript, x.failed) for x in E.transcripts(late, "k", ["seq"]).collect()} == {"s": ("hello\n\n> broken", True), "t": ("y", False)}
 
 
 def test_folds(spark):

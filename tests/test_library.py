@@ -43,7 +43,7 @@ def test_pages_search_and_cascade(spark):
     lib = lib.at(T0 + dt.timedelta(1)).update_page_ocr_lines(1, 0, "fast", {0: "Fixed text"})
     assert lib.search_books("dummy").count() == 0 and lib.search_books("fixed").count() == 1
     lib = lib.create_annotation(1, 0, "note", "a", "b").save_progress(1, 3, 1.5, "doubleScroll").save_progress(1, 4, 1.5, "odd")
-    assert lib.get_progress(1).first().page in (3, 4) and "📝" in lib.export_annotations_markdown(1) and '"text":"a"' in lib.export_annotations_json(1)
+    assert lib.get_progress(1).first().page in (3, 4) and "📝" in lib.export_annotations_markdown(1) and '"text" : "a"' in lib.export_annotations_json(1)
     lib = lib.update_annotation_content(1, "c").create_image_annotation(1, 0, "sticky", 0.5, 0.5, '{"text":"x"}').update_image_annotation(1, rotation=15.0)
     assert lib.list_image_annotations(1).first().rotation == 15.0
     gone = lib.delete_book(1)
@@ -89,3 +89,53 @@ def test_interaction(spark):
     assert one(spark, I.big_enough(points, F.lit(0.0), F.lit(0.0), F.lit(True))) is True and one(spark, I.big_enough(points, F.lit(0.005), F.lit(1.0), F.lit(False))) is False
     c = one(spark, I.crop(F.struct(F.lit(-1.0).alias("x"), F.lit(1.0).alias("y"), F.lit(5.0).alias("w"), F.lit(5.0).alias("h")), F.lit(2.0), F.lit(6.0), F.lit(100.0)))
     assert tuple(c) == (0.0, 2.0, 6.0, 10.0)
+
+
+def test_opening_scanning_and_indexing(spark):
+    lib = Library.create(spark).at(T0)
+    lib, _ = lib.import_books(spark.createDataFrame([("/a/One.pdf",), ("/a/Two.png",), ("/a/Three.pdf",)], "original_path string"))
+    books = {r.title: r for r in lib.table("books").collect()}
+    lib, route = lib.open_book(books["One"].stored_path, 7)
+    assert (route.first().route, route.first().page_count) == ("pdf", 7) and lib.get_book(books["One"].id).first().page_count == 7
+    assert lib.open_book(books["Two"].stored_path)[1].first().route == "image"
+    assert tuple(lib.open_book("nowhere.pdf")[1].first())[1:] == (None, "pdf", 0)
+    line = {"text": "scanned words", "x": 0.1, "y": 0.1, "w": 0.5, "h": 0.02, "confidence": 0.9}
+    calls = spark.sparkContext.accumulator(0)
+
+    def recognise(book, page, mode):
+        calls.add(1)
+        if page == 5:
+            raise OSError("no image")
+        return [line]
+
+    lib, none = lib.scan_page(books["One"].id, 0, "fast")
+    assert none.first().error and lib.table("page_ocr_cache").count() == 0
+    lib, bad = lib.scan_page(books["One"].id, 5, "fast", recognise)
+    assert bad.first().error == "OSError: no image"
+    lib, done = lib.scan_page(books["One"].id, 0, "fast", recognise)
+    kept = lib.table("page_ocr_cache").collect()
+    assert done.first().origin == "engine" and lib.search_books("scanned").count() == 1 and lib.page_has_text(books["One"].id, 0)
+    lib = lib._with(page_ocr_cache=spark.createDataFrame(kept, schemas.SCHEMAS["page_ocr_cache"]))
+    before = calls.value
+    assert lib.scan_page(books["One"].id, 0, "fast", recognise)[1].first().origin == "cache" and calls.value == before
+    three = books["Three"].id
+    pages = spark.createDataFrame([(three, 0, "alpha beta", None), (three, 1, " ", None)], "book_id long, page long, text string, error string")
+    failed = lib.ensure_book_index(three, pages.withColumn("error", F.lit("broken")))
+    assert {r.id: r.status for r in failed.search_index_status().collect()}[three] == "failed"
+    assert failed.ensure_book_index(three, pages).search_books("alpha").count() == 0
+    ready = lib.ensure_book_index(three, pages)
+    assert ready.search_books("alpha").count() == 1 and ready.get_setting(f"index_ready:{three}") == "1"
+    assert lib.ensure_book_index(999, pages) is lib and lib.template_default_text("general") and lib.template_default_text("x") == ""
+
+
+def test_versions(spark):
+    none = spark.createDataFrame([], "version int")
+    assert schemas.recorded_version(none).first().version is None
+    tables, versions = schemas.migrate_recorded(spark, {}, none)
+    assert [r.version for r in versions.collect()] == [schemas.LATEST_VERSION] and schemas.migrate_recorded(spark, tables, versions)[1] is versions
+    threads = spark.createDataFrame([(1, "t")], "id long, title string")
+    two = spark.createDataFrame([(1,), (2,)], "version int")
+    moved, versions = schemas.migrate_recorded(spark, {"ai_threads": threads}, two)
+    assert moved["ai_threads"].count() == 0 and versions.count() == 3
+    with pytest.raises(ValueError):
+        schemas.migrate_recorded(spark, {}, spark.createDataFrame([(99,)], "version int"))
