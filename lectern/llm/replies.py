@@ -209,11 +209,11 @@ def pairs(messages: DataFrame) -> DataFrame:
 
 def with_texts(messages: DataFrame, found: DataFrame) -> DataFrame:
     """``pairs`` with the texts ``prompt`` and ``reply``."""
-    replies = contents(messages, found.withColumnRenamed("reply_id", "id").withColumnRenamed("reply_at", "created_at"), [F.col("content").alias("reply")])
-    replies = replies.withColumnRenamed("id", "reply_id").drop("created_at").withColumnRenamed("prompt_id", "id").withColumnRenamed("prompt_at", "created_at")
-    texts = messages.select(F.col("id").alias("_id"), F.col("created_at").alias("_at"), F.col("content").alias("prompt"))
-    both = replies.join(texts, (F.col("id") == F.col("_id")) & F.col("created_at").eqNullSafe(F.col("_at")))
-    return both.dropDuplicates(["reply_id"]).select("reply_id", "readable", "action", "prompt", "reply")
+    replies = found.select(F.col("reply_id").alias("id"), F.col("reply_at").alias("created_at"), "readable", "action")
+    prompts = found.select(F.col("prompt_id").alias("id"), F.col("prompt_at").alias("created_at"), "reply_id")
+    said = contents(messages, replies, [F.col("content").alias("reply")]).withColumnRenamed("id", "reply_id")
+    asked = contents(messages, prompts, [F.col("content").alias("prompt")])
+    return said.join(asked.select("reply_id", "prompt"), "reply_id").select("reply_id", "readable", "action", "prompt", "reply")
 
 
 def truncated_messages(messages: DataFrame) -> DataFrame:
