@@ -18,14 +18,20 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from ..cluster import keep
+
 # Letters of other alphabets that are drawn like a Latin letter, each before the Latin letters at the same places.
 LOOK_ALIKE_LETTERS = (
     ("АВЕЅІЈКМНОРСТХҮԌԚԜҺӀ", "ABESIJKMHOPCTXYGQWHI"),  # Cyrillic capitals
     ("аеѕіјорсухһԁԛԝӏѵ", "aesijopcyxhdqwlv"),  # Cyrillic small letters
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),  # Greek capitals
-    ("ονϲϳ", "ovcj"),  # Greek small letters
+    ("ονυϲϳ", "ovucj"),  # Greek small letters
     ("ɡɑ", "ga"),  # phonetic letters
     ("օսցհո", "oughn"),  # Armenian small letters
+    ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏕᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZRWSVSLCPKB"),  # Cherokee letters
+    ("ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ", "ABEHIKMNOPCTYX"),  # Coptic capitals
+    ("ⲟⲣⲥ", "opc"),  # Coptic small letters
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),  # Lisu letters
 )
 HYPHENS = "‐‑"
 #: Compatibility forms that show no difference to a reader; raised, lowered, circled and fractional forms do.
@@ -176,6 +182,25 @@ def records(annotations: DataFrame, search_hits: DataFrame, page_ocr_cache: Data
     return reduce(DataFrame.unionByName, [marks, hits, lines]).where("text IS NOT NULL")
 
 
+def _formed(rows: DataFrame, to: dict[str, str]) -> DataFrame:
+    """(_g, _h, _t, key): fingerprints of each record's place and form, 128 bits, and of its text, 64; written once, as texts are rewritten in Python."""
+    prints = [F.xxhash64("book_id", "page", "form").alias("_g"), F.xxhash64("form", "page", F.lit(1)).alias("_h"), F.xxhash64("text").alias("_t")]
+    return keep(unify(rows, "text", "form", to).where("book_id IS NOT NULL AND page IS NOT NULL").select(*prints, "key"))
+
+
+def _mixed(formed: DataFrame) -> DataFrame:
+    """The records of ``formed`` whose group has several texts; equal ones are aggregated on the map side, however many."""
+    mixed = formed.groupBy("_g", "_h").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi")).where("_lo <> _hi").select("_g", "_h")
+    return formed.join(mixed, ["_g", "_h"], "left_semi").distinct()
+
+
+def look_alike_classes(rows: DataFrame, to: dict[str, str]) -> DataFrame:
+    """(key, class): each record that looks like one of other characters on its page, with the least key of those that look alike; one row for each record."""
+    some = _mixed(_formed(rows, to))
+    least = some.groupBy("_g", "_h").agg(F.min("key").alias("class"))
+    return some.join(least, ["_g", "_h"]).select("key", "class").distinct()
+
+
 def look_alike_pairs(rows: DataFrame, to: dict[str, str]) -> DataFrame:
     """(key_a, key_b), key_a < key_b: records of one book and page whose forms are equal and whose texts are not.
 
@@ -185,10 +210,7 @@ def look_alike_pairs(rows: DataFrame, to: dict[str, str]) -> DataFrame:
     result are ever made.
     """
     group = ["_g", "_h"]
-    prints = [F.xxhash64("book_id", "page", "form").alias("_g"), F.xxhash64("form", "page", F.lit(1)).alias("_h"), F.xxhash64("text").alias("_t")]
-    formed = unify(rows, "text", "form", to).where("book_id IS NOT NULL AND page IS NOT NULL").select(*prints, "key")
-    mixed = formed.groupBy(*group).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi")).where("_lo <> _hi").select(*group)
-    some = formed.join(mixed, group, "left_semi").distinct()
+    some = _mixed(_formed(rows, to))
     texts = some.select(*group, "_t").distinct()
     pairs = texts.withColumnRenamed("_t", "_ta").join(texts.withColumnRenamed("_t", "_tb"), group).where("_ta < _tb")
     a = some.select(*group, F.col("_t").alias("_ta"), F.col("key").alias("_a"))

@@ -69,3 +69,18 @@ def test_unify_edge_cases(spark):
     assert got == [None, "", "a" * 200000, "a" * 200000]
     assert L.unify(df.limit(0), "text", "form", to).collect() == []
     assert L.count_characters(df.limit(0), ["text"]) == {}
+
+
+def test_classes_agree_with_pairs(spark):
+    rows = [("a:1", 1, 0, "Ａbc"), ("a:2", 1, 0, "Abc"), ("a:3", 1, 0, "Abc "), ("h:1", 1, 1, "Abc"), ("h:2", 1, 0, "abc"), ("o:1", 2, 0, "ᎪᏴ"), ("o:2", 2, 0, "AB"), ("o:2", 2, 0, "AB"), ("o:3", None, 0, "AB")]
+    df = spark.createDataFrame(rows, "key string, book_id long, page long, text string")
+    to = L.rules(L.count_characters(df, ["text"]))
+    classes = {r.key: r["class"] for r in L.look_alike_classes(df, to).collect()}
+    pairs = {(r.key_a, r.key_b) for r in L.look_alike_pairs(df, to).collect()}
+    assert classes == {"a:1": "a:1", "a:2": "a:1", "a:3": "a:1", "o:1": "o:1", "o:2": "o:1"}
+    assert pairs == {("a:1", "a:2"), ("a:1", "a:3"), ("a:2", "a:3"), ("o:1", "o:2")}
+    assert L.look_alike_classes(df.limit(0), to).collect() == []
+
+
+def test_letters_and_their_latin_ones_stand_at_the_same_places():
+    assert all(len(others) == len(latin) for others, latin in L.LOOK_ALIKE_LETTERS)
