@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -38,6 +39,12 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), _MARKED, _PLAIN), r"\p{M}+", "")
 
 
+def may_have(text: Column, tokens: list[str]) -> Column:
+    """False only for texts that can't have all the tokens: cheaper than ``token_text``, which decides about the rest."""
+    loose = F.translate(F.lower(text), _MARKED, _PLAIN)
+    return reduce(lambda a, b: a & b, [F.contains(loose, F.lit(t)) for t in tokens]) | loose.rlike(r"\p{M}")
+
+
 def token_text(text: Column) -> Column:
     """Tokens joined by blanks, with one at either end: runs of letters and digits, each ideograph a token of its own."""
     spaced = F.regexp_replace(fold(text), r"([\x{3400}-\x{9FFF}])", " $1 ")

@@ -12,10 +12,27 @@ from .tables import latest
 LIMIT, MOST = 200, 500
 
 
+#: What the rows of a page are ordered by, of which the last counts; the hash decides between rows that tie in all else.
+ORDER = ["indexed_at", "doc_id", "_tie"]
+
+
+def _own(documents: DataFrame) -> DataFrame:
+    return documents.where("book_id IS NOT NULL AND page IS NOT NULL").select("book_id", "page", "source", "text", "indexed_at", "doc_id", F.xxhash64("source", "text").alias("_tie"))
+
+
 def pages(documents: DataFrame) -> DataFrame:
     """(book_id, page, source, original_text): of each page the text that was indexed last, blank ones left out."""
-    own = documents.where("book_id IS NOT NULL AND page IS NOT NULL").select("book_id", "page", "source", T.trim_white(F.col("text")).alias("original_text"), "indexed_at", "doc_id")
-    return latest(own, ["book_id", "page"], ["indexed_at", "doc_id"]).where(T.has_text(F.col("original_text"))).select("book_id", "page", "source", "original_text")
+    own = _own(documents).withColumn("original_text", T.trim_white(F.col("text"))).drop("text")
+    return latest(own, ["book_id", "page"], ORDER).where(T.has_text(F.col("original_text"))).select("book_id", "page", "source", "original_text")
+
+
+def matching(documents: DataFrame, query: str) -> DataFrame:
+    """(book_id, page, original_text): ``match`` on ``pages``, with texts read where they lie: only those that match are shuffled, and joined with the keys
+    of each page's last row, which hold no text."""
+    hits = match(_own(documents), query, "text")
+    last = _own(documents).groupBy("book_id", "page").agg(F.max(F.struct(*ORDER)).alias("_last")).select(F.col("book_id").alias("_b"), F.col("page").alias("_p"), "_last")
+    same = [F.col("book_id") == F.col("_b"), F.col("page") == F.col("_p"), F.struct(*ORDER).eqNullSafe(F.col("_last"))]
+    return hits.join(last, same, "left_semi").dropDuplicates(["book_id", "page"]).select("book_id", "page", T.trim_white(F.col("text")).alias("original_text"))
 
 
 def clamp_limit(limit: int | None) -> int:
@@ -25,19 +42,28 @@ def clamp_limit(limit: int | None) -> int:
 def match(df: DataFrame, query: str, col: str = "original_text") -> DataFrame:
     """Rows whose text has all phrases of the query, in any order; no row for a query without any.
 
-    A scan: each row is folded once, inside code generation, and nothing is shuffled.
+    A scan: texts without the tokens are passed over by plain search, the others are split into tokens, and nothing is shuffled.
     """
-    wanted = T.phrases(query)
+    wanted = list(dict.fromkeys(T.phrases(query)))
     if not wanted:
         return df.limit(0)
     tokens = T.token_text(F.col(col))
-    return df.where(reduce(lambda a, b: a & b, [F.contains(tokens, F.lit(f" {p} ")) for p in dict.fromkeys(wanted)]))
+    some = T.may_have(F.col(col), sorted({t for p in wanted for t in p.split()}))
+    return df.where(some).where(reduce(lambda a, b: a & b, [F.contains(tokens, F.lit(f" {p} ")) for p in wanted]))
+
+
+def _report(hits: DataFrame, query: str, limit: int | None) -> DataFrame:
+    return hits.orderBy("book_id", "page").limit(clamp_limit(limit)).select("book_id", "page", T.snippet(F.col("original_text"), query).alias("snippet"))
 
 
 def search(df: DataFrame, query: str, limit: int | None = None) -> DataFrame:
-    """(book_id, page, snippet): the first hits in order of book and page."""
-    hits = match(df, query).orderBy("book_id", "page").limit(clamp_limit(limit))
-    return hits.select("book_id", "page", T.snippet(F.col("original_text"), query).alias("snippet"))
+    """(book_id, page, snippet): the first hits among pages, in order of book and page."""
+    return _report(match(df, query), query, limit)
+
+
+def search_documents(documents: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """``search`` on the pages of documents."""
+    return _report(matching(documents, query), query, limit)
 
 
 def postings(df: DataFrame, col: str = "original_text") -> DataFrame:

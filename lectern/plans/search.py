@@ -26,32 +26,32 @@ def _sql(query: str, where: str) -> str:
 
 
 def search_and_snippet(s, d):
-    return S.search(S.pages(load(s, d, "documents")), "tide register")
+    return S.search_documents(load(s, d, "documents"), "tide register")
 
 
 def search_phrase(s, d):
-    return S.search(S.pages(load(s, d, "documents")), "half-tide dock")
+    return S.search_documents(load(s, d, "documents"), "half-tide dock")
 
 
 def search_injection_literal(s, d):
-    return S.search(S.pages(load(s, d, "documents")), 'map" OR')
+    return S.search_documents(load(s, d, "documents"), 'map" OR')
 
 
 def search_ideographs(s, d):
-    return S.search(S.pages(load(s, d, "documents")), "潮汐登记册")
+    return S.search_documents(load(s, d, "documents"), "潮汐登记册")
 
 
 def search_accents(s, d):
-    return S.search(S.pages(load(s, d, "documents")), "fälle")
+    return S.search_documents(load(s, d, "documents"), "fälle")
 
 
 def search_empty(s, d):
-    return S.search(S.pages(load(s, d, "documents")), ' "" -- ')
+    return S.search_documents(load(s, d, "documents"), ' "" -- ')
 
 
 def search_all_matches(s, d):
     """Every page of the corpus that matches, without the report's limit."""
-    return S.match(S.pages(load(s, d, "documents")), "salt road").select("book_id", "page")
+    return S.matching(load(s, d, "documents"), "salt road").select("book_id", "page")
 
 
 def search_by_postings(s, d):
