@@ -87,10 +87,22 @@ def plain(text: str) -> str:
     return _reader()(text[: len(text) - len(tail)]) + tail
 
 
+def word_end(text: str) -> re.Match | None:
+    """The word at a line's end (group 1) and the hyphen behind it (group 2); neither holds a blank, so only what follows the last one is looked at."""
+    last = text.rstrip().rsplit(None, 1)
+    return _WORD_END.search(last[-1]) if last else None
+
+
 def _fold(text: str) -> str:
     return re.sub(r"[^a-zà-ÿœ一-鿿]+", " ", text.lower()).strip()
 
 
+def _repeats(text: str, title: str) -> bool:
+    """Whether a line is the title, with or without the page's number beside it."""
+    bare = re.sub(r"^\s*\d{1,4}\s{2,}|\s{2,}\d{1,4}\s*$", "", text)
+    return len(bare) < 2 * len(title) + 6 and SequenceMatcher(None, _fold(bare), title, autojunk=False).ratio() > 0.85
+
+
 def observe(line: dict, page: dict, title: str, text: str | None = None) -> tuple[str, str, str, str]:
     """The classes of a line's place, of its margin, of its text (``plain``) and of its confidence, relative to the page's body."""
     text = plain(line["text"] or "") if text is None else text
@@ -99,12 +111,11 @@ def observe(line: dict, page: dict, title: str, text: str | None = None) -> tupl
     place = "top" if y < min(top, page["top"]) - 0.6 * gap else "bottom" if y > page["bottom"] + 0.4 * gap or y > 0.925 and abs(x - page["left"]) > 0.1 else "first" if y < top + 0.9 * gap or y < page["top"] else "within"
     inset = x - page["left"]
     margin = "left" if inset < 0.09 else "middle" if abs(x + w / 2 - 0.5) < 0.07 and w < 0.3 else "inset"
-    bare = re.sub(r"^\s*\d{1,4}\s{2,}|\s{2,}\d{1,4}\s*$", "", text)
     if _NUMBERED.match(text) and any(c.isdigit() or c in "ivxlcdmIVXLCDM!|" for c in text):
         kind = "numbered" if not (_FIGURES.match(text) and margin == "inset" and place in ("within", "first")) else "figures"
     elif _FIGURES.match(text):
         kind = "figures"
-    elif title and (margin != "left" or place != "within") and len(bare) < 2 * len(title) + 6 and SequenceMatcher(None, _fold(bare), title, autojunk=False).ratio() > 0.85:
+    elif title and (margin != "left" or place != "within") and _repeats(text, title):
         kind = "title"
     elif len(text) < SHORT_LINE * page["usual_length"] and not re.search(r"[.;,。；，]", text):
         kind = "short"
@@ -208,7 +219,7 @@ def line_ends(pages: DataFrame, model: LineModel) -> DataFrame:
                 body = [i for i, s in enumerate(states) if s == body_state and texts[i]]
                 for i, n in zip(body, [*body[1:], None]):
                     start = _WORD_START.match(texts[n]) if n is not None else None
-                    end = _WORD_END.search(texts[i])
+                    end = word_end(texts[i])
                     if end and _LETTERS.search(end.group(1)):
                         at.append(row)
                         out.append((i, WITHIN if n is not None else LAST, end.group(1), end.group(2), start.group(1) if start else None, n))
@@ -236,32 +247,42 @@ def run_on(ends: DataFrame) -> DataFrame:
     return on_page.unionByName(over)
 
 
+def _word_of(token: str) -> tuple[int, str] | None:
+    """Where the word of a token begins, and the word: without quotes and hyphens at its ends and without an elided article; None if it has no Latin letter."""
+    if token.isascii() and token.isalpha():
+        return 0, token
+    if not _LETTERS.search(token) or _HAN.search(token):
+        return None
+    bare = token.lstrip("'’-‐‑­¬")
+    at = len(token) - len(bare)
+    bare = bare.rstrip("'’-‐‑­¬")
+    elided = _ELIDED.match(bare)
+    return (at + elided.end(), bare[elided.end() :]) if elided else (at, bare)
+
+
 def token_spans(text: str) -> list[tuple[int, str]]:
     """Words with Latin letters, and where they begin."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        t = m.group()
-        if _LETTERS.search(t) and not _HAN.search(t):
-            bare = t.lstrip("'’-‐‑­¬")
-            at = m.start() + len(t) - len(bare)
-            bare = bare.rstrip("'’-‐‑­¬")
-            elided = _ELIDED.match(bare)
-            out.append((at + elided.end(), bare[elided.end() :]) if elided else (at, bare))
-    return out
+    return [(m.start() + w[0], w[1]) for m in _TOKEN.finditer(text) if (w := _word_of(m.group()))]
 
 
 def tokens_of(text: str) -> list[str]:
-    return [t for _, t in token_spans(text)]
+    return [w[1] for t in _TOKEN.findall(text) if (w := _word_of(t))]
 
 
-def han_grams(text: str, which: re.Pattern = re.compile(r"[一-鿿\-=]")) -> Iterator[tuple[int, str]]:
-    """Every ideograph (or sign between two of them) with its neighbours, or the nearest two at a line's end, marked by its place, and where it stands."""
-    for m in which.finditer(text):
-        i = m.start()
-        at = min(max(i - 1, 0), max(len(text) - 3, 0))
-        piece = text[at : at + 3]
-        if len(piece) == 3 and len(_HAN.findall(piece)) + (m.group() in "-=") >= 2 and (m.group() not in "-=" or 0 < i < len(text) - 1):
-            yield i, f"{i - at}{piece}"
+def han_grams(text: str, which: re.Pattern | None = None) -> list[tuple[int, str]]:
+    """Every ideograph (or sign between two of them), or of ``which`` those alone, with its neighbours, or the nearest two at a line's end, marked by its place, and where it stands."""
+    n = len(text)
+    if n < 3:
+        return []
+    han = ["一" <= c <= "鿿" for c in text]
+    out = []
+    for i in range(n) if which is None else [m.start() for m in which.finditer(text)]:
+        sign = text[i] in "-="
+        if (han[i] or sign) and (0 < i < n - 1 or not sign):
+            at = min(max(i - 1, 0), n - 3)
+            if han[at] + han[at + 1] + han[at + 2] + sign >= 2:
+                out.append((i, f"{i - at}{text[at : at + 3]}"))
+    return out
 
 
 def words_of(pages: DataFrame, model: LineModel, joins: DataFrame) -> DataFrame:
@@ -277,7 +298,7 @@ def words_of(pages: DataFrame, model: LineModel, joins: DataFrame) -> DataFrame:
                     if not told[s]:
                         continue
                     own = tokens_of(text)
-                    open_end = s == body_state and bool(own) and bool(_WORD_END.search(text))
+                    open_end = s == body_state and bool(own) and bool(word_end(text))
                     inner = own[1 : -1 if open_end else None]
                     counts.update(inner)
                     for w in inner:
@@ -421,15 +442,20 @@ class Scans:
                             found.append((i, None, None, furniture[s]))
                         if not running[s]:
                             continue
-                        own = token_spans(text)[1 if i in begun else 0 : -1 if i in cut_short else None]
-                        if _HAN.search(text):
-                            own += han_grams(text, table.doubtful)
                         if _SPLIT_ACCENT.search(text):
                             found.append((i, None, None, "misread"))
-                        for at, w in own:
+                        own = tokens_of(text)[1 if i in begun else 0 : -1 if i in cut_short else None]
+                        doubt = False
+                        for w in own:
                             says = known.get(w)
                             if says is None:
                                 says = known[w] = (bool(taken[slot(w)]), bool(_MISREAD_IN_WORD.search(w) or _SIGN_IN_WORD.search(w)))
+                            doubt = doubt or says[0] or says[1]
+                        spans = token_spans(text)[1 if i in begun else 0 : -1 if i in cut_short else None] if doubt else []
+                        if _HAN.search(text):
+                            spans += [(at, w) for at, w in han_grams(text, table.doubtful) if taken[slot(w)]]
+                        for at, w in spans:
+                            says = known.get(w) or (True, False)
                             if says[0] or says[1]:
                                 found.append((i, at, w, "misread" if says[1] else None))
                     rows += [row] * len(found)
