@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import library, pages, reader, search, streams, talk
+from .plans import interface, library, pages, reader, search, streams, talk
 
-_ALL = library.QUERIES | search.QUERIES | talk.QUERIES | pages.QUERIES | streams.QUERIES | reader.QUERIES
+_ALL = library.QUERIES | search.QUERIES | talk.QUERIES | pages.QUERIES | streams.QUERIES | reader.QUERIES | interface.QUERIES
 
 
 def queries() -> dict:
