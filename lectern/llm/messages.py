@@ -32,26 +32,25 @@ def seconds(time: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), time.cast("timestamp_ntz")) / 1e6
 
 
-def _row() -> list[Column]:
-    """What a message's rows are ordered by, of which the first counts: the time, a null last, and then whatever tells them apart."""
-    image = F.coalesce(F.trim("image_path") != "", F.lit(False))
-    return [F.col("created_at").isNull().alias("_late"), F.col("created_at"), F.col("thread_id"), tidy(F.col("role")).alias("role"), tidy(F.col("action_type")).alias("action_type"), readable(F.col("content")).alias("readable"), image.alias("image")]
+def _tie() -> Column:
+    """Tells rows of one id and time apart, all the same where they are equal."""
+    return F.xxhash64("content", "role", "action_type", "image_path")
 
 
 def heads(messages: DataFrame) -> DataFrame:
-    """One row for each message id, from its earliest row: id, thread_id, role, action_type, created_at, readable, image (has an image_path).
+    """One row for each message id, from its earliest row: id, thread_id, role, action_type, created_at, readable, image (has an image_path), tie.
 
-    Replayed rows have the id of another row; of several the one with the earliest created_at counts, a null time last; further ties
-    go to the smaller row.  Rows without id are left out.  No text leaves the map side.
+    Replayed rows have the id of another row; of several the one with the earliest created_at counts, a null time last; further ties go to the
+    smaller thread_id, then to the smaller ``tie``, by which ``contents`` finds the same row.  Rows without id are left out.  No text leaves the map side.
     """
-    first = messages.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct(*_row())).alias("m"))
-    return first.select("id", "m.thread_id", "m.role", "m.action_type", "m.created_at", "m.readable", "m.image")
+    image = F.coalesce(F.trim("image_path") != "", F.lit(False))
+    row = F.struct(F.col("created_at").isNull().alias("_late"), "created_at", "thread_id", _tie().alias("tie"), tidy(F.col("role")).alias("role"), tidy(F.col("action_type")).alias("action_type"), readable(F.col("content")).alias("readable"), image.alias("image"))
+    first = messages.where("id IS NOT NULL").groupBy("id").agg(F.min(row).alias("m"))
+    return first.select("id", "m.thread_id", "m.role", "m.action_type", "m.created_at", "m.readable", "m.image", "m.tie")
 
 
 def contents(messages: DataFrame, ids: DataFrame, cols: list[str | Column]) -> DataFrame:
-    """``ids`` (with id, each once, and created_at) joined with ``cols`` of the messages' earliest rows as in ``heads``; of rows alike in all that, the smaller ``cols``."""
-    own = messages.select(*cols).columns
-    texts = messages.select(F.col("id").alias("_id"), F.col("created_at").alias("_at"), F.struct(*_row(), *cols).alias("_m"))
-    found = ids.join(texts, (F.col("id") == F.col("_id")) & F.col("created_at").eqNullSafe(F.col("_at")))
-    first = found.groupBy(*ids.columns).agg(F.min("_m").alias("_m"))
-    return first.select(*ids.columns, *(F.col(f"_m.{c}").alias(c) for c in own))
+    """``ids`` (with id, each once, created_at and tie, which is dropped) joined with ``cols`` of the rows that count in ``heads``."""
+    texts = messages.select(F.col("id").alias("_id"), F.col("created_at").alias("_at"), _tie().alias("_tie"), *cols)
+    found = ids.join(texts, (F.col("id") == F.col("_id")) & F.col("created_at").eqNullSafe(F.col("_at")) & (F.col("tie") == F.col("_tie")))
+    return found.drop("_id", "_at", "_tie", "tie").dropDuplicates(["id"])

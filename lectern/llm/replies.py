@@ -202,15 +202,15 @@ def pairs(messages: DataFrame) -> DataFrame:
     stands between.  A null thread_id is no thread.
     """
     rows = heads(messages).where("thread_id IS NOT NULL AND NOT (role <=> 'system')")
-    laid = with_neighbour(rows.withColumn("late", F.col("created_at").isNull()), ["thread_id", "late", "created_at", "id"], ["thread_id", "role", "id", "created_at", "action_type"], before=True)
+    laid = with_neighbour(rows.withColumn("late", F.col("created_at").isNull()), ["thread_id", "late", "created_at", "id"], ["thread_id", "role", "id", "created_at", "action_type", "tie"], before=True)
     both = laid.where("role = 'assistant' AND prev_role = 'user' AND thread_id = prev_thread_id")
-    return both.select(F.col("id").alias("reply_id"), F.col("created_at").alias("reply_at"), "readable", F.coalesce("action_type", "prev_action_type").alias("action"), F.col("prev_id").alias("prompt_id"), F.col("prev_created_at").alias("prompt_at"))
+    return both.select(F.col("id").alias("reply_id"), F.col("created_at").alias("reply_at"), "readable", F.coalesce("action_type", "prev_action_type").alias("action"), F.col("prev_id").alias("prompt_id"), F.col("prev_created_at").alias("prompt_at"), F.col("tie").alias("reply_tie"), F.col("prev_tie").alias("prompt_tie"))
 
 
 def with_texts(messages: DataFrame, found: DataFrame) -> DataFrame:
     """``pairs`` with the texts ``prompt`` and ``reply``."""
-    replies = found.select(F.col("reply_id").alias("id"), F.col("reply_at").alias("created_at"), "readable", "action")
-    prompts = found.select(F.col("prompt_id").alias("id"), F.col("prompt_at").alias("created_at"), "reply_id")
+    replies = found.select(F.col("reply_id").alias("id"), F.col("reply_at").alias("created_at"), F.col("reply_tie").alias("tie"), "readable", "action")
+    prompts = found.select(F.col("prompt_id").alias("id"), F.col("prompt_at").alias("created_at"), F.col("prompt_tie").alias("tie"), "reply_id")
     said = contents(messages, replies, [F.col("content").alias("reply")]).withColumnRenamed("id", "reply_id")
     asked = contents(messages, prompts, [F.col("content").alias("prompt")])
     return said.join(asked.select("reply_id", "prompt"), "reply_id").select("reply_id", "readable", "action", "prompt", "reply")
