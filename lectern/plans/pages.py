@@ -177,6 +177,19 @@ _Q = "WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: round(abs(x:
 _V = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(abs(x::DOUBLE) * 1000)::BIGINT) AS v FROM embeddings)"
 _C = "greatest(0.0, least(1.0, {}))"
 _LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in A.KIND_LABELS.items())
+
+
+def line_fold(boxes: str) -> str:
+    """SQL for the lines (t, b, l, r) that a list of boxes makes: each joins the first line whose rows it overlaps, and widens it."""
+    one = "[{'t': v.y, 'b': v.y + v.h, 'l': v.x, 'r': v.x + v.w}]"
+    hit = "list_position(list_transform(s, lambda u: x[1].t < u.b AND u.t < x[1].b), true)"
+    grown = "{'t': least(v.t, x[1].t), 'b': greatest(v.b, x[1].b), 'l': least(v.l, x[1].l), 'r': greatest(v.r, x[1].r)}"
+    return (
+        f"list_reduce(list_prepend([]::STRUCT(t DOUBLE, b DOUBLE, l DOUBLE, r DOUBLE)[], list_transform({boxes}, lambda v: {one})), "
+        f"lambda s, x: CASE WHEN {hit} > 0 THEN list_transform(s, lambda v, i: CASE WHEN i = {hit} THEN {grown} ELSE v END) ELSE list_concat(s, x) END)"
+    )
+
+
 QUERIES = {
     "low_confidence_lines": (low_confidence_lines, _L + ", u AS (SELECT book_id, page, ocr_mode, unnest(lines) AS v, generate_subscripts(lines, 1) - 1 AS line_no FROM l) SELECT book_id, page, ocr_mode, line_no, v.text AS text, v.confidence AS confidence FROM u WHERE v.confidence < 0.8"),
     "low_confidence_count": (low_confidence_count, _L + " SELECT book_id, page, ocr_mode, len(list_filter(lines, lambda v: v.confidence < 0.8)) AS low, len(lines) AS n_lines FROM l"),
@@ -203,7 +216,7 @@ SELECT book_id, page, 'native' AS layer, md5(text) AS digest FROM n UNION ALL SE
         hit_test_nearest,
         _L + ", u AS (SELECT book_id, page, ocr_mode, unnest(lines) AS v, generate_subscripts(lines, 1) - 1 AS i FROM l), c AS (SELECT *, abs(0.5::DOUBLE - (v.y + v.h / 2)) AS dy FROM u), b AS (SELECT book_id, page, ocr_mode, min((greatest(v.x - 0.4::DOUBLE, 0.4::DOUBLE - (v.x + v.w), 0.0) * 4 + dy, i)) FILTER (WHERE dy <= v.h / 2 + 0.008::DOUBLE) AS m FROM c GROUP BY ALL) SELECT book_id, page, ocr_mode, coalesce(m[2], -1)::BIGINT AS line_no FROM b",
     ),
-    "line_clusters": (line_clusters, None),
+    "line_clusters": (line_clusters, _N + f" SELECT id, len({line_fold('rects')}) AS lines FROM n"),
     "selection_rects": (selection_rects, None),
     "boxes_normalized": (boxes_normalized, _Q + f" SELECT vec_id, round({_C.format('list_min(xs) / 400')}, 6) AS x, round({_C.format('list_min(ys) / 200')}, 6) AS y, round({_C.format('(list_max(xs) - list_min(xs) + 1) / 400')}, 6) AS w, round({_C.format('(list_max(ys) - list_min(ys) + 1) / 200')}, 6) AS h FROM x"),
     "quads_rotated_back": (

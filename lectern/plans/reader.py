@@ -9,6 +9,7 @@ from ..functions import decode, geometry as G, pixels as P, selection as S
 from ..operators import annotations as A, conversations as C, library as L, ocr as O, opening
 from ..sources import schemas
 from ..streaming import events as E, live
+from . import pages
 
 SIDE = 8
 
@@ -196,7 +197,12 @@ SELECT book_id, page, ocr_mode, len(s) AS n, coalesce(round(list_sum(list_transf
 p AS (SELECT h.book_id, h.page, h.ocr_mode, CASE WHEN h.i IS NULL OR 0.4 < v.x THEN -1 ELSE h.i * 10000 + least(floor((0.4::DOUBLE - v.x) / greatest(v.w, 1e-9) * length(v.text)), length(v.text) - 1) END::BIGINT AS place FROM h LEFT JOIN u ON u.book_id = h.book_id AND u.page = h.page AND u.ocr_mode = h.ocr_mode AND u.i = h.i)
 SELECT *, CASE WHEN place >= 0 THEN place // 10000 END AS line, CASE WHEN place >= 0 THEN place % 10000 END AS offset FROM p""",
     ),
-    "hit_rectangles": (hit_rectangles, None),
+    "hit_rectangles": (
+        hit_rectangles,
+        _B + ", c AS (SELECT book_id, page, ocr_mode, flatten(list_transform(b, lambda v: list_transform(range(1, length(v.text) + 1), lambda i: {'c': substr(v.text, i::INT, 1), 'x': v.x + v.w * (i - 1) / length(v.text), 'y': v.y, 'w': v.w / length(v.text), 'h': v.h}))) AS c FROM b), "
+        "t AS (SELECT *, lower(array_to_string(list_transform(c, lambda v: v.c), '')) AS t FROM c), o AS (SELECT book_id, page, ocr_mode, c, unnest(list_filter(range(1, length(t) + 1), lambda i: substr(t, i::INT, 5) = 'light')) AS i FROM t), "
+        f"z AS (SELECT book_id, page, ocr_mode, unnest({pages.line_fold('c[i:i + 4]')}) AS box FROM o) SELECT book_id, page, ocr_mode, count(*) AS n, round(sum(box.r - box.l), 4) AS width FROM z GROUP BY ALL",
+    ),
     "char_boxes": (
         char_boxes,
         "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE) * 1000) AS v FROM embeddings WHERE vec_id % 5 > 0) SELECT vec_id, round(v[1] / 400, 6) AS x, round(greatest(0.0, least(1.0, 1 - (v[2] + v[4]) / 300)), 6) AS y, round(v[3] / 400, 6) AS w, round(v[4] / 300, 6) AS h FROM e",
