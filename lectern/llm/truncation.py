@@ -228,7 +228,8 @@ def judgements(messages: DataFrame, text_col: str = "content", role_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(3).take(ids), *(pa.array(c, type=k) for c, k in zip(cols, kinds))], names=["id", "source", "size", "state", "item", "text_hash", "contexts", "word", "whole"])
 
     judged = keep(texts.mapInArrow(judge, schema))
-    known = judged.where("word IS NOT NULL").dropDuplicates(["id"])
+    row = F.struct("text_hash", "source", "size", "state", "item", "contexts", "word")  # of an id with several texts one counts, always the same
+    known = judged.where("word IS NOT NULL").groupBy("id").agg(F.min(row).alias("r")).select("id", "r.*")
     copies = known.groupBy("text_hash").agg((F.count("*") > 1).alias("repeated"))
     limits = length_limits(messages.withColumn("_source", source), text_col, "_source").select(F.col("source").alias("_s"), F.col("length").alias("size"), F.lit(AT_LIMIT).alias("limit"))
     told = known.select("id", "source", "size", "state", "item", "text_hash").join(evidence(texts, known, without_notice), "id").join(copies, "text_hash")
