@@ -217,7 +217,11 @@ SELECT book_id, page, 'native' AS layer, md5(text) AS digest FROM n UNION ALL SE
         _L + ", u AS (SELECT book_id, page, ocr_mode, unnest(lines) AS v, generate_subscripts(lines, 1) - 1 AS i FROM l), c AS (SELECT *, abs(0.5::DOUBLE - (v.y + v.h / 2)) AS dy FROM u), b AS (SELECT book_id, page, ocr_mode, min((greatest(v.x - 0.4::DOUBLE, 0.4::DOUBLE - (v.x + v.w), 0.0) * 4 + dy, i)) FILTER (WHERE dy <= v.h / 2 + 0.008::DOUBLE) AS m FROM c GROUP BY ALL) SELECT book_id, page, ocr_mode, coalesce(m[2], -1)::BIGINT AS line_no FROM b",
     ),
     "line_clusters": (line_clusters, _N + f" SELECT id, len({line_fold('rects')}) AS lines FROM n"),
-    "selection_rects": (selection_rects, None),
+    "selection_rects": (
+        selection_rects,
+        _L + f", r AS (SELECT book_id, page, ocr_mode, list_sort({line_fold('lines[least(2, len(lines) - 1) + 1:least(5, len(lines) - 1) + 1]')}) AS r FROM l) "
+        "SELECT book_id, page, ocr_mode, len(r) AS rects, array_to_string(list_transform(r, lambda v: printf('%.4f %.4f %.4f %.4f', v.l, v.t, v.r - v.l, v.b - v.t)), ';') AS places FROM r",
+    ),
     "boxes_normalized": (boxes_normalized, _Q + f" SELECT vec_id, round({_C.format('list_min(xs) / 400')}, 6) AS x, round({_C.format('list_min(ys) / 200')}, 6) AS y, round({_C.format('(list_max(xs) - list_min(xs) + 1) / 400')}, 6) AS w, round({_C.format('(list_max(ys) - list_min(ys) + 1) / 200')}, 6) AS h FROM x"),
     "quads_rotated_back": (
         quads_rotated_back,
