@@ -44,7 +44,10 @@ def heads(messages: DataFrame) -> DataFrame:
     smaller thread_id, then to the smaller ``tie``, by which ``contents`` finds the same row.  Rows without id are left out.  No text leaves the map side.
     """
     image = F.coalesce(F.trim("image_path") != "", F.lit(False))
-    row = F.struct(F.col("created_at").isNull().alias("_late"), "created_at", "thread_id", _tie().alias("tie"), tidy(F.col("role")).alias("role"), tidy(F.col("action_type")).alias("action_type"), readable(F.col("content")).alias("readable"), image.alias("image"))
+    row = F.struct(
+        F.col("created_at").isNull().alias("_late"), "created_at", "thread_id", _tie().alias("tie"), tidy(F.col("role")).alias("role"), tidy(F.col("action_type")).alias("action_type"),
+        readable(F.col("content")).alias("readable"), image.alias("image")
+    )
     first = messages.where("id IS NOT NULL").groupBy("id").agg(F.min(row).alias("m"))
     return first.select("id", "m.thread_id", "m.role", "m.action_type", "m.created_at", "m.readable", "m.image", "m.tie")
 

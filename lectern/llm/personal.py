@@ -22,7 +22,10 @@ from .lookalike import LOOK_ALIKE_LETTERS
 KINDS = ("email", "phone", "identity", "address", "name")
 
 # Spelled digits, from 0 to 9.
-DIGIT_WORDS = ["zero oh null zéro cero 零 〇", "one eins un une uno 一 壹", "two zwei zwo deux dos 二 贰", "three drei trois tres 三 叁", "four vier quatre cuatro 四 肆", "five fünf cinq cinco 五 伍", "six sechs seis 六 陆", "seven sieben sept siete 七 柒", "eight acht huit ocho 八 捌", "nine neun neuf nueve 九 玖"]
+DIGIT_WORDS = [
+    "zero oh null zéro cero 零 〇", "one eins un une uno 一 壹", "two zwei zwo deux dos 二 贰", "three drei trois tres 三 叁", "four vier quatre cuatro 四 肆", "five fünf cinq cinco 五 伍", "six sechs seis 六 陆",
+    "seven sieben sept siete 七 柒", "eight acht huit ocho 八 捌", "nine neun neuf nueve 九 玖"
+]
 # Words for the signs of an e-mail address.
 AT_WORDS, DOT_WORDS = ["at", "ät", "arobase", "arroba", "chez", "艾特"], ["dot", "punkt", "point", "punto", "点"]
 # What stands directly before a name: titles, and labels or phrases.
@@ -32,10 +35,16 @@ LABELS = ["dear", "hello", "hi", "contact", "name", "signed(?: by)?", "sender",
           "querid[oa]", "estimad[oa]", "contacto", "firmado", "remite", "remitente", "destinatario", "prestado a", "nombre", "mi vecin[oa]"]
 # Phrases with which people give their own names, greetings after which they sign, and what they are called by; of the last two, names begin with capitals.
 PHRASES = ["my name is", "i am called", "ich heiße", "ich heisse", "mein name ist", "je m['’]appelle", "mon nom est", "me llamo", "mi nombre es", "我叫", "我的名字是"]
-GREETINGS = ["(?:kind |best |warm )?regards", "best wishes", "yours (?:sincerely|faithfully|truly)", "sincerely", "mit freundlichen grüßen", "viele grüße", "hochachtungsvoll", "cordialement", "bien à vous", "(?:un )?saludos?(?: cordial(?:es)?)?", "atentamente"]
+GREETINGS = [
+    "(?:kind |best |warm )?regards", "best wishes", "yours (?:sincerely|faithfully|truly)", "sincerely", "mit freundlichen grüßen", "viele grüße", "hochachtungsvoll", "cordialement", "bien à vous",
+    "(?:un )?saludos?(?: cordial(?:es)?)?", "atentamente"
+]
 CALLED = ["authors?", "writer", "poet", "historian", "autor(?:in|a)?", "dichter(?:in)?", "schriftsteller(?:in)?", "auteure?", "écrivaine?", "poète", "escritora?", "poeta"]
 #: Of these labels only with a colon or a mark behind them: alone they are ordinary words.
-ONLY_WITH_COLON = {"name", "sender", "from", "to", "attn", "author", "borrower", "nom", "nombre", "hello", "hi", "signed(?: by)?", "unterschrift", "contact", "contacto", "empfänger", "destinataire", "destinatario", "remitente"}
+ONLY_WITH_COLON = {
+    "name", "sender", "from", "to", "attn", "author", "borrower", "nom", "nombre", "hello", "hi", "signed(?: by)?", "unterschrift", "contact", "contacto", "empfänger", "destinataire", "destinatario",
+    "remitente"
+}
 # Words that begin an ordinary phrase and no name.
 NO_NAME = "the a an this that these those his her its our your my me you him them it us all some any each every which who what der die das den dem des ein eine einen einem einer sein ihr dieser diese dieses le la les un une des du de ce cette ces son sa ses el los las una unos este esta esto su sus lo al del".split()
 CHINESE_LABELS = ["联系人", "寄件人", "收件人", "借书人", "借给了?", "(?:签名|署名|姓名|作者|负责人)(?=[:：])"]
@@ -91,7 +100,10 @@ PHONE = [
     _P + r"[5-9]\d{2}(?:[ \n]\d{3}){2}",
 ]
 # Words before a number that is no phone number, unless it has a country prefix.
-NO_PHONE = ["order", "ref", "reference", "isbn", "issn", "invoice", "shelfmark", "bestellung", "bestellnummer", "auftrag", "rechnung", "signatur", "commande", "facture", "cote", "pedido", "factura", "signatura", "订单", "订单号", "编号"]
+NO_PHONE = [
+    "order", "ref", "reference", "isbn", "issn", "invoice", "shelfmark", "bestellung", "bestellnummer", "auftrag", "rechnung", "signatur", "commande", "facture", "cote", "pedido", "factura",
+    "signatura", "订单", "订单号", "编号"
+]
 _NO_PHONE = re.compile(rf"(?<![^\W_])(?:{'|'.join(NO_PHONE)})[ \n]?(?:no\.?|nr\.?|n[.º°o]{{1,2}}|#)?[ \n.:：#]*$", re.I)
 #: Characters before a number in which such a word is looked for.
 _NEAR = 30
@@ -101,7 +113,9 @@ _EMAIL = regex.compile(rf"(?<![{_A}.+%@-])" + r"[A-Za-z0-9_](?:[A-Za-z0-9._%+-]{
 #: What a text must have for a pattern to match, which is seen faster than the pattern.
 _FIVE, _CODED, _SIX, _THREE_FOUR = (re.compile(p) for p in (r"\d{5}", r"\d[A-Z]{2}|\d{5}", r"\d(?:\D{0,3}\d){5}", r"\d{3}\)?[ \n.-]?\d{3}[ \n.-]\d{4}"))
 _NEEDS = {ADDRESS[0]: _CODED, ADDRESS[1]: _CODED, ADDRESS[2]: _FIVE, ADDRESS[3]: _FIVE, ADDRESS[4]: _FIVE, ADDRESS[5]: re.compile("[路街道巷弄同]\\d"), PHONE[2]: _THREE_FOUR, IDENTITY[6]: re.compile("000")}
-_FOUND = [(kind, regex.compile(p), _NEEDS.get(p, _SIX)) for kind, ps in (("address", ADDRESS), ("identity", IDENTITY)) for p in ps] + [("phone", regex.compile(p + _PHONE_END + _EXT), _NEEDS.get(p, _SIX)) for p in PHONE]
+_FOUND = [
+    (kind, regex.compile(p), _NEEDS.get(p, _SIX)) for kind, ps in (("address", ADDRESS), ("identity", IDENTITY)) for p in ps
+] + [("phone", regex.compile(p + _PHONE_END + _EXT), _NEEDS.get(p, _SIX)) for p in PHONE]
 
 _W = r"\p{Latin}[\p{Latin}'’]{1,60}"
 _LAST = rf"{_W}(?:-{_W})?"
@@ -110,7 +124,11 @@ _S = r"[ \n]{1,2}"
 LATIN_NAME = rf"(?<![\p{{Latin}}'’-])(?:{_INITIAL}(?:{_S}?{_INITIAL})*{_S}{_LAST}|{_LAST},{_S}(?:{_INITIAL}(?:{_S}{_INITIAL})*|{_W}(?:{_S}{_INITIAL})*)|{_W}(?:{_S}{_INITIAL})*{_S}{_LAST})(?![\p{{Latin}}'’-])"
 #: What stands before a name, in lower case, up to the name's first letter.
 _BEFORE = "|".join(
-    [rf"(?:{'|'.join(TITLES)})\.?[ \n]{{1,2}}".lower(), r"m\.[ \n]{1,2}", rf"(?:{'|'.join(PHRASES)})[ \n]?", rf"(?:{'|'.join(LABELS)})[ \n]?[:：][ \n]?", rf"(?:{'|'.join(x for x in LABELS if x not in ONLY_WITH_COLON)})[ \n]{{1,2}}", r"(?:kontakt|contacto?)[ \n]", r"(?:signed|gezeichnet|signé|firmado)[ \n][“\"«„][ \n]?", r"(?:form|formular|formulaire|formulario)[ \n]\d+[ \n]?\|[ \n]?"]
+    [
+        rf"(?:{'|'.join(TITLES)})\.?[ \n]{{1,2}}".lower(), r"m\.[ \n]{1,2}", rf"(?:{'|'.join(PHRASES)})[ \n]?", rf"(?:{'|'.join(LABELS)})[ \n]?[:：][ \n]?",
+        rf"(?:{'|'.join(x for x in LABELS if x not in ONLY_WITH_COLON)})[ \n]{{1,2}}", r"(?:kontakt|contacto?)[ \n]", r"(?:signed|gezeichnet|signé|firmado)[ \n][“\"«„][ \n]?",
+        r"(?:form|formular|formulaire|formulario)[ \n]\d+[ \n]?\|[ \n]?"
+    ]
 )
 _BEFORE_CAPITALS = re.compile(rf"(?<![^\W\d_])(?=((?:{'|'.join(GREETINGS)})[,!]?[ ]?\n+|(?:{'|'.join(CALLED)})[ \n]))")
 _BEFORE_NAME = re.compile(rf"(?<![^\W\d_])(?<![-‐‑­¬]\n)(?=({_BEFORE}))")
@@ -120,7 +138,9 @@ _CALLED_HINT = re.compile("regards|wishes|yours|sincerely|grüße|hochachtung|co
 _C_AFTER = rf"(?:{'|'.join(CHINESE_LABELS)})[:：]?[ \n]?"
 _C_NAMED = regex.compile(rf"(?:{_C_AFTER}(?P<name>{LATIN_NAME}))|(?P<name>{LATIN_NAME})[ \n]?(?:{'|'.join(CHINESE_TITLES)})")
 _HAN_NAME = rf"(?:(?:{'|'.join(DOUBLE_SURNAMES)})\p{{Han}}{{1,2}}|\p{{Han}}{{2,3}})"
-_C_CLOSED = regex.compile(rf"(?:{'|'.join(CHINESE_LABELS)})[:：]?[ \n]?(?P<name>{_HAN_NAME})(?=[，,。；;：、\s（(\]]|$)|(?:^|(?<=[\s。，；！？：\]】）)、\d.A-Za-z]))(?P<name>{_HAN_NAME})(?={'|'.join(CHINESE_TITLES)})", regex.M)
+_C_CLOSED = regex.compile(
+    rf"(?:{'|'.join(CHINESE_LABELS)})[:：]?[ \n]?(?P<name>{_HAN_NAME})(?=[，,。；;：、\s（(\]]|$)|(?:^|(?<=[\s。，；！？：\]】）)、\d.A-Za-z]))(?P<name>{_HAN_NAME})(?={'|'.join(CHINESE_TITLES)})", regex.M
+)
 _C_OPEN = regex.compile(rf"(?:签名|署名)[:：][ \n]?(?P<name>(?:{'|'.join(DOUBLE_SURNAMES)}|\p{{Han}})\p{{Han}}{{1,2}})")
 _NO_NAME = set(NO_NAME)
 
@@ -397,7 +417,10 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", given:
                         found.append((what, t[a:b], a, b - a))
             cols = list(zip(*found)) if found else [[], [], [], []]
             ids = batch.column(0).take(pa.array(rows, type=pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], type=pa.string()), pa.array(cols[1], type=pa.string()), pa.array(cols[2], type=pa.int32()), pa.array(cols[3], type=pa.int32())], names=[id_col, "kind", "found_text", "begin", "length"])
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(cols[0], type=pa.string()), pa.array(cols[1], type=pa.string()), pa.array(cols[2], type=pa.int32()), pa.array(cols[3], type=pa.int32())],
+                names=[id_col, "kind", "found_text", "begin", "length"]
+            )
 
     return df.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"`{id_col}` {kind}, kind string, found_text string, begin int, length int")
 

@@ -103,7 +103,10 @@ def p8_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [p1_found, p3_found, p3_paragraphs, p4_found, p4_shares, p4_evidence, p4_copies, p4_limits, p2_found, p2_classes, p2_forms, p5_found, p5_conversations, p5_corrected, p5_clocks, p6_ids, p7_pack, p8_found, p8_masked]
+    own = [
+        p1_found, p3_found, p3_paragraphs, p4_found, p4_shares, p4_evidence, p4_copies, p4_limits, p2_found, p2_classes, p2_forms, p5_found, p5_conversations, p5_corrected, p5_clocks, p6_ids, p7_pack,
+        p8_found, p8_masked
+    ]
     return {f.__name__: f for f in own}
 
 

@@ -202,9 +202,14 @@ def pairs(messages: DataFrame) -> DataFrame:
     stands between.  A null thread_id is no thread.
     """
     rows = heads(messages).where("thread_id IS NOT NULL AND NOT (role <=> 'system')")
-    laid = with_neighbour(rows.withColumn("late", F.col("created_at").isNull()), ["thread_id", "late", "created_at", "id"], ["thread_id", "role", "id", "created_at", "action_type", "tie"], before=True)
+    laid = with_neighbour(
+        rows.withColumn("late", F.col("created_at").isNull()), ["thread_id", "late", "created_at", "id"], ["thread_id", "role", "id", "created_at", "action_type", "tie"], before=True
+    )
     both = laid.where("role = 'assistant' AND prev_role = 'user' AND thread_id = prev_thread_id")
-    return both.select(F.col("id").alias("reply_id"), F.col("created_at").alias("reply_at"), "readable", F.coalesce("action_type", "prev_action_type").alias("action"), F.col("prev_id").alias("prompt_id"), F.col("prev_created_at").alias("prompt_at"), F.col("tie").alias("reply_tie"), F.col("prev_tie").alias("prompt_tie"))
+    return both.select(
+        F.col("id").alias("reply_id"), F.col("created_at").alias("reply_at"), "readable", F.coalesce("action_type", "prev_action_type").alias("action"), F.col("prev_id").alias("prompt_id"),
+        F.col("prev_created_at").alias("prompt_at"), F.col("tie").alias("reply_tie"), F.col("prev_tie").alias("prompt_tie")
+    )
 
 
 def with_texts(messages: DataFrame, found: DataFrame) -> DataFrame:

@@ -75,7 +75,10 @@ def slot(word: str) -> int:
 def _reader() -> Rewriter:
     global _READ
     if _READ is None:
-        blocks = ((32, 127, 1000), (0xA0, 0x250, 20), (0x3001, 0x3040, 20), (0x4E00, 0xA000, 20), (0x250, 0x590, 1), (0x1D00, 0x2600, 1), (0x2E80, 0x3001, 1), (0xFB00, 0xFB07, 1), (0xFE00, 0xFE10, 1), (0xFEFF, 0xFFEF, 1))
+        blocks = (
+            (32, 127, 1000), (0xA0, 0x250, 20), (0x3001, 0x3040, 20), (0x4E00, 0xA000, 20), (0x250, 0x590, 1), (0x1D00, 0x2600, 1), (0x2E80, 0x3001, 1), (0xFB00, 0xFB07, 1), (0xFE00, 0xFE10, 1),
+            (0xFEFF, 0xFFEF, 1)
+        )
         _READ = Rewriter(rules({chr(i): weight for first, end, weight in blocks for i in range(first, end)}))
     return _READ
 
@@ -138,7 +141,10 @@ def layout(lines: list[dict], usual_top: float = 0.1, lengths: list[int] | None
     steps = sorted(b - a for a, b in zip(ys, ys[1:]) if b > a)
     near = [x for x in xs if abs(x - left) < 0.09]
     long = sorted(lengths[i] for i in body) if lengths and body else [0]
-    return {"left": left, "margin": near[len(near) // 4] if near else left, "top": ys[0], "bottom": ys[-1], "leading": steps[len(steps) // 2] if steps else 0.03, "usual_top": usual_top, "usual_length": long[3 * len(long) // 4]}
+    return {
+        "left": left, "margin": near[len(near) // 4] if near else left, "top": ys[0], "bottom": ys[-1], "leading": steps[len(steps) // 2] if steps else 0.03, "usual_top": usual_top,
+        "usual_length": long[3 * len(long) // 4]
+    }
 
 
 def _clean_title(title: str | None) -> str:
@@ -195,7 +201,10 @@ def observed(scans: DataFrame, books: DataFrame) -> DataFrame:
                 edges.append(bytes(a * INDENTED + b * CLOSING for a, b in zip(indented, closing)))
                 texts.append(own)
             rows = pa.array(kept, type=pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(3)), pa.array(codes, type=pa.binary()), pa.array(edges, type=pa.binary()), pa.array(texts, type=pa.list_(pa.string()))], names=[x.split()[0] for x in PAGES.split(", ")])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(rows) for k in range(3)), pa.array(codes, type=pa.binary()), pa.array(edges, type=pa.binary()), pa.array(texts, type=pa.list_(pa.string()))],
+                names=[x.split()[0] for x in PAGES.split(", ")]
+            )
 
     return pages.mapInArrow(run, PAGES)
 
@@ -482,7 +491,10 @@ class Scans:
         odd_end = F.col("tail").rlike(r"[A-Za-zÀ-ÿ][0-9!@{|`$(]")
         joined = self.broken.withColumn("word", F.concat("tail", "next")).join(self.wrong, "word", "left")
         left = F.when(odd_end | (F.col("right").isNotNull() & ~F.expr("startswith(right, tail)")), F.struct(*key))
-        right = F.when(F.col("next_no").isNotNull() & ~F.expr("endswith(right, next)"), F.struct("book_id", F.col("next_page").alias("page"), F.col("next_mode").alias("ocr_mode"), F.col("next_no").cast("long").alias("line_no")))
+        right = F.when(
+            F.col("next_no").isNotNull() & ~F.expr("endswith(right, next)"),
+            F.struct("book_id", F.col("next_page").alias("page"), F.col("next_mode").alias("ocr_mode"), F.col("next_no").cast("long").alias("line_no"))
+        )
         broken = joined.withColumn("line_no", F.col("line_no").cast("long")).select(F.explode(F.array_compact(F.array(left, right))).alias("v")).select(*(F.col(f"v.{c}") for c in key), F.lit("misread").alias("kind"))
         return own.unionByName(broken)
 
@@ -529,7 +541,10 @@ class Scans:
             for batch in batches:
                 parts = batch.column(1).to_pylist()
                 first = [p[0] for p in parts]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p["page"] for p in first], type=pa.int64()), pa.array([p["line_no"] for p in first], type=pa.int64()), pa.array([assemble(p) for p in parts], type=pa.string())], names=["book_id", "page", "line_no", "text"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([p["page"] for p in first], type=pa.int64()), pa.array([p["line_no"] for p in first], type=pa.int64()), pa.array([assemble(p) for p in parts], type=pa.string())],
+                    names=["book_id", "page", "line_no", "text"]
+                )
 
         return grouped.select("book_id", "parts").mapInArrow(join, "book_id long, page long, line_no long, text string")
 

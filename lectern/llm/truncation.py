@@ -47,7 +47,10 @@ _LINK = re.compile(r"https?://[\w.-]+\.\w{2,}/\S*[\w/]$")
 _ELLIPSIS = re.compile(r"(?:…|\.{3,}|。{3,})$")
 _SYMBOL_END = re.compile(r"[\U0001F000-\U0001FAFF☀-➿️]$")
 _HAN = re.compile(r"[一-鿿]")
-_ANNOUNCED = re.compile(r"\b(" + "|".join(w for ws in NUMBER_WORDS.values() for w in ws if w.isascii() or not _HAN.match(w)) + r"|\d)\s+(?:points?|punkte?n?|puntos?|things|reasons|steps|parts)\b|([两二三四五六七])(?:点|条|个要点|个方面|步)", re.I)
+_ANNOUNCED = re.compile(
+    r"\b(" + "|".join(w for ws in NUMBER_WORDS.values() for w in ws if w.isascii() or not _HAN.match(w)) + r"|\d)\s+(?:points?|punkte?n?|puntos?|things|reasons|steps|parts)\b|([两二三四五六七])(?:点|条|个要点|个方面|步)",
+    re.I
+)
 _BY_WORD = {w: n for n, ws in NUMBER_WORDS.items() for w in ws}
 
 
@@ -225,7 +228,10 @@ def judgements(messages: DataFrame, text_col: str = "content", role_col: str = "
                 out.append((len(bare), LETTER if letter else state, item, xxhash.xxh64_intdigest(bare.encode("utf-8", "replace")) - (1 << 63), *(end or (None, None)), whole))
             cols, ids = list(zip(*out)) or [()] * 7, pa.array(rows, type=pa.int32())
             kinds = [pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(3).take(ids), *(pa.array(c, type=k) for c, k in zip(cols, kinds))], names=["id", "source", "size", "state", "item", "text_hash", "contexts", "word", "whole"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(ids), batch.column(3).take(ids), *(pa.array(c, type=k) for c, k in zip(cols, kinds))],
+                names=["id", "source", "size", "state", "item", "text_hash", "contexts", "word", "whole"]
+            )
 
     judged = keep(texts.mapInArrow(judge, schema))
     row = F.struct("text_hash", "source", "size", "state", "item", "contexts", "word")  # of an id with several texts one counts, always the same
