@@ -74,7 +74,10 @@ def payload_points(payload: Column) -> Column:
 
 def style(value: Column) -> Column:
     s = F.from_json(value, STYLE)
-    return F.struct(F.coalesce(s["strokeWidth"], F.lit(3.0)).alias("stroke_width"), s["color"].alias("color"), F.coalesce(s["fill"], F.lit(False)).alias("fill"), F.coalesce(s["fontSize"], F.lit(14.0)).alias("font_size"))
+    return F.struct(
+        F.coalesce(s["strokeWidth"], F.lit(3.0)).alias("stroke_width"), s["color"].alias("color"), F.coalesce(s["fill"], F.lit(False)).alias("fill"),
+        F.coalesce(s["fontSize"], F.lit(14.0)).alias("font_size")
+    )
 
 
 def config(value: Column) -> Column:

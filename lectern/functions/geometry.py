@@ -65,7 +65,10 @@ def line_rects(boxes: Column) -> Column:
             lines,
             lambda v, i: F.when(
                 i + 1 == hit,
-                F.struct(F.least(v["top"], b["y"]).alias("top"), F.greatest(v["bottom"], b["y"] + b["h"]).alias("bottom"), F.least(v["left"], b["x"]).alias("left"), F.greatest(v["right"], b["x"] + b["w"]).alias("right")),
+                F.struct(
+                    F.least(v["top"], b["y"]).alias("top"), F.greatest(v["bottom"], b["y"] + b["h"]).alias("bottom"), F.least(v["left"], b["x"]).alias("left"),
+                    F.greatest(v["right"], b["x"] + b["w"]).alias("right")
+                ),
             ).otherwise(v),
         )
         fresh = F.struct(b["y"].alias("top"), (b["y"] + b["h"]).alias("bottom"), b["x"].alias("left"), (b["x"] + b["w"]).alias("right"))

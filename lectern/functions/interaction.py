@@ -14,7 +14,10 @@ def hit_pieces(text: Column, query: str) -> Column:
     """The text in pieces (text, hit) around the query's places, case aside, for display in bold."""
     at = occurrences(text, query)
     n = len(query)
-    before = F.transform(at, lambda p, i: F.struct(F.substring(text, F.when(i == 0, 1).otherwise(F.get(at, i - 1) + n + 1), p - F.when(i == 0, 0).otherwise(F.get(at, i - 1) + n)).alias("text"), F.lit(False).alias("hit")))
+    before = F.transform(
+        at, lambda p,
+        i: F.struct(F.substring(text, F.when(i == 0, 1).otherwise(F.get(at, i - 1) + n + 1), p - F.when(i == 0, 0).otherwise(F.get(at, i - 1) + n)).alias("text"), F.lit(False).alias("hit"))
+    )
     hits = F.transform(at, lambda p: F.struct(F.substring(text, p + 1, F.lit(n)).alias("text"), F.lit(True).alias("hit")))
     rest = F.array(F.struct(F.substring(text, F.coalesce(F.get(at, F.size(at) - 1) + n, F.lit(0)) + 1, F.length(text)).alias("text"), F.lit(False).alias("hit")))
     pairs = F.flatten(F.transform(F.arrays_zip(before.alias("b"), hits.alias("h")), lambda z: F.array(z["b"], z["h"])))

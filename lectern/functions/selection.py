@@ -32,7 +32,10 @@ def letters(boxes: Column) -> Column:
     """Boxes of whole lines as boxes of their letters."""
     each = lambda b: F.transform(
         F.sequence(F.lit(1), F.length(b["char"])),
-        lambda i: F.struct(F.substring(b["char"], i, F.lit(1)).alias("char"), (b["x"] + b["w"] * (i - 1) / F.length(b["char"])).alias("x"), b["y"].alias("y"), (b["w"] / F.length(b["char"])).alias("w"), b["h"].alias("h")),
+        lambda i: F.struct(
+            F.substring(b["char"], i, F.lit(1)).alias("char"), (b["x"] + b["w"] * (i - 1) / F.length(b["char"])).alias("x"), b["y"].alias("y"), (b["w"] / F.length(b["char"])).alias("w"),
+            b["h"].alias("h")
+        ),
     )
     return F.flatten(F.transform(F.filter(boxes, lambda b: F.length(b["char"]) > 0), each))
 
@@ -78,7 +81,10 @@ def selected(boxes: Column, start: Column, end: Column) -> Column:
 def _spans(boxes: Column, start: Column, end: Column) -> Column:
     """(box, from, to) of each line between two places, in either order."""
     lo, hi = F.least(start, end), F.greatest(start, end)
-    some = F.transform(boxes, lambda b, i: F.struct(b.alias("b"), F.when(i == line_of(lo), offset_of(lo)).otherwise(0).alias("from"), F.when(i == line_of(hi), offset_of(hi)).otherwise(F.length(b["char"]) - 1).alias("to")))
+    some = F.transform(
+        boxes, lambda b,
+        i: F.struct(b.alias("b"), F.when(i == line_of(lo), offset_of(lo)).otherwise(0).alias("from"), F.when(i == line_of(hi), offset_of(hi)).otherwise(F.length(b["char"]) - 1).alias("to"))
+    )
     return F.slice(some, line_of(lo) + 1, line_of(hi) - line_of(lo) + 1)
 
 

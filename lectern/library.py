@@ -228,13 +228,21 @@ class Library:
     def save_page_ocr(self, rows: DataFrame) -> Library:
         """Results of pages stored, and the pages' texts indexed, the last source to come being the one that counts."""
         lines = F.col("result.lines")
-        texts = rows.select("book_id", "page", F.lit("ocr").alias("source"), T.token_text(O.page_text(lines)).alias("raw_text"), O.page_text(lines).alias("original_text"), F.lit(self.now).cast("timestamp_ntz").alias("indexed_at")).where(T.has_text(F.col("original_text")))
-        return self._with(page_ocr_cache=tb.upsert(self.table("page_ocr_cache"), rows, ["book_id", "page", "ocr_mode"], ["created_at"]), page_text_index=tb.upsert(self.table("page_text_index"), texts, ["book_id", "page"], ["indexed_at"]))
+        texts = rows.select(
+            "book_id", "page", F.lit("ocr").alias("source"), T.token_text(O.page_text(lines)).alias("raw_text"), O.page_text(lines).alias("original_text"),
+            F.lit(self.now).cast("timestamp_ntz").alias("indexed_at")
+        ).where(T.has_text(F.col("original_text")))
+        return self._with(
+            page_ocr_cache=tb.upsert(self.table("page_ocr_cache"), rows, ["book_id", "page", "ocr_mode"], ["created_at"]),
+            page_text_index=tb.upsert(self.table("page_text_index"), texts, ["book_id", "page"], ["indexed_at"])
+        )
 
     def update_page_ocr_lines(self, book_id: int, page: int, mode: str, edits: dict[int, str]) -> Library:
         kinds = F.create_map(*(F.lit(x) for kv in edits.items() for x in kv)) if edits else F.create_map().cast("map<int,string>")
         own = self.get_page_ocr(book_id, page, mode)
-        fixed = own.withColumn("result", F.struct(O.correct(F.col("result.lines"), kinds).alias("lines"), F.col("result.mode").alias("mode"))).withColumn("created_at", F.lit(self.now).cast("timestamp_ntz"))
+        fixed = own.withColumn(
+            "result", F.struct(O.correct(F.col("result.lines"), kinds).alias("lines"), F.col("result.mode").alias("mode"))
+        ).withColumn("created_at", F.lit(self.now).cast("timestamp_ntz"))
         return self.save_page_ocr(fixed)
 
     def index_pages(self, pages: DataFrame) -> Library:

@@ -89,7 +89,9 @@ def instructions(messages: DataFrame) -> DataFrame:
     sorted_ = F.sort_array(F.collect_list(F.struct("created_at", "id", "role", "content")))
     grouped = messages.groupBy("thread_id").agg(sorted_.alias("m"))
     text = F.array_join(F.transform(F.filter("m", lambda x: x["role"] == "system"), lambda x: F.coalesce(x["content"], F.lit(""))), "\n")
-    return grouped.select("thread_id", text.alias("instructions"), F.transform(F.filter("m", lambda x: x["role"] != "system"), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("items"))
+    return grouped.select(
+        "thread_id", text.alias("instructions"), F.transform(F.filter("m", lambda x: x["role"] != "system"), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("items")
+    )
 
 
 def latest_threads(df: DataFrame) -> DataFrame:

@@ -26,7 +26,9 @@ def import_candidates(paths: DataFrame) -> DataFrame:
     """(original_path, file_type, title, page_count, has_cover): of each path what an import would store; file_type null: refused."""
     path = F.col("original_path")
     kind = decode.type_of_path(path)
-    return paths.select("original_path", kind.alias("file_type"), decode.stem(path).alias("title"), F.when(kind == "image", 1).otherwise(0).cast("long").alias("page_count"), (kind == "image").alias("has_cover"))
+    return paths.select(
+        "original_path", kind.alias("file_type"), decode.stem(path).alias("title"), F.when(kind == "image", 1).otherwise(0).cast("long").alias("page_count"), (kind == "image").alias("has_cover")
+    )
 
 
 def import_outcomes(paths: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -54,10 +54,15 @@ def layers(native: DataFrame, ocr: DataFrame) -> DataFrame:
 def correct(lines: Column, edits: Column) -> Column:
     """Lines with the texts of ``edits`` (map of 0-based place to text) put in, the geometry kept; blank texts and places out of range change nothing."""
     return F.transform(
-        lines, lambda v, i: F.struct(F.when(F.length(F.trim(edits[i])) > 0, edits[i]).otherwise(v["text"]).alias("text"), v["x"].alias("x"), v["y"].alias("y"), v["w"].alias("w"), v["h"].alias("h"), v["confidence"].alias("confidence"))
+        lines, lambda v, i: F.struct(
+            F.when(F.length(F.trim(edits[i])) > 0, edits[i]).otherwise(v["text"]).alias("text"), v["x"].alias("x"), v["y"].alias("y"), v["w"].alias("w"), v["h"].alias("h"),
+            v["confidence"].alias("confidence")
+        )
     )
 
 
 def boxes(lines: Column) -> Column:
     """Lines as boxes for selection, blank ones left out."""
-    return F.transform(F.filter(lines, lambda v: F.length(F.trim(v["text"])) > 0), lambda v: F.struct(v["text"].alias("char"), v["x"].alias("x"), v["y"].alias("y"), v["w"].alias("w"), v["h"].alias("h")))
+    return F.transform(
+        F.filter(lines, lambda v: F.length(F.trim(v["text"])) > 0), lambda v: F.struct(v["text"].alias("char"), v["x"].alias("x"), v["y"].alias("y"), v["w"].alias("w"), v["h"].alias("h"))
+    )

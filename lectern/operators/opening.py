@@ -46,7 +46,9 @@ def scan(requests: DataFrame, cache: DataFrame, recogniser: Recogniser | None =
                 except Exception as e:  # noqa: BLE001
                     lines.append([])
                     errors.append(f"{type(e).__name__}: {e}"[: T.ERROR_LIMIT])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines, type=kind), pa.array(["engine"] * batch.num_rows), pa.array(errors, type=pa.string())], names=[*key, "lines", "origin", "error"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(lines, type=kind), pa.array(["engine"] * batch.num_rows), pa.array(errors, type=pa.string())], names=[*key, "lines", "origin", "error"]
+            )
 
     missing = wanted.join(kept.select(*key), key, "left_anti")
     kinds = ", ".join(f"{c} {requests.schema[c].dataType.simpleString()}" for c in key)

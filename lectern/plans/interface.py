@@ -128,7 +128,10 @@ def kind_toggles(s, d):
 def mark_payloads(s, d):
     n = load(s, d, "annotations").dropDuplicates(["id"])
     made = F.array(I.text_payload(F.coalesce("content", F.lit("-"))), I.stamp_payload(F.lit("s.png")), I.shape_payload(F.col("kind")), I.brush_payload(F.array(F.array(F.lit(0), F.lit(1)))))
-    return n.select("id", decode.payload_text(made[0], "text").alias("text"), decode.payload_text(made[1], "file").alias("file"), decode.payload_text(made[2], "shapeType").alias("shape"), decode.payload_points(made[3]).cast("long").alias("points"))
+    return n.select(
+        "id", decode.payload_text(made[0], "text").alias("text"), decode.payload_text(made[1], "file").alias("file"), decode.payload_text(made[2], "shapeType").alias("shape"),
+        decode.payload_points(made[3]).cast("long").alias("points")
+    )
 
 
 def rect_lists(s, d):
@@ -141,7 +144,9 @@ def rect_lists(s, d):
 def requests(s, d):
     """Requests of messages, read again; the temperature is kept within its bounds."""
     m = load(s, d, "ai_messages").where("id IS NOT NULL").dropDuplicates(["id"])
-    body = I.request_body(F.lit("m"), F.array(F.struct(F.lit("user").alias("role"), F.coalesce("content", F.lit("")).alias("content"))), (F.col("id") % 40) / 10 - 1, F.when(F.col("id") % 2 == 0, "high"))
+    body = I.request_body(
+        F.lit("m"), F.array(F.struct(F.lit("user").alias("role"), F.coalesce("content", F.lit("")).alias("content"))), (F.col("id") % 40) / 10 - 1, F.when(F.col("id") % 2 == 0, "high")
+    )
     v = F.from_json("body", "model string, stream boolean, temperature double, reasoning_effort string, messages array<struct<role:string,content:string>>")
     return m.select("id", body.alias("body")).select("id", v.alias("v")).select("id", "v.model", "v.stream", "v.temperature", "v.reasoning_effort", F.md5(F.col("v.messages")[0]["content"]).alias("digest"))
 
@@ -174,13 +179,21 @@ _H = "WITH h AS (SELECT DISTINCT * FROM search_hits)"
 _DIST = "sqrt((e[1] - (ax + t * dx)) ** 2 + (e[2] - (ay + t * dy)) ** 2)"
 QUERIES = {
     "book_by_original_path": (book_by_original_path, "SELECT original_path AS path, id, title FROM books"),
-    "marks_of_books": (marks_of_books, _N + " SELECT book_id, arg_min(id, (page, created_at, id)) AS first_id, arg_max(id, (page, created_at, id)) AS last_id, count(*) AS marks FROM n WHERE kind IN ('note', 'highlight') GROUP BY 1"),
-    "ocr_lookup": (ocr_lookup, "SELECT DISTINCT c.book_id, c.page, 'fast' AS ocr_mode, len(c.result.lines) AS n_lines FROM page_ocr_cache c JOIN annotations a USING (book_id, page) WHERE c.ocr_mode = 'fast'"),
+    "marks_of_books": (
+        marks_of_books,
+        _N + " SELECT book_id, arg_min(id, (page, created_at, id)) AS first_id, arg_max(id, (page, created_at, id)) AS last_id, count(*) AS marks FROM n WHERE kind IN ('note', 'highlight') GROUP BY 1"
+    ),
+    "ocr_lookup": (
+        ocr_lookup, "SELECT DISTINCT c.book_id, c.page, 'fast' AS ocr_mode, len(c.result.lines) AS n_lines FROM page_ocr_cache c JOIN annotations a USING (book_id, page) WHERE c.ocr_mode = 'fast'"
+    ),
     "progress_upserts": (
         progress_upserts,
         "WITH c AS (SELECT o_custkey AS book_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS page FROM orders GROUP BY 1) SELECT book_id, page FROM c UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT book_id FROM c)",
     ),
-    "category_inserts": (category_inserts, "SELECT name FROM categories UNION ALL SELECT DISTINCT CASE WHEN id % 3 = 0 THEN 'Fiction' ELSE trim(title, ' ') END AS name FROM books WHERE name NOT IN (SELECT name FROM categories)"),
+    "category_inserts": (
+        category_inserts,
+        "SELECT name FROM categories UNION ALL SELECT DISTINCT CASE WHEN id % 3 = 0 THEN 'Fiction' ELSE trim(title, ' ') END AS name FROM books WHERE name NOT IN (SELECT name FROM categories)"
+    ),
     "message_appends": (
         message_appends,
         "WITH b AS (SELECT thread_id, max(created_at) AS at FROM (SELECT id, thread_id, min(created_at) AS created_at FROM ai_messages WHERE id IS NOT NULL AND (length(regexp_replace(content, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) > 0 OR image_path IS NOT NULL) GROUP BY 1, 2) GROUP BY 1) "
@@ -188,7 +201,10 @@ QUERIES = {
     ),
     "removed_annotations": (removed_annotations, "SELECT id, book_id FROM annotations WHERE id NOT IN (SELECT id FROM annotations WHERE kind = 'note')"),
     "migrated_tables": (migrated_tables, "SELECT 'annotations' AS name, count(*) AS rows, 10 AS columns FROM annotations UNION ALL SELECT 'ai_threads', 0, 6"),
-    "page_numbers": (page_numbers, "SELECT doc_id::VARCHAR AS original_path, 2 + length(text) - length(replace(text, chr(12), '')) AS pages, pages - 1 AS last_page, 'end' AS last_text FROM documents WHERE text IS NOT NULL"),
+    "page_numbers": (
+        page_numbers,
+        "SELECT doc_id::VARCHAR AS original_path, 2 + length(text) - length(replace(text, chr(12), '')) AS pages, pages - 1 AS last_page, 'end' AS last_text FROM documents WHERE text IS NOT NULL"
+    ),
     "web_results": (web_results, _H + " SELECT hit_id, md5('1. ' || search_text || chr(10) || 'https://x/' || book_id || chr(10) || snippet) AS digest FROM h"),
     "hit_pieces": (hit_pieces, _H + " SELECT hit_id, (length(snippet) - length(replace(lower(snippet), 'the', ''))) // 3 AS hits, true AS whole FROM h"),
     "corner_handles": (
@@ -209,10 +225,18 @@ QUERIES = {
         _V + ", l AS (SELECT vec_id, e, unnest(range(1, 31)) AS i FROM e), s AS (SELECT vec_id, e, e[i * 2 + 1] AS ax, e[i * 2 + 2] AS ay, e[i * 2 + 3] - e[i * 2 + 1] AS dx, e[i * 2 + 4] - e[i * 2 + 2] AS dy FROM l), "
         f"t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0.0, least(1.0, ((e[1] - ax) * dx + (e[2] - ay) * dy) / (dx * dx + dy * dy))) END AS t FROM s) SELECT vec_id, round(min({_DIST}), 5) AS distance FROM t GROUP BY 1",
     ),
-    "kind_toggles": (kind_toggles, _N + " SELECT id, CASE kind WHEN 'note' THEN 'underline' WHEN 'underline' THEN 'note' ELSE array_to_string(list_sort(['note', 'underline', kind]), ',') END AS kinds FROM n"),
+    "kind_toggles": (
+        kind_toggles, _N + " SELECT id, CASE kind WHEN 'note' THEN 'underline' WHEN 'underline' THEN 'note' ELSE array_to_string(list_sort(['note', 'underline', kind]), ',') END AS kinds FROM n"
+    ),
     "mark_payloads": (mark_payloads, _N + " SELECT id, coalesce(content, '-') AS text, 's.png' AS file, kind AS shape, 1 AS points FROM n"),
-    "rect_lists": (rect_lists, _N + " SELECT id, CASE WHEN id % 5 = 0 THEN 0 ELSE coalesce(len(rects), 0) END AS n, CASE WHEN id % 5 = 0 THEN 0.0 ELSE coalesce(round(list_sum(list_transform(rects, lambda r: r.x + r.h)), 5), 0.0) END::DOUBLE AS total FROM n"),
-    "requests": (requests, _M + " SELECT id, 'm' AS model, true AS stream, greatest(0.0, least(2.0, (id % 40) / 10.0::DOUBLE - 1)) AS temperature, CASE WHEN id % 2 = 0 THEN 'high' END AS reasoning_effort, md5(coalesce(content, '')) AS digest FROM m"),
+    "rect_lists": (
+        rect_lists,
+        _N + " SELECT id, CASE WHEN id % 5 = 0 THEN 0 ELSE coalesce(len(rects), 0) END AS n, CASE WHEN id % 5 = 0 THEN 0.0 ELSE coalesce(round(list_sum(list_transform(rects, lambda r: r.x + r.h)), 5), 0.0) END::DOUBLE AS total FROM n"
+    ),
+    "requests": (
+        requests,
+        _M + " SELECT id, 'm' AS model, true AS stream, greatest(0.0, least(2.0, (id % 40) / 10.0::DOUBLE - 1)) AS temperature, CASE WHEN id % 2 = 0 THEN 'high' END AS reasoning_effort, md5(coalesce(content, '')) AS digest FROM m"
+    ),
     "search_prompts": (
         search_prompts,
         _H + " SELECT hit_id, md5(CASE hit_id % 5 WHEN 0 THEN 'Answer from what you know; the search is switched off.' WHEN 1 THEN 'Answer from what you know; no key for the search is set.' WHEN 2 THEN 'Answer from what you know; the search failed: down' "

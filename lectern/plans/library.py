@@ -71,7 +71,10 @@ def import_classify(s, d):
 
 def _incoming(s, d):
     b = load(s, d, "books")
-    return reduce(DataFrame.unionByName, [b.select("original_path"), b.select(F.concat("original_path", F.lit(".PNG")).alias("original_path")), b.select(F.concat("title", F.lit(".docx")).alias("original_path")), b.where("favorite").select(F.concat("original_path", F.lit(".PNG")).alias("original_path"))])
+    return reduce(
+        DataFrame.unionByName,
+        [b.select("original_path"), b.select(F.concat("original_path", F.lit(".PNG")).alias("original_path")), b.select(F.concat("title", F.lit(".docx")).alias("original_path")), b.where("favorite").select(F.concat("original_path", F.lit(".PNG")).alias("original_path"))]
+    )
 
 
 _INCOMING = """WITH incoming AS (SELECT original_path FROM books UNION ALL SELECT original_path || '.PNG' FROM books UNION ALL SELECT title || '.docx' FROM books UNION ALL SELECT original_path || '.PNG' FROM books WHERE favorite),
@@ -112,7 +115,10 @@ def index_status(s, d):
 def progress_latest(s, d):
     e = load(s, d, "events").select(F.col("user_id").alias("book_id"), "event_id", "ts", "value")
     p = T.latest(e, ["book_id"], ["ts", "event_id"])
-    return p.select("book_id", G.zoom(F.col("value")).alias("zoom"), G.page_within((F.col("event_id") % 50).cast("long"), F.lit(40).cast("long")).alias("page"), decode.view_mode(F.lit("doubleScroll")).alias("view_mode"))
+    return p.select(
+        "book_id", G.zoom(F.col("value")).alias("zoom"), G.page_within((F.col("event_id") % 50).cast("long"), F.lit(40).cast("long")).alias("page"),
+        decode.view_mode(F.lit("doubleScroll")).alias("view_mode")
+    )
 
 
 def progress_debounced(s, d):
@@ -144,15 +150,24 @@ def books_by_category(s, d):
 
 _S = "SELECT id, title, file_type, favorite, category_id FROM books WHERE "
 QUERIES = {
-    "library_recent_first": (library_recent_first, f"SELECT id, title, {_TYPE} AS file_type, {_STAMP.format('last_opened_at')} AS opened, {_STAMP.format('imported_at')} AS imported FROM books ORDER BY last_opened_at DESC NULLS LAST, imported_at DESC, id"),
+    "library_recent_first": (
+        library_recent_first,
+        f"SELECT id, title, {_TYPE} AS file_type, {_STAMP.format('last_opened_at')} AS opened, {_STAMP.format('imported_at')} AS imported FROM books ORDER BY last_opened_at DESC NULLS LAST, imported_at DESC, id"
+    ),
     "library_filter_title": (library_filter_title, _S + "contains(lower(title), 'tides')"),
     "library_filter_type": (library_filter_type, _S + "file_type = 'image'"),
     "library_filter_favorite": (library_filter_favorite, _S + "favorite AND contains(lower(title), 'salt')"),
     "library_filter_category": (library_filter_category, _S + "category_id IS NOT DISTINCT FROM 2 AND contains(lower(title), 'o')"),
-    "book_lookup": (book_lookup, "SELECT id, title, original_path, stored_path FROM books WHERE id = 7 UNION ALL SELECT id, title, original_path, stored_path FROM books WHERE stored_path = 'documents/00000012.pdf'"),
+    "book_lookup": (
+        book_lookup,
+        "SELECT id, title, original_path, stored_path FROM books WHERE id = 7 UNION ALL SELECT id, title, original_path, stored_path FROM books WHERE stored_path = 'documents/00000012.pdf'"
+    ),
     "category_list": (category_list, "SELECT id, name, sort_order FROM categories ORDER BY sort_order, created_at"),
     "category_next_order": (category_next_order, "SELECT coalesce(max(sort_order), -1) + 1 AS next_position FROM categories"),
-    "category_delete_set_null": (category_delete_set_null, "SELECT b.id, CASE WHEN c.id IS NULL THEN b.category_id END AS category_id FROM books b LEFT JOIN (SELECT id FROM categories WHERE sort_order <= 2) c ON b.category_id = c.id"),
+    "category_delete_set_null": (
+        category_delete_set_null,
+        "SELECT b.id, CASE WHEN c.id IS NULL THEN b.category_id END AS category_id FROM books b LEFT JOIN (SELECT id FROM categories WHERE sort_order <= 2) c ON b.category_id = c.id"
+    ),
     "category_rename_collisions": (category_rename_collisions, "SELECT substr(lower(name), 1, 1) AS name, count(*) AS rows FROM categories GROUP BY 1 HAVING count(*) > 1"),
     "import_classify": (
         import_classify,
@@ -165,11 +180,19 @@ CASE WHEN ext = 'pdf' THEN false WHEN ext IN ('png','jpg','jpeg','webp','bmp','g
     "import_summary": (import_summary, _INCOMING + " SELECT outcome, count(*) AS paths, sum(times)::BIGINT AS files FROM outcomes GROUP BY 1"),
     "cascade_delete_book": (
         cascade_delete_book,
-        " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t} WHERE {k} IS NULL OR {k} NOT IN (SELECT id FROM books WHERE favorite)" for t, k in (("annotations", "book_id"), ("page_ocr_cache", "book_id"), ("search_hits", "book_id"), ("books", "id"))) + " UNION ALL SELECT 'ai_threads' AS table_name, count(*) AS rows FROM ai_threads",
+        " UNION ALL ".join(
+            f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t} WHERE {k} IS NULL OR {k} NOT IN (SELECT id FROM books WHERE favorite)" for t,
+            k in (("annotations", "book_id"), ("page_ocr_cache", "book_id"), ("search_hits", "book_id"), ("books", "id"))
+        ) + " UNION ALL SELECT 'ai_threads' AS table_name, count(*) AS rows FROM ai_threads",
     ),
     "favorite_toggle": (favorite_toggle, "SELECT id, CASE WHEN category_id = 3 THEN NOT favorite ELSE favorite END AS favorite FROM books"),
-    "book_open_heal": (book_open_heal, "SELECT b.id, coalesce(nullif(b.page_count, 0), p.pages, 0) AS page_count FROM books b LEFT JOIN (SELECT book_id, max(page) + 1 AS pages FROM page_ocr_cache GROUP BY 1) p ON b.id = p.book_id"),
-    "index_status": (index_status, "SELECT id, CASE WHEN id IN (SELECT book_id FROM page_ocr_cache) THEN 'ready' WHEN page_count = 0 THEN 'failed' ELSE 'missing' END AS status FROM books WHERE file_type = 'pdf'"),
+    "book_open_heal": (
+        book_open_heal,
+        "SELECT b.id, coalesce(nullif(b.page_count, 0), p.pages, 0) AS page_count FROM books b LEFT JOIN (SELECT book_id, max(page) + 1 AS pages FROM page_ocr_cache GROUP BY 1) p ON b.id = p.book_id"
+    ),
+    "index_status": (
+        index_status, "SELECT id, CASE WHEN id IN (SELECT book_id FROM page_ocr_cache) THEN 'ready' WHEN page_count = 0 THEN 'failed' ELSE 'missing' END AS status FROM books WHERE file_type = 'pdf'"
+    ),
     "progress_latest": (
         progress_latest,
         "SELECT user_id AS book_id, greatest(0.3, least(4.0, value))::DOUBLE AS zoom, greatest(1, least(event_id % 50, 40))::BIGINT AS page, 'double_scroll' AS view_mode FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
@@ -186,6 +209,11 @@ SELECT user_id AS book_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_ma
         """WITH p AS (SELECT event_id, CASE WHEN (event_id % 41) % 2 = 0 THEN event_id % 41 - 1 ELSE event_id % 41 END AS l FROM events), q AS (SELECT event_id, unnest([l - 1, l]) AS page0 FROM p)
 SELECT event_id, page0, page0 // 2 AS pair FROM q WHERE page0 >= 0 AND page0 < 40""",
     ),
-    "settings_json": (settings_json, "SELECT event_id, greatest(0.0, least(2.0, json_extract(props, '$.k')::DOUBLE)) AS temperature, true AS history, 'high_precision' AS ocr_mode, json_extract(props, '$.k')::BIGINT AS k FROM events"),
-    "books_by_category": (books_by_category, "SELECT coalesce(c.name, 'none') AS category, count(*) AS books, count(b.last_opened_at) AS opened FROM books b LEFT JOIN categories c ON b.category_id = c.id GROUP BY 1"),
+    "settings_json": (
+        settings_json,
+        "SELECT event_id, greatest(0.0, least(2.0, json_extract(props, '$.k')::DOUBLE)) AS temperature, true AS history, 'high_precision' AS ocr_mode, json_extract(props, '$.k')::BIGINT AS k FROM events"
+    ),
+    "books_by_category": (
+        books_by_category, "SELECT coalesce(c.name, 'none') AS category, count(*) AS books, count(b.last_opened_at) AS opened FROM books b LEFT JOIN categories c ON b.category_id = c.id GROUP BY 1"
+    ),
 }

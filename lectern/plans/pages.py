@@ -191,27 +191,44 @@ def line_fold(boxes: str) -> str:
 
 
 QUERIES = {
-    "low_confidence_lines": (low_confidence_lines, _L + ", u AS (SELECT book_id, page, ocr_mode, unnest(lines) AS v, generate_subscripts(lines, 1) - 1 AS line_no FROM l) SELECT book_id, page, ocr_mode, line_no, v.text AS text, v.confidence AS confidence FROM u WHERE v.confidence < 0.8"),
+    "low_confidence_lines": (
+        low_confidence_lines,
+        _L + ", u AS (SELECT book_id, page, ocr_mode, unnest(lines) AS v, generate_subscripts(lines, 1) - 1 AS line_no FROM l) SELECT book_id, page, ocr_mode, line_no, v.text AS text, v.confidence AS confidence FROM u WHERE v.confidence < 0.8"
+    ),
     "low_confidence_count": (low_confidence_count, _L + " SELECT book_id, page, ocr_mode, len(list_filter(lines, lambda v: v.confidence < 0.8)) AS low, len(lines) AS n_lines FROM l"),
     "ocr_page_text": (ocr_page_text, _L + " SELECT book_id, page, ocr_mode, md5(array_to_string(list_transform(lines, lambda v: v.text), '')) AS digest FROM l"),
-    "ocr_mode_fallback": (ocr_mode_fallback, _L + " SELECT book_id, page, ocr_mode, len(lines) AS n_lines FROM (SELECT *, row_number() OVER (PARTITION BY book_id, page ORDER BY CASE WHEN ocr_mode = 'high_precision' THEN 0 ELSE 1 END) AS rn FROM l) WHERE rn = 1"),
+    "ocr_mode_fallback": (
+        ocr_mode_fallback,
+        _L + " SELECT book_id, page, ocr_mode, len(lines) AS n_lines FROM (SELECT *, row_number() OVER (PARTITION BY book_id, page ORDER BY CASE WHEN ocr_mode = 'high_precision' THEN 0 ELSE 1 END) AS rn FROM l) WHERE rn = 1"
+    ),
     "text_layer_fallback": (
         text_layer_fallback,
         _L + """, n AS (SELECT book_id, page, max(text) AS text FROM documents WHERE book_id IS NOT NULL AND page IS NOT NULL AND length(trim(text)) > 0 GROUP BY 1, 2), o AS (SELECT book_id, page, array_to_string(list_transform(lines, lambda v: v.text), '') AS text FROM (SELECT *, row_number() OVER (PARTITION BY book_id, page ORDER BY CASE WHEN ocr_mode = 'fast' THEN 0 ELSE 1 END) AS rn FROM l) WHERE rn = 1)
 SELECT book_id, page, 'native' AS layer, md5(text) AS digest FROM n UNION ALL SELECT book_id, page, 'ocr' AS layer, md5(text) AS digest FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.book_id = o.book_id AND n.page = o.page)""",
     ),
-    "ocr_correct_lines": (ocr_correct_lines, _L + " SELECT book_id, page, ocr_mode, md5(array_to_string(list_transform(lines, lambda v, i: CASE WHEN i = 1 THEN 'corrected' ELSE v.text END), chr(10))) AS digest FROM l"),
-    "pass_scores": (pass_scores, _L + ", t AS (SELECT *, round(coalesce(list_sum(list_transform(lines, lambda v: coalesce(v.confidence, 0.0))), 0.0), 6) AS score FROM l) SELECT book_id, page, ocr_mode, score, len(lines) > 0 AND (len(lines) < 3 OR score / len(lines) < 0.6) AS suspicious FROM t"),
+    "ocr_correct_lines": (
+        ocr_correct_lines, _L + " SELECT book_id, page, ocr_mode, md5(array_to_string(list_transform(lines, lambda v, i: CASE WHEN i = 1 THEN 'corrected' ELSE v.text END), chr(10))) AS digest FROM l"
+    ),
+    "pass_scores": (
+        pass_scores,
+        _L + ", t AS (SELECT *, round(coalesce(list_sum(list_transform(lines, lambda v: coalesce(v.confidence, 0.0))), 0.0), 6) AS score FROM l) SELECT book_id, page, ocr_mode, score, len(lines) > 0 AND (len(lines) < 3 OR score / len(lines) < 0.6) AS suspicious FROM t"
+    ),
     "orientation_choice": (
         orientation_choice,
         "WITH t AS (SELECT vec_id, " + ", ".join(f"round(list_sum(list_transform(embedding[{i}:{i + 19}], lambda x: abs(x::DOUBLE))), 6) AS {c}" for i, c in ((1, "a"), (21, "b"), (41, "c"))) + " FROM embeddings) SELECT vec_id, CASE WHEN c > (CASE WHEN b > a * 1.1::DOUBLE THEN b ELSE a END) * 1.1::DOUBLE THEN 270 WHEN b > a * 1.1::DOUBLE THEN 90 ELSE 0 END::BIGINT AS rotation FROM t",
     ),
-    "line_boxes": (line_boxes, _L + " SELECT book_id, page, ocr_mode, len(list_filter(lines, lambda v: length(trim(v.text, ' ')) > 0)) AS boxes, len(list_filter(lines, lambda v: length(v.text) > 1)) > 0 AS line_level FROM l"),
+    "line_boxes": (
+        line_boxes,
+        _L + " SELECT book_id, page, ocr_mode, len(list_filter(lines, lambda v: length(trim(v.text, ' ')) > 0)) AS boxes, len(list_filter(lines, lambda v: length(v.text) > 1)) > 0 AS line_level FROM l"
+    ),
     "union_bounds": (
         union_bounds,
         _L + ", u AS (SELECT book_id, page, ocr_mode, unnest(lines) AS v FROM l) SELECT book_id, page, ocr_mode, round(min(v.x), 6) AS x, round(min(v.y), 6) AS y, round(max(v.x + v.w) - min(v.x), 6) AS w, round(max(v.y + v.h) - min(v.y), 6) AS h FROM u GROUP BY ALL",
     ),
-    "rect_contains_point": (rect_contains_point, _L + " SELECT book_id, page, ocr_mode, coalesce(list_position(list_transform(lines, lambda v: 0.4 >= v.x AND 0.4 <= v.x + v.w AND 0.5 >= v.y AND 0.5 <= v.y + v.h), true), 0)::BIGINT - 1 AS line_no FROM l"),
+    "rect_contains_point": (
+        rect_contains_point,
+        _L + " SELECT book_id, page, ocr_mode, coalesce(list_position(list_transform(lines, lambda v: 0.4 >= v.x AND 0.4 <= v.x + v.w AND 0.5 >= v.y AND 0.5 <= v.y + v.h), true), 0)::BIGINT - 1 AS line_no FROM l"
+    ),
     "hit_test_nearest": (
         hit_test_nearest,
         _L + ", u AS (SELECT book_id, page, ocr_mode, unnest(lines) AS v, generate_subscripts(lines, 1) - 1 AS i FROM l), c AS (SELECT *, abs(0.5::DOUBLE - (v.y + v.h / 2)) AS dy FROM u), b AS (SELECT book_id, page, ocr_mode, min((greatest(v.x - 0.4::DOUBLE, 0.4::DOUBLE - (v.x + v.w), 0.0) * 4 + dy, i)) FILTER (WHERE dy <= v.h / 2 + 0.008::DOUBLE) AS m FROM c GROUP BY ALL) SELECT book_id, page, ocr_mode, coalesce(m[2], -1)::BIGINT AS line_no FROM b",
@@ -222,7 +239,10 @@ SELECT book_id, page, 'native' AS layer, md5(text) AS digest FROM n UNION ALL SE
         _L + f", r AS (SELECT book_id, page, ocr_mode, list_sort({line_fold('lines[least(2, len(lines) - 1) + 1:least(5, len(lines) - 1) + 1]')}) AS r FROM l) "
         "SELECT book_id, page, ocr_mode, len(r) AS rects, array_to_string(list_transform(r, lambda v: printf('%.4f %.4f %.4f %.4f', v.l, v.t, v.r - v.l, v.b - v.t)), ';') AS places FROM r",
     ),
-    "boxes_normalized": (boxes_normalized, _Q + f" SELECT vec_id, round({_C.format('list_min(xs) / 400')}, 6) AS x, round({_C.format('list_min(ys) / 200')}, 6) AS y, round({_C.format('(list_max(xs) - list_min(xs) + 1) / 400')}, 6) AS w, round({_C.format('(list_max(ys) - list_min(ys) + 1) / 200')}, 6) AS h FROM x"),
+    "boxes_normalized": (
+        boxes_normalized,
+        _Q + f" SELECT vec_id, round({_C.format('list_min(xs) / 400')}, 6) AS x, round({_C.format('list_min(ys) / 200')}, 6) AS y, round({_C.format('(list_max(xs) - list_min(xs) + 1) / 400')}, 6) AS w, round({_C.format('(list_max(ys) - list_min(ys) + 1) / 200')}, 6) AS h FROM x"
+    ),
     "quads_rotated_back": (
         quads_rotated_back,
         _Q + " SELECT vec_id, array_to_string(list_transform([1, 2, 3, 4], lambda i: CASE rot WHEN 90 THEN ys[i]::BIGINT || ',' || (199 - xs[i])::BIGINT WHEN 270 THEN (399 - ys[i])::BIGINT || ',' || xs[i]::BIGINT ELSE xs[i]::BIGINT || ',' || ys[i]::BIGINT END), ';') AS corners FROM x",
@@ -232,10 +252,22 @@ SELECT book_id, page, 'native' AS layer, md5(text) AS digest FROM n UNION ALL SE
         "WITH e AS (SELECT vec_id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS {c}" for i, c in enumerate(("px", "py", "ax", "ay", "bx", "byy"))) + " FROM embeddings), t AS (SELECT *, greatest(0.0, least(1.0, ((px - ax) * (bx - ax) + (py - ay) * (byy - ay)) / ((bx - ax) ** 2 + (byy - ay) ** 2))) AS t FROM e), r AS (SELECT vec_id, sqrt((px - (ax + t * (bx - ax))) ** 2 + (py - (ay + t * (byy - ay))) ** 2) AS dist FROM t) SELECT vec_id, round(dist, 6) AS distance, dist < 0.02 AS hit FROM r",
     ),
     "percentile_by_index": (percentile_by_index, _V + " SELECT vec_id, " + ", ".join(f"list_sort(v)[floor(64 * {q})::INT + 1] AS p{int(q * 100)}" for q in (0.5, 0.9, 0.99)) + " FROM e"),
-    "page_quality": (page_quality, _V + ", i AS (SELECT *, list_sort(list_filter(v, lambda x: x < 200)) AS ink FROM e) SELECT vec_id, coalesce(ink[floor(len(ink) * 0.5)::INT + 1], 255) AS ink_median, list_sort(v)[floor(64 * 0.99)::INT + 1] AS p99, round(len(ink) / 64.0::DOUBLE, 6) AS ink_fraction FROM i"),
-    "contrast_stretch_image": (contrast_stretch_image, _V + " SELECT vec_id, array_to_string(list_transform(v, lambda x: greatest(0, least(255, round((x - list_min(v)) / greatest(list_max(v) - list_min(v), 1)::DOUBLE * 255.0::DOUBLE)))::BIGINT), ',') AS stretched FROM e"),
-    "thumbnail_sizes": (thumbnail_sizes, _L + ", t AS (SELECT *, len(lines) * 40 AS w0, least(1.0, 400.0 / greatest(len(lines) * 40, 1000))::DOUBLE AS sc FROM l) SELECT book_id, page, ocr_mode, greatest(round(w0 * sc), 1)::BIGINT AS w, greatest(round(1000 * sc), 1)::BIGINT AS h FROM t"),
-    "annotations_list": (annotations_list, _N + " SELECT id, book_id, page, kind, CASE WHEN regexp_full_match(color, '#[0-9A-Fa-f]{6}') THEN ('0x' || substr(color, 2))::BIGINT END AS colour, len(rects) AS rects FROM n"),
+    "page_quality": (
+        page_quality,
+        _V + ", i AS (SELECT *, list_sort(list_filter(v, lambda x: x < 200)) AS ink FROM e) SELECT vec_id, coalesce(ink[floor(len(ink) * 0.5)::INT + 1], 255) AS ink_median, list_sort(v)[floor(64 * 0.99)::INT + 1] AS p99, round(len(ink) / 64.0::DOUBLE, 6) AS ink_fraction FROM i"
+    ),
+    "contrast_stretch_image": (
+        contrast_stretch_image,
+        _V + " SELECT vec_id, array_to_string(list_transform(v, lambda x: greatest(0, least(255, round((x - list_min(v)) / greatest(list_max(v) - list_min(v), 1)::DOUBLE * 255.0::DOUBLE)))::BIGINT), ',') AS stretched FROM e"
+    ),
+    "thumbnail_sizes": (
+        thumbnail_sizes,
+        _L + ", t AS (SELECT *, len(lines) * 40 AS w0, least(1.0, 400.0 / greatest(len(lines) * 40, 1000))::DOUBLE AS sc FROM l) SELECT book_id, page, ocr_mode, greatest(round(w0 * sc), 1)::BIGINT AS w, greatest(round(1000 * sc), 1)::BIGINT AS h FROM t"
+    ),
+    "annotations_list": (
+        annotations_list,
+        _N + " SELECT id, book_id, page, kind, CASE WHEN regexp_full_match(color, '#[0-9A-Fa-f]{6}') THEN ('0x' || substr(color, 2))::BIGINT END AS colour, len(rects) AS rects FROM n"
+    ),
     "annotation_replays": (annotation_replays, "SELECT id, count(*) AS rows FROM annotations GROUP BY 1 HAVING count(*) > 1"),
     "annotations_markdown": (
         annotations_markdown,
@@ -244,7 +276,13 @@ UNION ALL SELECT book_id, page, 1 AS src, created_at, id, CASE mark WHEN 'sticky
 p AS (SELECT book_id, page, chr(10) || '## 第 ' || (page + 1) || ' 页' || chr(10) || chr(10) || string_agg(line, '' ORDER BY src, created_at, id, line) AS body FROM i GROUP BY 1, 2), b AS (SELECT book_id, '# 阅读标注' || chr(10) || string_agg(body, '' ORDER BY page) AS md FROM p GROUP BY 1)
 SELECT books.id AS book_id, md5(coalesce(md, '# 阅读标注' || chr(10) || chr(10) || '> 暂无标注' || chr(10))) AS digest, length(coalesce(md, '# 阅读标注' || chr(10) || chr(10) || '> 暂无标注' || chr(10))) AS chars FROM books LEFT JOIN b ON books.id = b.book_id""",
     ),
-    "annotation_visibility": (annotation_visibility, _N + " SELECT book_id, page, id, CASE WHEN kind IN ('highlight','underline','strikethrough','note') THEN kind ELSE 'highlight' END AS kind FROM n WHERE kind NOT IN ('underline', 'note')"),
-    "mark_payload_fields": (mark_payload_fields, _NM + " SELECT id, mark AS kind, CASE WHEN mark = 'sticky' THEN content END AS text, CASE WHEN mark = 'stamp' THEN color || '.png' END AS file, CASE WHEN mark = 'brush' THEN coalesce(len(rects), 0) ELSE 0 END::BIGINT AS points FROM k"),
+    "annotation_visibility": (
+        annotation_visibility,
+        _N + " SELECT book_id, page, id, CASE WHEN kind IN ('highlight','underline','strikethrough','note') THEN kind ELSE 'highlight' END AS kind FROM n WHERE kind NOT IN ('underline', 'note')"
+    ),
+    "mark_payload_fields": (
+        mark_payload_fields,
+        _NM + " SELECT id, mark AS kind, CASE WHEN mark = 'sticky' THEN content END AS text, CASE WHEN mark = 'stamp' THEN color || '.png' END AS file, CASE WHEN mark = 'brush' THEN coalesce(len(rects), 0) ELSE 0 END::BIGINT AS points FROM k"
+    ),
     "mark_styles": (mark_styles, "SELECT event_id, json_extract(props, '$.k')::DOUBLE AS stroke_width, false AS fill, 14.0::DOUBLE AS font_size FROM events"),
 }

@@ -65,7 +65,10 @@ def page_enhancement(s, d):
     q = _pixels(s, d).withColumn("q", P.quality(F.col("v"), w))
     out = q.withColumn("out", P.enhanced(F.col("v"), F.col("q")))
     out = out.withColumn("sharp", P.sharp_fraction(F.col("out"), w, h))
-    return out.select("vec_id", "q.ink_median", "q.p99", F.round("q.ink_fraction", 6).alias("ink_fraction"), P.washed_out(F.col("q")).alias("washed"), F.round("sharp", 6).alias("sharp"), P.blurry(F.col("sharp"), F.col("q")).alias("blurry"), F.md5(F.array_join(F.transform("out", lambda x: x.cast("long").cast("string")), ",")).alias("digest"))
+    return out.select(
+        "vec_id", "q.ink_median", "q.p99", F.round("q.ink_fraction", 6).alias("ink_fraction"), P.washed_out(F.col("q")).alias("washed"), F.round("sharp", 6).alias("sharp"),
+        P.blurry(F.col("sharp"), F.col("q")).alias("blurry"), F.md5(F.array_join(F.transform("out", lambda x: x.cast("long").cast("string")), ",")).alias("digest")
+    )
 
 
 def rgb_pixels(s, d):
@@ -87,7 +90,11 @@ def low_confidence_hit(s, d):
 def _stored(s, d):
     """Configurations of threads: some fields set, some missing, some of the wrong kind."""
     i = F.col("id")
-    fields = {"text_model": F.col("title"), "temperature": (i % 40) / 10.0, "ocr_mode": F.when(i % 2 == 0, "fast").when(i % 5 == 0, "odd"), "include_book_history": F.when(i % 3 == 0, False), "web_search_enabled": F.when(i % 4 == 0, True), "translate_target_lang": F.when(i % 7 == 0, "de"), "vision_base_url": F.when(i % 6 == 0, "https://v"), "prompt_template": F.when(i % 2 == 1, "tech")}
+    fields = {
+        "text_model": F.col("title"), "temperature": (i % 40) / 10.0, "ocr_mode": F.when(i % 2 == 0, "fast").when(i % 5 == 0, "odd"), "include_book_history": F.when(i % 3 == 0, False),
+        "web_search_enabled": F.when(i % 4 == 0, True), "translate_target_lang": F.when(i % 7 == 0, "de"), "vision_base_url": F.when(i % 6 == 0, "https://v"),
+        "prompt_template": F.when(i % 2 == 1, "tech")
+    }
     body = F.struct(*(c.alias(k) for k, c in fields.items()), F.when(i % 8 == 0, F.create_map(F.lit("tech"), F.lit(" own "))).alias("template_overrides"))
     return load(s, d, "ai_threads").select("id", F.when(i % 11 == 0, "broken {").otherwise(F.to_json(body)).alias("value"))
 
@@ -115,7 +122,10 @@ def annotations_export(s, d):
     j = A.export_json(load(s, d, "annotations"), _marks(s, d))
     read = "book_id long, annotations array<struct<id:long,page:long,kind:string,text:string,content:string,rects:array<struct<x:double>>,color:string>>, image_marks array<struct<id:long,kind:string,x:double,rotation:double,payload:string>>"
     v = j.select("book_id", F.from_json("json", read).alias("v"), F.contains("json", F.lit('\n  "annotations" : [')).alias("printed"))
-    text = F.array_join(F.transform("v.annotations", lambda a: F.concat_ws("|", a["id"].cast("string"), a["page"].cast("string"), a["kind"], F.coalesce(a["text"], F.lit("~")), F.coalesce(a["content"], F.lit("~")), F.coalesce(a["color"], F.lit("~")), F.size(a["rects"]).cast("string"))), "\n")
+    text = F.array_join(
+        F.transform("v.annotations", lambda a: F.concat_ws("|", a["id"].cast("string"), a["page"].cast("string"), a["kind"], F.coalesce(a["text"], F.lit("~")), F.coalesce(a["content"], F.lit("~")), F.coalesce(a["color"], F.lit("~")), F.size(a["rects"]).cast("string"))),
+        "\n"
+    )
     marks = F.array_join(F.transform("v.image_marks", lambda a: F.concat_ws("|", a["id"].cast("string"), a["kind"], a["payload"])), "\n")
     return v.select("book_id", F.md5(text).alias("annotations"), F.md5(marks).alias("marks"), "printed")
 
@@ -243,7 +253,10 @@ SELECT vec_id, ink_median, p99, round(n / 4.0::DOUBLE, 6) AS ink_fraction, washe
     ),
     "notes_rail": (notes_rail, f"WITH {_K}, {_I} SELECT book_id, id, src, row_number() OVER (PARTITION BY book_id ORDER BY page, src, created_at, id) - 1 AS place FROM i"),
     "page_items": (page_items, f"WITH {_K}, {_I} SELECT book_id, id, src FROM i WHERE page = 2"),
-    "stamp_images": (stamp_images, f"WITH {_K}, f AS (SELECT DISTINCT color || '.png' AS file, 1 AS size FROM annotations WHERE color <> upper(color)) SELECT id, color || '.png' AS file, size FROM k LEFT JOIN f ON f.file = k.color || '.png' WHERE kind = 'stamp'"),
+    "stamp_images": (
+        stamp_images,
+        f"WITH {_K}, f AS (SELECT DISTINCT color || '.png' AS file, 1 AS size FROM annotations WHERE color <> upper(color)) SELECT id, color || '.png' AS file, size FROM k LEFT JOIN f ON f.file = k.color || '.png' WHERE kind = 'stamp'"
+    ),
     "open_routes": (
         open_routes,
         "WITH o AS (SELECT stored_path FROM books WHERE id % 2 = 0 UNION ALL SELECT 'gone/' || stored_path FROM books WHERE id % 50 = 1), p AS (SELECT book_id, max(page) + 1 AS pages FROM page_ocr_cache GROUP BY 1) "
@@ -265,8 +278,12 @@ SELECT vec_id, ink_median, p99, round(n / 4.0::DOUBLE, 6) AS ink_fraction, washe
         "WITH e AS (SELECT user_id AS stream, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'cancel' ELSE 'chunk' END AS event FROM events), s AS (SELECT *, min(seq) FILTER (WHERE event <> 'chunk') OVER (PARTITION BY stream) AS stop FROM e) "
         "SELECT stream, coalesce(max(CASE WHEN seq = stop THEN event END), 'open') AS how, count(*) FILTER (WHERE event = 'chunk' AND (stop IS NULL OR seq < stop)) AS chunks, coalesce(string_agg(CASE WHEN event = 'chunk' AND (stop IS NULL OR seq < stop) THEN seq || ' ' END, '' ORDER BY seq), '') AS answer FROM s GROUP BY 1",
     ),
-    "debounced_events": (debounced_events, "SELECT user_id, event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NULL OR nxt - ts > INTERVAL 1 HOUR"),
-    "throttled_events": (throttled_events, "SELECT user_id, event_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prv FROM events) WHERE prv IS NULL OR ts - prv > INTERVAL 1 HOUR"),
+    "debounced_events": (
+        debounced_events, "SELECT user_id, event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NULL OR nxt - ts > INTERVAL 1 HOUR"
+    ),
+    "throttled_events": (
+        throttled_events, "SELECT user_id, event_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prv FROM events) WHERE prv IS NULL OR ts - prv > INTERVAL 1 HOUR"
+    ),
     "merged_threads": (merged_threads, "SELECT id, title, book_id FROM ai_threads UNION ALL SELECT -id, 'new ' || title, NULL FROM ai_threads WHERE id % 10 = 0"),
     "newest_version": (newest_version, "SELECT max(sort_order) AS version FROM categories"),
 }

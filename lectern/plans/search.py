@@ -93,17 +93,26 @@ def snippet_ignore_case(s, d):
 QUERIES = {
     "search_and_snippet": (search_and_snippet, _sql("tide register", "contains(tokens, ' tide ') AND contains(tokens, ' register ')")),
     "search_phrase": (search_phrase, _sql("half-tide dock", "contains(tokens, ' half tide ') AND contains(tokens, ' dock ')")),
-    "search_injection_literal": (search_injection_literal, f"{_PAGES}, hits AS (SELECT * FROM tok WHERE contains(tokens, ' map ') AND contains(tokens, ' or ') ORDER BY book_id, page LIMIT 200) SELECT book_id, page, " + _snippet('map" OR')),
+    "search_injection_literal": (
+        search_injection_literal,
+        f"{_PAGES}, hits AS (SELECT * FROM tok WHERE contains(tokens, ' map ') AND contains(tokens, ' or ') ORDER BY book_id, page LIMIT 200) SELECT book_id, page, " + _snippet('map" OR')
+    ),
     "search_ideographs": (search_ideographs, _sql("潮汐登记册", "contains(tokens, ' 潮 汐 登 记 册 ') OR contains(regexp_replace(tokens, ' +', ' ', 'g'), ' 潮 汐 登 记 册 ')")),
     "search_accents": (search_accents, _sql("fälle", "contains(tokens, ' falle ')")),
     "search_empty": (search_empty, f"{_PAGES} SELECT book_id, page, original_text AS snippet FROM tok WHERE false"),
     "search_all_matches": (search_all_matches, f"{_PAGES} SELECT book_id, page FROM tok WHERE contains(tokens, ' salt ') AND contains(tokens, ' road ')"),
     "search_by_postings": (search_by_postings, f"{_PAGES} SELECT book_id, page FROM tok WHERE contains(tokens, ' half tide ') AND contains(tokens, ' dock ') AND contains(tokens, ' map ')"),
-    "postings_frequencies": (postings_frequencies, f"{_PAGES}, t AS (SELECT book_id, page, unnest(list_filter(string_split(tokens, ' '), lambda x: x <> '')) AS token FROM tok) SELECT token, count(DISTINCT (book_id, page)) AS pages, count(*) AS places FROM t GROUP BY 1"),
+    "postings_frequencies": (
+        postings_frequencies,
+        f"{_PAGES}, t AS (SELECT book_id, page, unnest(list_filter(string_split(tokens, ' '), lambda x: x <> '')) AS token FROM tok) SELECT token, count(DISTINCT (book_id, page)) AS pages, count(*) AS places FROM t GROUP BY 1"
+    ),
     "page_text_latest": (page_text_latest, f"{_PAGES} SELECT book_id, page, source, length(original_text) AS chars, md5(original_text) AS digest FROM pages"),
     "page_has_text": (page_has_text, f"SELECT doc_id, coalesce(length({_TRIM.format('text')}) > 0, false) AS has_text FROM documents"),
     "indexed_page_count": (indexed_page_count, f"{_PAGES} SELECT book_id, count(*) AS pages FROM pages GROUP BY 1"),
-    "search_hits_by_book": (search_hits_by_book, "WITH h AS (SELECT DISTINCT hit_id, book_id, page FROM search_hits) SELECT h.book_id, coalesce(max(b.title), '#' || h.book_id) AS title, count(*) AS hits, string_agg(h.page || ':' || h.hit_id, ',' ORDER BY h.page, h.hit_id) AS places FROM h LEFT JOIN books b ON h.book_id = b.id GROUP BY h.book_id"),
+    "search_hits_by_book": (
+        search_hits_by_book,
+        "WITH h AS (SELECT DISTINCT hit_id, book_id, page FROM search_hits) SELECT h.book_id, coalesce(max(b.title), '#' || h.book_id) AS title, count(*) AS hits, string_agg(h.page || ':' || h.hit_id, ',' ORDER BY h.page, h.hit_id) AS places FROM h LEFT JOIN books b ON h.book_id = b.id GROUP BY h.book_id"
+    ),
     "search_occurrences": (
         search_occurrences,
         """WITH RECURSIVE h AS (SELECT DISTINCT hit_id, lower(snippet) AS t FROM search_hits), r AS (SELECT hit_id, t, strpos(t, 'the') AS pos FROM h UNION ALL SELECT hit_id, t, pos + 2 + strpos(substr(t, pos + 3), 'the') FROM r WHERE pos > 0 AND strpos(substr(t, pos + 3), 'the') > 0)

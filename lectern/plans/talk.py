@@ -45,7 +45,10 @@ def window_without_book(s, d):
 
 def chat_request_messages(s, d):
     h = C.request_history(_m(s, d).where("created_at IS NOT NULL"), "chat")
-    return h.select("thread_id", F.size("messages").cast("long").alias("n"), F.array_join(F.transform("messages", lambda m: F.substring(m["role"], 1, 1)), "").alias("roles"), F.md5(F.array_join(F.transform("messages", lambda m: F.coalesce(m["content"], F.lit("-"))), "|")).alias("digest"))
+    return h.select(
+        "thread_id", F.size("messages").cast("long").alias("n"), F.array_join(F.transform("messages", lambda m: F.substring(m["role"], 1, 1)), "").alias("roles"),
+        F.md5(F.array_join(F.transform("messages", lambda m: F.coalesce(m["content"], F.lit("-"))), "|")).alias("digest")
+    )
 
 
 def responses_instructions(s, d):
@@ -87,17 +90,30 @@ QUERIES = {
         _M + """, s AS (SELECT thread_id, count(*) AS messages, max(created_at) AS last_at, arg_max(action_type, (coalesce(created_at, TIMESTAMP '0001-01-01'), id)) FILTER (WHERE action_type IS NOT NULL) AS last_action FROM m GROUP BY 1)
 SELECT t.id, t.title, t.book_id, coalesce(s.last_action, CASE WHEN lower(trim(t.action_type, ' ')) IN ('translate','explain','search','chat','vision') THEN lower(trim(t.action_type, ' ')) ELSE 'chat' END) AS action, coalesce(s.messages, 0) AS messages, strftime(CASE WHEN s.last_at > t.updated_at OR t.updated_at IS NULL THEN s.last_at ELSE t.updated_at END, '%Y-%m-%d %H:%M:%S') AS updated FROM ai_threads t LEFT JOIN s ON t.id = s.thread_id""",
     ),
-    "thread_messages": (thread_messages, _M + " SELECT id, thread_id, role, action_type, strftime(created_at, '%Y-%m-%d %H:%M') AS at, CASE WHEN image_path IS NOT NULL THEN '/data/' || image_path END AS image FROM m"),
-    "message_counts": (message_counts, _M + r" SELECT thread_id, count(*) AS messages, count(*) FILTER (WHERE length(regexp_replace(content, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) > 0) AS with_text FROM m GROUP BY 1"),
-    "history_without_last": (history_without_last, _M + " SELECT thread_id, id, role FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY created_at DESC, id DESC) AS rn FROM m WHERE created_at IS NOT NULL) WHERE rn > 1"),
+    "thread_messages": (
+        thread_messages, _M + " SELECT id, thread_id, role, action_type, strftime(created_at, '%Y-%m-%d %H:%M') AS at, CASE WHEN image_path IS NOT NULL THEN '/data/' || image_path END AS image FROM m"
+    ),
+    "message_counts": (
+        message_counts, _M + r" SELECT thread_id, count(*) AS messages, count(*) FILTER (WHERE length(regexp_replace(content, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) > 0) AS with_text FROM m GROUP BY 1"
+    ),
+    "history_without_last": (
+        history_without_last,
+        _M + " SELECT thread_id, id, role FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY created_at DESC, id DESC) AS rn FROM m WHERE created_at IS NOT NULL) WHERE rn > 1"
+    ),
     "assistant_inherits_action": (
         assistant_inherits_action,
         _M + """, u AS (SELECT *, max(CASE WHEN role = 'user' THEN k END) OVER (PARTITION BY thread_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS uk FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY created_at, id) AS k FROM m WHERE created_at IS NOT NULL))
 SELECT a.id, b.action_type AS action FROM u a LEFT JOIN u b ON a.thread_id = b.thread_id AND a.uk = b.k WHERE a.role = 'assistant'""",
     ),
     "window_without_book": (window_without_book, "SELECT id, title FROM ai_threads WHERE book_id IS NULL ORDER BY id LIMIT 1"),
-    "chat_request_messages": (chat_request_messages, _M + " SELECT thread_id, count(*) AS n, string_agg(substr(role, 1, 1), '' ORDER BY created_at, id) AS roles, md5(string_agg(coalesce(content, '-'), '|' ORDER BY created_at, id)) AS digest FROM m WHERE created_at IS NOT NULL GROUP BY 1"),
-    "responses_instructions": (responses_instructions, _M + " SELECT thread_id, coalesce(string_agg(coalesce(content, ''), chr(10) ORDER BY created_at, id) FILTER (WHERE role = 'system'), '') AS instructions, count(*) FILTER (WHERE role <> 'system') AS items FROM m WHERE created_at IS NOT NULL GROUP BY 1"),
+    "chat_request_messages": (
+        chat_request_messages,
+        _M + " SELECT thread_id, count(*) AS n, string_agg(substr(role, 1, 1), '' ORDER BY created_at, id) AS roles, md5(string_agg(coalesce(content, '-'), '|' ORDER BY created_at, id)) AS digest FROM m WHERE created_at IS NOT NULL GROUP BY 1"
+    ),
+    "responses_instructions": (
+        responses_instructions,
+        _M + " SELECT thread_id, coalesce(string_agg(coalesce(content, ''), chr(10) ORDER BY created_at, id) FILTER (WHERE role = 'system'), '') AS instructions, count(*) FILTER (WHERE role <> 'system') AS items FROM m WHERE created_at IS NOT NULL GROUP BY 1"
+    ),
     "prompt_compose": (
         prompt_compose,
         _M + f""", a AS (SELECT id, coalesce(action_type, 'chat') AS a, coalesce(content, '') AS c FROM m WHERE role = 'user')
@@ -107,7 +123,10 @@ SELECT id, CASE WHEN a = 'translate' THEN '' ELSE '{C.ROLE_PROMPT}' || chr(10) |
         error_texts,
         _M + " SELECT id, md5(coalesce(content, '')) AS digest, md5('HTTP 500: ' || substr(coalesce(content, ''), 1, 600)) AS shown FROM m",
     ),
-    "thread_titles": (thread_titles, r"SELECT id, coalesce(nullif(regexp_replace(title, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), ''), 'untitled') AS title, 'https://host/' || action_type || '/responses' AS endpoint FROM ai_threads"),
+    "thread_titles": (
+        thread_titles,
+        r"SELECT id, coalesce(nullif(regexp_replace(title, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), ''), 'untitled') AS title, 'https://host/' || action_type || '/responses' AS endpoint FROM ai_threads"
+    ),
     "sse_decode": (sse_decode, _M + " SELECT id, md5(content) AS digest FROM m WHERE role = 'assistant' AND content <> ''"),
     "sse_transcript": (
         sse_transcript,

@@ -71,7 +71,10 @@ def page_texts(df: DataFrame, extractor: Extractor) -> DataFrame:
 
 def outline(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(the columns of ``df`` but the text, node, depth, title): headings of marked-up text, # to ######, as a flat list in order."""
-    lines = F.filter(F.transform(F.split(text_col, "\n"), lambda t, i: F.struct(i.alias("node"), F.length(F.regexp_extract(t, r"^(#{1,6})\s", 1)).alias("depth"), F.trim(F.regexp_replace(t, r"^#{1,6}\s+", "")).alias("title"))), lambda h: h["depth"] > 0)
+    lines = F.filter(
+        F.transform(F.split(text_col, "\n"), lambda t, i: F.struct(i.alias("node"), F.length(F.regexp_extract(t, r"^(#{1,6})\s", 1)).alias("depth"), F.trim(F.regexp_replace(t, r"^#{1,6}\s+", "")).alias("title"))),
+        lambda h: h["depth"] > 0
+    )
     return df.withColumn("_h", F.explode(lines)).select(*(c for c in df.columns if c != text_col), "_h.node", "_h.depth", "_h.title")
 
 

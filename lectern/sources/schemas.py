@@ -19,7 +19,10 @@ SCHEMAS = {
     "settings": "key string, value string, updated_at timestamp_ntz",
 }
 #: Key of each table, and the table and column that its rows vanish with.
-KEYS = {"books": ["id"], "categories": ["id"], "reading_progress": ["book_id"], "annotations": ["id"], "image_annotations": ["id"], "page_ocr_cache": ["book_id", "page", "ocr_mode"], "page_text_index": ["book_id", "page"], "ai_threads": ["id"], "ai_messages": ["id"], "settings": ["key"]}
+KEYS = {
+    "books": ["id"], "categories": ["id"], "reading_progress": ["book_id"], "annotations": ["id"], "image_annotations": ["id"], "page_ocr_cache": ["book_id", "page", "ocr_mode"],
+    "page_text_index": ["book_id", "page"], "ai_threads": ["id"], "ai_messages": ["id"], "settings": ["key"]
+}
 OWNED_BY_BOOK = ["reading_progress", "annotations", "image_annotations", "page_ocr_cache", "page_text_index"]
 LATEST_VERSION = 6
 

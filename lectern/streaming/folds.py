@@ -8,9 +8,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 def _step(state: Column, event: Column) -> Column:
     """The next phase of a page: a check decides only where nothing is known, a scan starts unless one runs, its result counts only while it does."""
     return (
-        F.when(event.isin("check_text", "check_no_text", "check_cached"), F.when(state == "", F.when(event == "check_text", "hasText").when(event == "check_cached", "success").otherwise("prompt")).otherwise(state))
+        F.when(
+            event.isin("check_text", "check_no_text", "check_cached"),
+            F.when(state == "", F.when(event == "check_text", "hasText").when(event == "check_cached", "success").otherwise("prompt")).otherwise(state)
+        )
         .when(event == "scan", F.lit("scanning"))
-        .when(event.isin("scanned", "scanned_empty", "failed"), F.when(state == "scanning", F.when(event == "scanned", "success").when(event == "scanned_empty", "empty").otherwise("error")).otherwise(state))
+        .when(
+            event.isin("scanned", "scanned_empty", "failed"),
+            F.when(state == "scanning", F.when(event == "scanned", "success").when(event == "scanned_empty", "empty").otherwise("error")).otherwise(state)
+        )
         .when(event == "dismiss", F.when(state == "", "").otherwise("dismissed"))
         .otherwise(state)
     )
