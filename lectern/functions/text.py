@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -40,9 +41,12 @@ def fold(text: Column) -> Column:
 
 
 def may_have(text: Column, tokens: list[str]) -> Column:
-    """False only for texts that can't have all the tokens: cheaper than ``token_text``, which decides about the rest."""
-    loose = F.translate(F.lower(text), _MARKED, _PLAIN)
-    return reduce(lambda a, b: a & b, [F.contains(loose, F.lit(t)) for t in tokens]) | loose.rlike(r"\p{M}")
+    """False only for texts that can't have all the tokens, with marks on their letters or without: one search of the text as it is, much cheaper than ``fold``."""
+
+    def shape(token: str) -> str:
+        return "".join(f"[{re.escape(c)}{''.join(m for m, p in zip(_MARKED, _PLAIN) if p == c)}]\\p{{M}}*+" for c in token)
+
+    return reduce(lambda a, b: a & b, [F.lower(text).rlike(shape(t)) for t in tokens])
 
 
 def token_text(text: Column) -> Column:
